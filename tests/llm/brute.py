@@ -1,0 +1,138 @@
+"""Plain Python versions of the operators' contracts, written without their code."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import xxhash
+
+
+def lower_ascii(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
+
+
+def secrets(text):
+    t = text or ""
+    spans = []
+    for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[1]) >= 6:
+            spans.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"AKIA[A-Z0-9]+", t):
+        if len(m[0]) >= 20:
+            spans.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9a-f]+", t):
+        if len(m[0]) >= 24:
+            spans.append((m.start(), 2, m.end()))
+    n = Counter(k for _, k, _ in spans)
+    said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return n[0], n[1], n[2], hashlib.sha256(said.encode()).hexdigest(), said
+
+
+def simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower_ascii(text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints):
+    """doc_id to smallest doc_id reachable, for {doc_id: fingerprint}."""
+    by = defaultdict(list)
+    for d, f in prints.items():
+        by[f].append(d)
+    fps = np.array(list(by), np.uint64)
+    parent = list(range(len(fps)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        near = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3) + i + 1
+        for j in near:
+            parent[root(int(j))] = root(i)
+    lowest = defaultdict(lambda: 1 << 62)
+    for i, f in enumerate(fps):
+        lowest[root(i)] = min(lowest[root(i)], *by[int(f)])
+    return {d: lowest[root(i)] for i, f in enumerate(fps) for d in by[int(f)]}
+
+
+def bench_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower_ascii(text))
+
+
+def contamination(docs, items, window=10):
+    windows = defaultdict(set)
+    for item, text in items:
+        w = bench_words(text)
+        n = min(window, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows[tuple(w[i : i + n])].add(item)
+    sizes = sorted({len(w) for w in windows})
+    out = {}
+    for doc, text in docs:
+        w, hit, found = bench_words(text), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if got := windows.get(tuple(w[i : i + n])):
+                    hit.update(range(i, i + n))
+                    found |= got
+        said = ",".join(sorted(map(str, found)))
+        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(said.encode()).hexdigest(), bool(hit))
+    return out
+
+
+def quality(text):
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    n = Counter(grams)
+    rep = {p for i, g in enumerate(grams) if n[g] > 1 for p in range(i, i + 3)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(rep), len(words) < 50 or 100 * len(rep) > 50 * len(words)
+
+
+def tokens(texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def check_packing(docs, rows, window=4096):
+    """``docs``: [(doc_id, text)] with distinct ids; ``rows``: packed pieces as dicts. Returns the padded share."""
+    ids = {d: [*x, 2] for (d, _), x in zip(docs, tokens([t for _, t in docs]), strict=True)}
+    at, spans = defaultdict(list), defaultdict(list)
+    for r in rows:
+        own = ids[r["doc_id"]]
+        part = np.asarray(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+        assert len(part) == 4 * r["length"] and r["length"] > 0
+        assert r["ids_crc32"] == zlib.crc32(part) and r["doc_tokens"] == len(own)
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+        spans[r["doc_id"]].append((r["start"], r["length"]))
+    for d, own in ids.items():
+        place = 0
+        for start, n in sorted(spans[d]):
+            assert start == place
+            place += n
+        assert place == len(own)
+    pad = 0
+    for parts in at.values():
+        place = 0
+        for offset, n in sorted(parts):
+            assert offset == place
+            place += n
+        assert place <= window
+        pad += 0 if place & (place - 1) == 0 else window - place
+    return pad / (sum(map(len, ids.values())) + pad)
