@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter
+from tidemark.llm import decontaminate, packing, passages, quality_rules, resample, secret_scan, simhash, token_counts, toxicity, url_filter
 from tidemark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.entries(spark))
 
@@ -38,12 +42,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secret_scans, op2_token_counts, op3_toxicity, op4_simhash_near_dedup, op5_decontamination, op7_url_filters, op8_packing, op10_quality_rules)
+    every = (
+        op1_secret_scans, op2_token_counts, op3_toxicity, op4_simhash_near_dedup, op5_decontamination, op6_substring_dedup,
+        op7_url_filters, op8_packing, op9_importance_resampling, op10_quality_rules,
+    )
     return {q.__name__: q for q in every}
 
 
