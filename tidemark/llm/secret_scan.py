@@ -1,10 +1,12 @@
 """Secret scans: patterns, and character Markov models of random strings and ordinary identifiers, in DataFrame functions.
 
-The base finds three kinds by pattern. The method adds kind ``markov``: a run of MIN_RUN and more key characters, outside
-the base spans, whose mean log-likelihood ratio per transition between the two models passes THRESHOLD. Both are
+The base finds three kinds by pattern. The method adds kind ``markov``: a run of MIN_RUN and more key characters, a digit
+among them, outside the base spans, whose mean log-likelihood ratio per transition between the two models passes
+THRESHOLD. Both are
 first-order models over the 80 characters from ``+`` to ``z``, smoothed by SMOOTHING. Random strings are labelled by the
 base patterns (the values they found in the texts) and by rule (encoded SHA-256 digests of numbers); ordinary identifiers
-are the runs of six and more key characters, without a base span, of a sample of the texts. Each model is fitted on at
+are the runs of six and more key characters, outside base spans, of a sample of the texts, but those that mix letters
+and digits. Each model is fitted on at
 most SAMPLE_DOCUMENTS documents' strings; the scan covers every text whole.
 
 Places are found without Python: matches are set off by a mark that the text can't hold, the text is split at it, and
@@ -35,7 +37,7 @@ LEAST_VALUE = 6
 MIN_RUN = 20
 RUN = r"[A-Za-z0-9+/_=-]{%d,}"
 SAMPLE_DOCUMENTS = 2_000
-SMOOTHING, THRESHOLD = 0.5, 0.6
+SMOOTHING, THRESHOLD = 0.5, 0.8
 FIRST, CHARS = ord("+"), 80
 _MARK, _OTHER = "\ue000", "\ue001"
 SPAN = "struct<start:int,stop:int,part:string>"
@@ -77,7 +79,7 @@ def _long_enough(piece: Column) -> Column:
 def scan_base(docs: DataFrame, names: tuple[str, ...] = (*KINDS[:3], "runs")) -> DataFrame:
     """``docs`` and, under ``names``, the spans of the three kinds and the runs that overlap none of them."""
     text = F.coalesce("text", F.lit(""))
-    found = dict(zip(names, (spans_of(text, ASSIGN, _long_enough), spans_of(text, ACCESS), spans_of(text, HEX), spans_of(text, RUN % MIN_RUN)), strict=True))
+    found = dict(zip(names, (spans_of(text, ASSIGN, _long_enough), spans_of(text, ACCESS), spans_of(text, HEX), spans_of(text, RUN % MIN_RUN, lambda run: run.rlike("[0-9]"))), strict=True))
     base = F.concat(*names[:3])
     return docs.withColumns(found).withColumn(names[3], F.filter(names[3], lambda r: ~F.exists(base, lambda b: _overlaps(r, b))))
 
@@ -99,7 +101,7 @@ def fit_ratio(docs: DataFrame, scanned: DataFrame, sample: int = SAMPLE_DOCUMENT
     picked = stored(docs.select("doc_id").distinct().filter("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample-ids")
     plain = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi")
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), ASSIGN, " "), ACCESS, " "), HEX, " ")
-    plain = plain.select(F.explode(F.regexp_extract_all(bare, F.lit(f"({RUN % 6})"), F.lit(1))).alias("part"))
+    plain = plain.select(F.explode(F.regexp_extract_all(bare, F.lit(f"({RUN % 6})"), F.lit(1))).alias("part")).filter(~(F.col("part").rlike("[0-9]") & F.col("part").rlike("[A-Za-z]")))
     tables = []
     for counts in (_counts(found.union(ruled)), _counts(plain)):
         rows = [0] * CHARS
