@@ -1,0 +1,330 @@
+"""Each operator against a brute-force version, on a whole small table and on odd rows."""
+
+import base64
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from tidemark.llm import decontaminate, ngrams, packing, passages, quality_rules, resample, secret_scan, simhash, token_counts, tokens, toxicity, url_filter
+from tidemark.llm.components import components
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_secrets_base(request, which):
+    docs = request.getfixturevalue(which)
+    got = secret_scan.find_secrets(docs).collect()
+    want = sorted((r["doc_id"] or -1, *brute.secrets(r["text"])[:4]) for r in docs.select("doc_id", "text").collect())
+    assert sorted((r["doc_id"] or -1, r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got) == want
+
+
+def test_secrets_of_other_forms_are_added_and_ordinary_runs_are_not(spark, documents):
+    rng = random.Random(3)
+    random_ = [base64.b64encode(rng.randbytes(30)).decode() for _ in range(60)] + [hashlib.sha256(rng.randbytes(4)).hexdigest().upper()[:40] for _ in range(20)]
+    plain = ["internationalization_of_the_reports", "mountain-river-and-valley-tour-guide", "thandthehereoronthingtherein", "some/relative/path/to/the/other/file", "--------------------------------", "the_configuration_file_of_this_module", "getUserAccountInformationById", "2024-01-01-report-final-version"]
+    rows = [(10_000 + i, f"see {t} there") for i, t in enumerate(random_ + plain * 5)]
+    both = documents.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = by_id(secret_scan.find_secrets(both).filter("doc_id >= 10000"))
+    hit = [got[10_000 + i]["n_markov"] for i in range(len(rows))]
+    assert sum(hit[: len(random_)]) >= 0.9 * len(random_) and sum(hit[len(random_) :]) == 0
+
+
+def test_redaction(odd, empty):
+    got = secret_scan.redact(odd)
+    assert got.columns == odd.columns and got.count() == odd.count()
+    text = by_id(got)[9]["text"]
+    assert text == 'the [redacted]" and [redacted] [redacted] end' and by_id(got)[9]["n_chars"] == len(text)
+    assert by_id(got)[5]["text"] == by_id(odd)[5]["text"] and by_id(got)[0]["text"] is None
+    assert secret_scan.redact(empty).count() == 0 and secret_scan.find_secrets(empty).count() == 0
+
+
+def test_marks_in_a_text_do_not_shift_places(spark):
+    text = "\ue000x\ue001 token = abcdef12 \ue000"
+    got = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got["spans"] == brute.secrets(text)[4] and got["n_assign"] == 1
+
+
+def test_token_ids_equal_the_plain_tokenizer(texts):
+    odd = ["<|endoftext|> it's  a\tb c ISN'T ΣΑΣ İx é \x1c x\x85y 'tis 12a ﬁ ǅ ª º² a_b __ ", "", "   ", "a" * 500, "don't!!' 's", "K½ x١٢ \u200bz", "'" * 250 + " a", "Ŀ ŉa ß ẞ Å"]
+    sample = [t for _, t in texts[:60]] + odd
+    e = tokens.Encoder(tokens.default_path())
+    assert e.by_word and list(tokens.encode_all(sample, tokens.default_path())) == e.plain(sample)
+
+
+def test_a_full_cache_changes_nothing(texts, monkeypatch):
+    monkeypatch.setattr(tokens, "GENERATION", 50)
+    monkeypatch.setattr(tokens, "TEXTS_AT_ONCE", 3000)
+    e = tokens.Encoder(tokens.default_path())
+    monkeypatch.setitem(tokens._ENCODERS, tokens.default_path(), e)
+    sample = [t for _, t in texts[:40]]
+    assert list(tokens.encode_all(sample, tokens.default_path())) == e.plain(sample)
+
+
+def test_token_counts(documents, texts, odd, empty):
+    report = token_counts.context_report(token_counts.length_histogram(documents)).collect()
+    n = np.array([len(x) for x in brute.tokens([t for _, t in texts])])
+    for r in report:
+        k = r["context_limit"]
+        assert (r["docs_at"], r["docs_total"], r["tokens_total"], r["docs_over"], r["tokens_over"]) == ((n == k).sum(), len(n), n.sum(), (n > k).sum(), n[n > k].sum())
+        assert r["tokens_kept"] == np.minimum(n, k).sum() and r["tokens_lost"] == (n - np.minimum(n, k)).sum()
+    full = token_counts.context_report(token_counts.length_histogram(documents))
+    limits = {r["share"]: r["context_limit"] for r in token_counts.quantile_limits(full).collect()}
+    assert limits[1.0] == n.max() and (n <= limits[0.5]).mean() >= 0.5
+    assert token_counts.length_histogram(odd).agg(F.sum("n_docs")).first()[0] == odd.count()
+    assert {r["docs_total"] for r in token_counts.context_report(token_counts.length_histogram(empty)).collect()} == {0}
+
+
+def test_toxicity_learns_and_ranks_held_out_rows(spark, odd, empty, labels):
+    """A planted word makes a text toxic: held-out rows must be told apart."""
+    rng = random.Random(1)
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    rows, marks = [], []
+    for i in range(1200):
+        bad = rng.random() < 0.3
+        body = [rng.choice(words) for _ in range(rng.randint(20, 200))]
+        for _ in range(rng.randint(2, 5) if bad else 0):
+            body.insert(rng.randint(0, len(body)), rng.choice(["vile", "nasty", "Foul!"]))
+        rows.append((i, " ".join(body)))
+        marks.append((i, 1, int(bad)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = by_id(toxicity.score_documents(docs, known))
+    import zlib
+
+    truth = {i: t for i, _, t in marks}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert {i for i, r in got.items() if r["held_out"]} == set(held)
+    pos, neg = [got[i]["score"] for i in held if truth[i]], [got[i]["score"] for i in held if not truth[i]]
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in pos for b in neg]) > 0.98
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
+    kept = toxicity.reject_toxic(docs.withColumn("score", F.lit(1)), known)
+    assert kept.columns == ["doc_id", "text", "score"] and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["score"] < 0.7}
+    none = toxicity.score_documents(odd, labels.filter("false"))
+    assert none.count() == odd.count() and {r["score"] for r in none.collect()} == {0.0}
+    assert toxicity.score_documents(empty, known).count() == 0 and toxicity.score_documents(odd, known).count() == odd.count()
+
+
+def test_toxicity_features_of_odd_texts():
+    from conftest import ODD
+
+    for t in ODD:
+        f = toxicity.features_of(t, frozenset({"one"}), frozenset({"two"}))
+        assert len(f) == len(toxicity.FEATURES) and all(np.isfinite(f))
+    assert toxicity.features_of("st*pid", frozenset({"stpid"}), frozenset())[13] > 0
+
+
+def test_fingerprints_and_classes(documents, texts):
+    got = by_id(simhash.near_duplicates(documents))
+    prints = {d: brute.simhash(t) for d, t in texts}
+    assert {d: r["fingerprint"] for d, r in got.items()} == {d: f"{f:016x}" for d, f in prints.items()}
+    assert {d: r["component_id"] for d, r in got.items()} == brute.components(prints)
+
+
+def test_links_at_exactly_three_bits_in_all_blocks(spark):
+    """Planted fingerprints at 0 to 5 bits, spread over the blocks in every way, chains included."""
+    rng = random.Random(7)
+    prints = []
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        prints.append(base)
+        for k in (1, 2, 3, 3, 3, 4, 5):
+            prints.append(base ^ sum(1 << b for b in rng.sample(range(64), k)))
+    for blocks in [(0, 1, 2), (22, 23, 24), (61, 62, 63), (0, 30, 50), (1, 2, 40), (21, 22, 43)]:
+        base = rng.getrandbits(64)
+        prints += [base, base ^ sum(1 << b for b in blocks)]
+    named = dict(enumerate(prints))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(f),) for f in set(prints)], "fp long")
+    got = {r["fp"]: r["class"] for r in simhash.fingerprint_classes(df).collect()}
+    want = brute.components(named)
+    ours, theirs = {}, {}
+    for i, f in named.items():
+        ours.setdefault(got[signed(f)], set()).add(i)
+        theirs.setdefault(want[i], set()).add(i)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count()
+    zero = {r["doc_id"]: r["component_id"] for r in got if r["fingerprint"] == "0" * 16}
+    assert zero == {0: 0, 1: 0, 2: 0}
+    kept = simhash.keep_one_each(odd)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == odd.columns and ids.count(10) == 1 and 11 not in ids and ids.count(None) == 1 and 1 not in ids
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one_each(empty).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(a, a + 1) for a in range(0, 300) if a % 37] + [(1000, x) for x in range(1001, 1100)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(80)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert got == {x: root(x) for x in list(parent) if x in got} and {a for e in edges if e[0] != e[1] for a in e} == set(got)
+
+
+def test_contamination(spark, data, documents, texts):
+    items = spark.read.parquet(f"{data}/benchmark.parquet")
+    want = brute.contamination(texts, [(r["item_id"], r["text"]) for r in items.collect()])
+    got = by_id(decontaminate.contamination(documents, items))
+    assert {d: tuple(r)[1:] for d, r in got.items()} == want and sum(v[4] for v in want.values()) > 0
+    kept = decontaminate.drop_contaminated(documents, items)
+    assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} == {d for d, v in want.items() if not v[4]}
+
+
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_ROWS, 0])
+def test_contamination_by_short_items_overlaps_and_odd_rows(spark, odd, empty, bound, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
+    item = [(1, "One"), (2, "two WORDS"), (3, None), (4, "... !!"), (5, "x y z x y z x y z x y z"), (6, "same text of some words here"), (7, "été"), (8, "ÉTÉ ß 東京")]
+    items = spark.createDataFrame(item, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    docs = odd.select("doc_id", "text", "words", "title")
+    rows = [(i, r["text"]) for i, r in enumerate(docs.collect())]
+    want = sorted(v for v in brute.contamination(rows, item).values())
+    got = decontaminate.contamination(docs, items).drop("doc_id").collect()
+    assert sorted(map(tuple, got)) == want
+    assert decontaminate.contamination(empty, items).count() == 0 and decontaminate.contamination(docs, items.filter("false")).filter("contaminated").count() == 0
+
+
+def test_urls(spark):
+    urls = ["http://www.Example.COM/en/1?x", "https://example.com/en/", "http://example.com/de", "http://a.net/es/1", "http://net/fr/", "http://b.org", "http://spam-farm.example.org/x", "http://notspam-farm.example.org/x", None, "", "no scheme", "http://", "x://y.com", "http://com/?q", "http://example.com#/en/", "a://b://c/"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.judge_urls(pages, url_filter.entries(spark)).collect()}
+    assert got[0] == ("www.example.com", "/en/1", "www.example.com/en/", "allow") == got[16] and got[1][2:] == ("example.com/en/", "block") and got[2][2:] == ("com/", "allow")
+    assert got[3][2:] == ("net/es/", "block") and got[4][2:] == ("net/fr/", "block") and got[5] == ("b.org", "", None, "allow")
+    assert got[6][2:] == (None, "block") and got[7][2:] == (None, "allow") and got[8] == got[9] == got[10] == ("", "", None, "allow")
+    assert got[12] == ("y.com", "", None, "allow") and got[13][2] == "com/" and got[14][1:] == ("", None, "allow") and got[15][0] == "b:"
+    assert url_filter.judge_urls(pages.filter("false"), url_filter.entries(spark)).count() == 0
+    assert {r["verdict"] for r in url_filter.judge_urls(pages, url_filter.entries(spark).filter("false")).collect()} == {"allow"}
+
+
+def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
+    keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    for most, worst in ((url_filter.BLOCKS, 0.05), (8, 1.0)):
+        bloom = url_filter.BlockedBloom(keys, most)
+        assert keys.filter(~bloom.may_hold(F.col("key"))).count() == 0
+        other = keys.select(F.concat(F.lit("o"), "key").alias("key"))
+        assert other.filter(bloom.may_hold(F.col("key"))).count() <= worst * 5000
+
+
+def test_packing(documents, texts, odd, empty):
+    rows = [r.asDict() for r in packing.pack_documents(documents).collect()]
+    assert brute.check_packing(texts, rows) < 0.02
+    few = [r.asDict() for r in packing.pack_documents(documents, group_pieces=50).collect()]
+    assert brute.check_packing(texts, few) < 0.1
+    assert packing.pack_documents(odd).agg(F.sum("length")).first()[0] == sum(len(x) + 1 for x in brute.tokens([r["text"] for r in odd.collect()]))
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_best_fit_takes_the_tightest_window():
+    rng = random.Random(4)
+    lengths = sorted((rng.randint(1, 100) for _ in range(500)), reverse=True)
+    windows, offsets = packing.best_fit_decreasing(lengths, 100)
+    left = {}
+    for n, w, o in zip(lengths, windows, offsets, strict=True):
+        fits = [v for v in left.values() if v >= n]
+        assert (w in left) == bool(fits) and (not fits or left[w] == min(fits))
+        left[w] = left.get(w, 100) - n
+        assert o + n + left[w] == 100
+
+
+def test_quality(documents, texts, labels, odd, empty):
+    got = by_id(quality_rules.judge(documents, labels))
+    for d, t in texts:
+        r = got[d]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute.quality(t)
+        assert r["kept"] == (not r["base_failed"] and r["log_ratio"] >= quality_rules.THRESHOLD)
+    odd_rows = quality_rules.judge(odd, labels).select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    assert sorted(map(tuple, odd_rows)) == sorted(brute.quality(r["text"]) for r in odd.collect())
+    assert quality_rules.judge(empty, labels).count() == 0 and quality_rules.judge(odd, labels.filter("false")).count() == odd.count()
+
+
+def test_quality_keeps_good_and_drops_bad(documents, labels):
+    both = quality_rules.judge(documents, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    share = {r["quality"]: r["kept"] for r in both}
+    assert share[1] > 0.9 and share[0] < 0.2
+
+
+def test_log_ratio_against_a_loop(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c d"), (3, None)], "doc_id long, text string")
+    ratio = ngrams.log_ratio(docs, spark.createDataFrame([(1,)], "doc_id long"), 1 << 10)
+    one = lambda *w: docs.limit(1).select(ngrams.bucket_of(*map(F.lit, w), buckets=1 << 10)).first()[0]
+    grams = {1: [("a",), ("b",), ("a",), ("a", "b"), ("b", "a")], 2: [("c",), ("d",), ("c", "d")]}
+    raw = [one(*g) for gs in grams.values() for g in gs]
+    target = [one(*g) for g in grams[1]]
+    a = one("a")
+    want = np.log((target.count(a) + 1) / (len(target) + 1024)) - np.log((raw.count(a) + 1) / (len(raw) + 1024))
+    assert ratio[a] == round(1000 * want)
+    got = docs.select(ngrams.mean_ratio(ngrams.words_of(F.col("text")), ratio)).collect()
+    assert got[0][0] == pytest.approx(np.mean([ratio[one(*g)] for g in grams[1]]) / 1000) and got[2][0] == 0
+
+
+def test_resampling(documents, labels, odd, empty):
+    got = resample.resample(documents, labels)
+    n = documents.count()
+    rows = got.collect()
+    assert len(rows) == n and abs(sum(r["kept"] for r in rows) - round(resample.SAMPLE_SHARE * n)) <= 2
+    assert min(r["key"] for r in rows if r["kept"]) >= max(r["key"] for r in rows if not r["kept"])
+    good = got.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept"))
+    share = {r["quality"]: r["kept"] for r in good.collect()}
+    assert share[1] > 0.9 and share[0] < 0.6
+    assert resample.resample(odd, labels).count() == odd.count() and resample.resample(empty, labels).count() == 0
+
+
+def test_kth_largest(spark):
+    rng = random.Random(9)
+    xs = [rng.gauss(0, 1) for _ in range(3000)] + [0.25] * 500
+    df = spark.createDataFrame([(x,) for x in xs], "key double")
+    for k in (1, 2, 700, 1500, 3499, 3500):
+        assert resample.kth_largest(df, k) == sorted(xs, reverse=True)[k - 1]
+    assert resample.kth_largest(df, 3501) is None and resample.kth_largest(df.limit(0), 1) is None
+
+
+def test_compact_windows_against_all_sequences():
+    rng = np.random.default_rng(5)
+    for n, least, top in ((30, 5, 1 << 60), (60, 7, 1 << 60), (5, 5, 1 << 60), (4, 5, 1 << 60)):
+        values = rng.integers(0, top, n, dtype=np.uint64)
+        got = {}
+        for c, left, right in zip(*passages.compact_windows(values, least), strict=True):
+            for i in range(left, c + 1):
+                for j in range(max(c, i + least - 1), right + 1):
+                    assert (i, j) not in got
+                    got[(i, j)] = c
+        assert got == {(i, j): i + int(np.argmin(values[i : j + 1])) for i in range(n) for j in range(i + least - 1, n)}
+
+
+def test_passages(spark, documents, texts, odd, empty):
+    got = passages.shared_passages(documents).collect()
+    words = {d: (t or "").encode().lower().split() for d, t in texts}
+    runs = {}
+    for d, w in words.items():
+        for i in range(len(w) - passages.PASSAGE + 1):
+            runs.setdefault(tuple(w[i : i + passages.PASSAGE]), set()).add(d)
+    want = {d for s in runs.values() if len(s) > 1 for d in s}
+    assert want <= {x for r in got for x in (r["doc_id"], r["match_doc_id"])} and want
+    grams = lambda w: set(zip(*(w[k:] for k in range(5)), strict=False))
+    for r in got:
+        a, b = grams(words[r["doc_id"]][r["start_word"] : r["end_word"]]), grams(words[r["match_doc_id"]][r["match_start_word"] : r["match_end_word"]])
+        assert len(a & b) / len(a | b) == pytest.approx(r["similarity"]) and r["similarity"] >= 0.8 and r["end_word"] - r["start_word"] >= passages.PASSAGE
+    assert passages.shared_passages(empty).count() == 0 and passages.shared_passages(odd).count() == 0
+    rng = random.Random(8)
+    shared = [f"p{rng.randint(0, 10**6)}" for _ in range(70)]
+    own = lambda: [f"q{rng.randint(0, 10**9)}" for _ in range(300)]
+    near = shared[:35] + ["changed"] + shared[36:]
+    docs = spark.createDataFrame([(1, " ".join(own() + shared + own())), (2, " ".join(shared + own())), (3, " ".join(own() + near)), (4, " ".join(own()))], "doc_id long, text string")
+    hits = {(r["doc_id"], r["match_doc_id"]) for r in passages.shared_passages(docs).collect()}
+    assert {x for h in hits for x in h} == {1, 2, 3}
