@@ -114,9 +114,12 @@ def test_toxicity_features_of_odd_texts():
     from conftest import ODD
 
     for t in ODD:
-        f = toxicity.features_of(t, frozenset({"one"}), frozenset({"two"}))
+        f = toxicity.features_of(t, toxicity.Lexicon(["one", "wor*"]), toxicity.Lexicon(["two"]))
         assert len(f) == len(toxicity.FEATURES) and all(np.isfinite(f))
-    assert toxicity.features_of("st*pid", frozenset({"stpid"}), frozenset())[13] > 0
+    hidden = toxicity.FEATURES.index("obfuscated_hits")
+    for word in ("1d1ot", "i.d.i.o.t", "id*iot"):
+        assert toxicity.features_of(f"you {word} there", toxicity.Lexicon(["idiot"]), toxicity.Lexicon([]))[hidden] > 0
+    assert toxicity.features_of("words wor", toxicity.Lexicon(["wor*"]), toxicity.Lexicon([]))[0] == 0.5
 
 
 def test_fingerprints_and_classes(documents, texts):

@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-The features of a text are densities of a learned lexicon (two tiers), lexicon words near second-person words,
-second-person words, capitals, shouted words, punctuation and its runs, symbols, digits, and obfuscated spellings.
+The features of a text are densities of a learned lexicon (words and stems, two tiers), lexicon words near second-person
+words, second-person words, capitals, shouted words, punctuation and its runs, symbols, digits, and obfuscated spellings.
 The lexicon, the trees and the calibration are fitted on a bounded sample of labelled rows; every text is scored whole.
 
 Defined results: a null or empty text has all features zero and is scored like any other; a row of ``labels`` with a
@@ -29,7 +29,7 @@ from tidemark.llm.common import fresh, stored
 #: Labelled rows that the lexicon and the trees are fitted on, at most: those whose ids have the smallest hashes.
 TRAINING_ROWS = 12_000
 #: Entries of each tier of the lexicon, at most, and the labelled documents that a word must be in, at least.
-LEXICON_WORDS, LEXICON_SUPPORT = 150, 5
+LEXICON_WORDS, LEXICON_SUPPORT = 400, 5
 TREES, DEPTH = 20, 4
 REJECT_AT = 0.7
 
@@ -38,13 +38,18 @@ SECOND_PERSON = frozenset("you your yours yourself u ur tu te ti toi ton ta tes
 # Characters that stand for letters in obfuscated spellings.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
+#: Lengths of word stems that the lexicon may hold beside whole words.
+STEMS = (3, 4, 5, 6, 7)
+
 FEATURES = (
-    "strong_density", "strong_count", "weak_density", "near_second_person", "second_person", "capitals", "shouted",
+    "strong_density", "strong_count", "strong_distinct", "weak_density", "near_second_person", "second_person", "capitals", "shouted",
     "exclaiming", "punctuation", "punctuation_runs", "symbols", "digits", "obfuscated", "obfuscated_hits", "length",
 )
 
 _WORD = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"[^\W\d_]+[013457@$*]+[^\W\d_]+|[^\W\d_]+(?:[.\-_][^\W\d_](?![^\W\d_])){2,}")
+_SHOUTED = re.compile(r"[A-Z]{3,}")
+_INSIDE = re.compile(r"(?<=[^\W\d_])[013457@$*]+(?=[^\W\d_])")
+_SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][.\-_]){2,}[^\W\d_](?![^\W\d_])")
 _LETTERS = str.maketrans(LOOKALIKE)
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[list(b"!\"'(),-.:;?[]{}")] = True
@@ -52,34 +57,75 @@ _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#$%&*+/<=>@\\^_`|~")] = True
 
 
-def features_of(text: str | None, strong: frozenset[str], weak: frozenset[str], reach: int = 5) -> list[float]:
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_STAND_IN, _SEPARATOR = np.zeros(256, bool), np.zeros(256, bool)
+_STAND_IN[list(b"013457@$*")] = True
+_SEPARATOR[list(b".-_")] = True
+
+
+class Lexicon:
+    """Terms are words, or ``abc*`` for every longer word that starts so."""
+
+    def __init__(self, terms: list[str]):
+        self.words = frozenset(t for t in terms if not t.endswith("*"))
+        self.stems = [(n, frozenset(t[:-1] for t in terms if t.endswith("*") and len(t) == n + 1)) for n in STEMS]
+        self.stems = [(n, held) for n, held in self.stems if held]
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.words or any(word[:n] in held for n, held in self.stems)
+
+    def of(self, words: set[str]) -> set[str]:
+        found = words & self.words
+        for n, held in self.stems:
+            found.update(w for w in words if w[:n] in held and len(w) > n)
+        return found
+
+
+def _disguised(text: str, raw: np.ndarray) -> list[str]:
+    """Words that are spelled with look-alikes, masked letters or separators, undone as far as can be. The patterns run
+    only on texts whose bytes have such a place."""
+    letter, stand_in, separator = _LETTER[raw], _STAND_IN[raw], _SEPARATOR[raw]
+    spelled = (letter[:-2] & separator[1:-1] & letter[2:]).any()
+    inside = (letter[:-1] & stand_in[1:]).any() and (stand_in[:-1] & letter[1:]).any()
+    out = [m[0].translate(str.maketrans("", "", ".-_")) for m in _SPELLED.finditer(text)] if spelled else []
+    for m in _INSIDE.finditer(text) if inside else ():
+        a, b = m.start(), m.end()
+        while a and text[a - 1].isalpha():
+            a -= 1
+        while b < len(text) and text[b].isalpha():
+            b += 1
+        out.append(text[a:b].translate(_LETTERS).replace("*", ""))
+    return [w.lower() for w in out]
+
+
+def features_of(text: str | None, strong: Lexicon, weak: Lexicon, reach: int = 5) -> list[float]:
     """The dense features of one text, in the order of FEATURES."""
     if not text:
         return [0.0] * len(FEATURES)
     raw = np.frombuffer(text.encode(), np.uint8)
-    words, shape = _WORD.findall(text.lower()), _WORD.findall(text)
-    n, size = max(len(words), 1), len(raw)
-    at = [i for i, w in enumerate(words) if w in strong]
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    words = _WORD.findall(text.lower())
+    n, size, distinct = max(len(words), 1), len(raw), set(words)
+    bad, addressed, doubtful = strong.of(distinct), distinct & SECOND_PERSON, weak.of(distinct)
+    at = [i for i, w in enumerate(words) if w in bad] if bad else []
+    you = [i for i, w in enumerate(words) if w in addressed] if addressed else []
     near = 0
     if at and you:
         spots = np.asarray(you)
         k = np.searchsorted(spots, at)
         gap = np.minimum(np.abs(spots[np.minimum(k, len(spots) - 1)] - at), np.abs(spots[np.maximum(k - 1, 0)] - at))
         near = int((gap <= reach).sum())
-    marks = _PUNCTUATION[raw]
-    disguised = _DISGUISED.findall(text)
-    hidden = sum(re.sub(r"[*.\-_]", "", x.lower().translate(_LETTERS)) in strong for x in disguised)
+    marks, shouted, disguised = _PUNCTUATION[raw], _SHOUTED.findall(text), _disguised(text, raw)
     return [
-        len(at) / n, float(np.log1p(len(at))), sum(map(weak.__contains__, words)) / n, near / n, len(you) / n,
-        float(((raw >= 65) & (raw <= 90)).mean()), sum(len(w) > 2 and w.isupper() for w in shape) / n,
-        float(((raw == 33) | (raw == 63)).mean()), float(marks.mean()), float((marks[1:] & marks[:-1]).mean()) if size > 1 else 0.0,
-        float(_SYMBOLS[raw].mean()), float(((raw >= 48) & (raw <= 57)).mean()), len(disguised) / n, hidden / n, float(np.log1p(n)),
+        len(at) / n, float(np.log1p(len(at))), float(len(bad)), sum(w in doubtful for w in words) / n if doubtful else 0.0, near / n, len(you) / n,
+        float(((raw >= 65) & (raw <= 90)).mean()), len(shouted) / n, float(((raw == 33) | (raw == 63)).mean()), float(marks.mean()),
+        float((marks[1:] & marks[:-1]).mean()) if size > 1 else 0.0, float(_SYMBOLS[raw].mean()), float(((raw >= 48) & (raw <= 57)).mean()),
+        len(disguised) / n, sum(w in strong for w in disguised) / n, float(np.log1p(n)),
     ]
 
 
 def feature_column(text: Column, strong: list[str], weak: list[str]) -> Column:
-    tiers = frozenset(strong), frozenset(weak)
+    tiers = Lexicon(strong), Lexicon(weak)
 
     @F.pandas_udf("array<double>")
     def dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -116,8 +162,10 @@ class ToxicityModel:
 
 
 def learn_lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Words whose smoothed odds of a toxic document are highest, in two tiers; ``sample`` has text and toxic."""
-    words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word")).filter(F.length("word") >= 2)
+    """Words and stems whose share of toxic documents is highest, in two tiers; ``sample`` has text and toxic."""
+    words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w")).filter(F.length("w") >= 2)
+    stems = F.array(F.col("w"), *(F.when(F.length("w") > n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in STEMS))
+    words = words.select("toxic", F.explode(stems).alias("word")).filter("word IS NOT NULL")
     held = words.groupBy("word").agg(F.sum("toxic").alias("yes"), F.count("*").alias("n")).filter(F.col("yes") >= LEXICON_SUPPORT)
     share = F.col("yes") / F.col("n")
     total = sample.agg(F.avg("toxic")).first()[0] or 0.0
