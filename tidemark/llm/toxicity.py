@@ -73,7 +73,7 @@ class Lexicon:
         self.stems = [(n, held) for n, held in self.stems if held]
 
     def __contains__(self, word: str) -> bool:
-        return word in self.words or any(word[:n] in held for n, held in self.stems)
+        return word in self.words or any(word[:n] in held and len(word) > n for n, held in self.stems)
 
     def of(self, words: set[str]) -> set[str]:
         found = words & self.words
@@ -91,9 +91,9 @@ def _disguised(text: str, raw: np.ndarray) -> list[str]:
     out = [m[0].translate(str.maketrans("", "", ".-_")) for m in _SPELLED.finditer(text)] if spelled else []
     for m in _INSIDE.finditer(text) if inside else ():
         a, b = m.start(), m.end()
-        while a and text[a - 1].isalpha():
+        while a and (text[a - 1].isalpha() or text[a - 1] in "013457@$*"):
             a -= 1
-        while b < len(text) and text[b].isalpha():
+        while b < len(text) and (text[b].isalpha() or text[b] in "013457@$*"):
             b += 1
         out.append(text[a:b].translate(_LETTERS).replace("*", ""))
     return [w.lower() for w in out]
