@@ -49,4 +49,4 @@ def digest(forecasts: DataFrame, as_of: Column, oldest: int = 3) -> DataFrame:
     counts = forecasts.agg(F.count_if((F.col("status") == "open") & (F.col("review_date") <= as_of)).alias("n_due"), F.count_if(F.col("status") == "pending").alias("n_pending"), F.count_if(F.col("status") == "open").alias("n_open"))
     first = forecasts.filter("status = 'open'").orderBy("opened", "thesis_id").limit(oldest)
     ids = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("opened", "thesis_id"))), lambda x: x["thesis_id"]).alias("oldest"))
-    return counts.crossJoin(F.broadcast(ids))  # one-row tables
+    return counts.withColumn("_k", F.lit(0)).join(ids.withColumn("_k", F.lit(0)), "_k").drop("_k")  # one-row tables

@@ -57,7 +57,7 @@ def report(events: DataFrame, rets: DataFrame, windows: tuple[tuple[int, int], .
         t = newey_west(cars, "car").select("series", "t")
         collapsed = kept.groupBy("ticker").agg(F.max("n_collapsed").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_collapsed"))
         one = cars.groupBy("series").agg(F.count("car").alias("n"), F.avg("car").alias("mean_car"), F.avg("car_mm").alias("mean_car_mm"), F.avg((F.col("car") > 0).cast("double")).alias("hit_rate"), F.sum(F.col("car").isNull().cast("long")).alias("n_skipped"))
-        one = one.join(t, "series", "left").crossJoin(F.broadcast(collapsed)).crossJoin(F.broadcast(no_beta))  # one-row tables
+        one = one.join(t, "series", "left").join(collapsed.withColumn("series", F.lit(label)), "series").join(no_beta.withColumn("series", F.lit(label)), "series")
         out = one if out is None else out.union(one)
     return out.withColumnRenamed("series", "window")
 
