@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -95,8 +96,6 @@ def test_toxicity_learns_and_ranks_held_out_rows(spark, odd, empty, labels):
         marks.append((i, 1, int(bad)))
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
     got = by_id(toxicity.score_documents(docs, known))
-    import zlib
-
     truth = {i: t for i, _, t in marks}
     held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
     assert {i for i, r in got.items() if r["held_out"]} == set(held)
@@ -111,9 +110,7 @@ def test_toxicity_learns_and_ranks_held_out_rows(spark, odd, empty, labels):
 
 
 def test_toxicity_features_of_odd_texts():
-    from conftest import ODD
-
-    for t in ODD:
+    for t in brute.ODD:
         f = toxicity.features_of(t, toxicity.Lexicon(["one", "wor*"]), toxicity.Lexicon(["two"]))
         assert len(f) == len(toxicity.FEATURES) and all(np.isfinite(f))
     hidden = toxicity.FEATURES.index("obfuscated_hits")
