@@ -2,6 +2,7 @@ import pytest
 
 from brute import ODD
 
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """The odd texts, one row twice, a row without an id, and columns with clashing names."""
