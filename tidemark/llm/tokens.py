@@ -17,9 +17,9 @@ import numpy as np
 
 #: Chunks, and words, in a generation of a worker's cache; a full generation becomes the old one, from which what is met
 #: again is taken over. So a worker holds two generations at most.
-GENERATION = 500_000
+GENERATION = 150_000
 #: Characters of text that are encoded together.
-TEXTS_AT_ONCE = 4_000_000
+TEXTS_AT_ONCE = 2_000_000
 _MARKS = "".join(c for c in string.punctuation)
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -45,7 +45,7 @@ class Encoder:
             from tokenizers import normalizers, pre_tokenizers
 
             #: For lower-case Latin words and marks, of which each is one pre-token: nothing is left to normalise or split.
-            self.single = Tokenizer.from_file(path)
+            self.single = Tokenizer(self.tokenizer.model)  # the same model, held once
             self.single.normalizer = normalizers.Sequence([])
             self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 16, bool)
@@ -77,7 +77,8 @@ class Encoder:
         for c in chunks:
             core = c.rstrip(_MARKS)
             if (core == "" or core.isalpha()) and max(c) < "ɐ" and len(c) < 200:
-                two.append((c, core.lower(), c[len(core) :]))
+                low = core.lower()
+                two.append((c, c if low == c else low, c[len(core) :]))  # an equal string is held once
             else:
                 odd.append(c)
         need = {w for x in two for w in x[1:]}
