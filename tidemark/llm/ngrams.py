@@ -24,12 +24,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
 
 
-def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
-    """The buckets of the words and of the pairs of neighbours."""
-    n = F.size(words)
-    one = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
-    left, right = F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0)))
-    return F.concat(F.transform(words, lambda w: one(w)), F.zip_with(left, right, lambda a, b: one(a, b)))
+def bucket_of(*parts: Column, buckets: int = BUCKETS) -> Column:
+    """The bucket of a word or of a pair; ``buckets`` is a power of two."""
+    return F.xxhash64(*parts).bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+def _following(words: Column) -> Column:
+    return F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+
+
+def gram_rows(rows: DataFrame, keep: list[str], buckets: int = BUCKETS) -> DataFrame:
+    """The columns ``keep`` and a bucket, for each word of column words and each pair of neighbours."""
+    pairs = rows.select(*keep, F.explode(F.arrays_zip(F.col("words").alias("a"), _following(F.col("words")).alias("b"))).alias("p"))
+    pair = F.when(F.col("p.b").isNotNull(), bucket_of(F.col("p.a"), F.col("p.b"), buckets=buckets))
+    return pairs.select(*keep, F.explode(F.array(bucket_of(F.col("p.a"), buckets=buckets), pair)).alias("bucket")).filter("bucket IS NOT NULL")
 
 
 def trusted_ids(labels: DataFrame, docs: DataFrame, most: int = TARGET_DOCUMENTS) -> DataFrame:
@@ -42,7 +50,7 @@ def trusted_ids(labels: DataFrame, docs: DataFrame, most: int = TARGET_DOCUMENTS
 def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Thousandths of the log ratio of target to raw, by bucket; all zero without trusted documents."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
-    grams = marked.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode(buckets_of(words_of(F.col("text")), buckets)).alias("bucket"))
+    grams = gram_rows(marked.select(F.coalesce("good", F.lit(0)).alias("good"), words_of(F.col("text")).alias("words")), ["good"], buckets)
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()  # at most ``buckets`` rows
     raw, target = [0] * buckets, [0] * buckets
     for r in counts:
@@ -57,6 +65,7 @@ def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> li
 def mean_ratio(words: Column, ratio: list[int]) -> Column:
     """Mean log ratio over a text's n-grams; zero without words."""
     table = F.from_json(F.lit("[" + ",".join(map(str, ratio)) + "]"), "array<int>")  # folded to one constant
-    grams = buckets_of(words, len(ratio))
-    total = F.aggregate(grams, F.lit(0).cast("long"), lambda acc, b: acc + F.element_at(table, b + 1))
+    value = lambda *parts: F.get(table, bucket_of(*parts, buckets=len(ratio)))
+    each = F.zip_with(words, _following(words), lambda a, b: F.when(b.isNull(), value(a)).otherwise(value(a) + value(a, b)))
+    total = F.aggregate(each, F.lit(0).cast("long"), lambda acc, x: acc + x)
     return F.when(F.size(words) > 0, total / (F.lit(1000.0) * (2 * F.size(words) - 1))).otherwise(F.lit(0.0))
