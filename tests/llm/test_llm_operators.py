@@ -328,3 +328,35 @@ def test_passages(spark, documents, texts, odd, empty):
     docs = spark.createDataFrame([(1, " ".join(own() + shared + own())), (2, " ".join(shared + own())), (3, " ".join(own() + near)), (4, " ".join(own()))], "doc_id long, text string")
     hits = {(r["doc_id"], r["match_doc_id"]) for r in passages.shared_passages(docs).collect()}
     assert {x for h in hits for x in h} == {1, 2, 3}
+
+
+def test_every_passage_of_a_pair_is_found_with_its_span():
+    rng = np.random.default_rng(11)
+    fresh = lambda n: rng.integers(0, 1 << 60, n, dtype=np.uint64)
+    least, whole = passages.LEAST, fresh(1000)
+    edited = whole.copy()
+    for i in range(70, 1000, 70):
+        edited[i : i + passages.SHINGLE] = fresh(passages.SHINGLE)
+    one, two, phrase = fresh(60), fresh(60), fresh(8)
+    repeated = np.tile(fresh(10), 12)
+    pairs = [
+        (edited, whole),
+        (np.r_[one, fresh(20), two], np.r_[one, fresh(30), two]),
+        (np.r_[fresh(40), phrase, one, fresh(9), two, phrase], np.r_[phrase, fresh(80), two, phrase, fresh(50), phrase, one, phrase]),
+        (np.r_[fresh(30), one, fresh(30)], np.r_[one, fresh(70), one]),
+        (np.r_[fresh(30), repeated], np.r_[repeated, fresh(30)]),
+        (fresh(300), fresh(300)),
+    ]
+    for a, b in pairs:
+        found = passages.matching_passages(a, b)
+        sets = [set(b[j : j + least].tolist()) for j in range(len(b) - least + 1)]
+        for s in range(len(a) - least + 1):
+            x = set(a[s : s + least].tolist())
+            if any(len(x & y) >= passages.SIMILARITY * len(x | y) for y in sets):
+                assert any(f[0] <= s + 9 and s + least - 10 <= f[1] for f in found), s  # 9 shingles at its ends may be foreign
+        for s, e, sb, eb, jaccard in found:
+            x, y = set(a[s : e + 1].tolist()), set(b[sb : eb + 1].tolist())
+            assert e - s + 1 >= least and len(x & y) / len(x | y) == jaccard >= passages.SIMILARITY
+    spans = [f[:4] for f in passages.matching_passages(*pairs[1])]
+    assert spans == [(0, 59, 0, 59), (80, 139, 90, 149)]
+    assert [f[:2] for f in passages.matching_passages(*pairs[0])] == [(0, 999)]
