@@ -360,3 +360,35 @@ def test_every_passage_of_a_pair_is_found_with_its_span():
     spans = [f[:4] for f in passages.matching_passages(*pairs[1])]
     assert spans == [(0, 59, 0, 59), (80, 139, 90, 149)]
     assert [f[:2] for f in passages.matching_passages(*pairs[0])] == [(0, 999)]
+
+
+def test_passages_beside_repeated_phrases(spark):
+    rng = random.Random(21)
+    own = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    phrases = [own(6) for _ in range(12)]
+    rows = []
+    for pair in range(8):
+        shared, other = own(60), own(60)
+        for side in range(2):
+            text = own(20)
+            for p in rng.sample(phrases, 8):  # phrases before, between and behind, at other places in each document
+                text += p + own(rng.randint(3, 9))
+            text += shared + rng.choice(phrases) + own(5) + (shared if side else []) + own(30)
+            for p in rng.sample(phrases, 8):
+                text += p + own(rng.randint(3, 9))
+            rows.append((2 * pair + side, " ".join(text + other + rng.choice(phrases))))
+    for pair in range(4):  # all of a passage's phrases stand before it too, in another order
+        shared = own(60)
+        for side in range(2):
+            starts = rng.sample(range(53), 53)
+            rows.append((100 + 2 * pair + side, " ".join([x for i in starts for x in shared[i : i + 8] + own(40)] + shared)))
+    words = {d: t.encode().lower().split() for d, t in rows}
+    runs = {}
+    for d, w in words.items():
+        for i in range(len(w) - passages.PASSAGE + 1):
+            runs.setdefault(tuple(w[i : i + passages.PASSAGE]), set()).add((d, i))
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for places in runs.values():
+        if len({d for d, _ in places}) > 1:
+            for d, i in places:
+                assert any(r["doc_id"] == d and r["start_word"] <= i and i + passages.PASSAGE <= r["end_word"] for r in got), (d, i)
