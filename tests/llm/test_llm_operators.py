@@ -392,3 +392,18 @@ def test_passages_beside_repeated_phrases(spark):
         if len({d for d, _ in places}) > 1:
             for d, i in places:
                 assert any(r["doc_id"] == d and r["start_word"] <= i and i + passages.PASSAGE <= r["end_word"] for r in got), (d, i)
+
+
+def test_documents_that_hold_only_phrases_do_not_hide_a_passage(spark):
+    rng = random.Random(33)
+    own = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows, want = [], []
+    for k in range(6):
+        shared = own(55 + 5 * k)
+        for d in (500 + 10 * k, 505 + 10 * k):
+            rows.append((d, " ".join(own(60) + shared + own(60))))
+            want.append((d, 60, 60 + len(shared)))
+        for i in range(len(shared) - 4):  # each 5-word phrase also in documents of smaller and of larger ids
+            rows += [(d, " ".join(own(60) + shared[i : i + 5] + own(60))) for d in (1000 * k + 2 * i + 10_000, -1000 * k - 2 * i - 10_000)]
+    got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == sorted(want)
