@@ -407,3 +407,14 @@ def test_documents_that_hold_only_phrases_do_not_hide_a_passage(spark):
             rows += [(d, " ".join(own(60) + shared[i : i + 5] + own(60))) for d in (1000 * k + 2 * i + 10_000, -1000 * k - 2 * i - 10_000)]
     got = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["start_word"], r["end_word"]) for r in got) == sorted(want)
+
+
+def test_the_target_model_counts_every_trusted_document(spark, monkeypatch):
+    n = 20_050
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id % 7, ' v', id % 11) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 400 = 399 THEN 0 ELSE 1 END AS quality")
+    good = ngrams.trusted_ids(labels, docs)
+    assert good.count() == sum(i % 400 != 399 for i in range(n)) and ngrams.trusted_ids(labels.selectExpr("doc_id", "1 AS quality"), docs).count() == n
+    ratio = ngrams.log_ratio(docs, good)
+    monkeypatch.setattr(ngrams, "BROADCAST_ROWS", 0)
+    assert ngrams.log_ratio(docs, good) == ratio and not any(ngrams.log_ratio(docs, docs.select("doc_id")))

@@ -1,8 +1,8 @@
 """Hashed word n-gram models: bucket counts of a target and of the raw corpus, and their log ratio per bucket.
 
-Words and word pairs are hashed into BUCKETS buckets. The raw counts cover every document. The target is given by ids of
-trusted documents, at most TARGET_DOCUMENTS of them (a documented bound; those with the smallest hashes). The two models
-are multinomials over the buckets, smoothed by SMOOTHING; their log ratio is a table of fixed size.
+Words and word pairs are hashed into BUCKETS buckets. The raw counts cover every document, those of the target every
+trusted document. Trusted ids are broadcast up to BROADCAST_ROWS, beyond that the join shuffles. The two models are
+multinomials over the buckets, smoothed by SMOOTHING; their log ratio is a table of fixed size.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored
 
 BUCKETS = 1 << 14
-TARGET_DOCUMENTS = 20_000
+BROADCAST_ROWS = 200_000
 SMOOTHING = 1.0
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -40,16 +40,18 @@ def gram_rows(rows: DataFrame, keep: list[str], buckets: int = BUCKETS) -> DataF
     return pairs.select(*keep, F.explode(F.array(bucket_of(F.col("p.a"), buckets=buckets), pair)).alias("bucket")).filter("bucket IS NOT NULL")
 
 
-def trusted_ids(labels: DataFrame, docs: DataFrame, most: int = TARGET_DOCUMENTS) -> DataFrame:
-    """Stored ids of at most ``most`` documents labelled good."""
+def trusted_ids(labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Stored ids of all documents labelled good."""
     good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    good = good.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    return stored(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "trusted")
+    return stored(good.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "trusted")
 
 
 def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Thousandths of the log ratio of target to raw, by bucket; all zero without trusted documents."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("good", F.lit(1))), "doc_id", "left")
+    good = trusted.withColumn("good", F.lit(1))
+    if trusted.count() <= BROADCAST_ROWS:
+        good = F.broadcast(good)
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
     grams = gram_rows(marked.select(F.coalesce("good", F.lit(0)).alias("good"), words_of(F.col("text")).alias("words")), ["good"], buckets)
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()  # at most ``buckets`` rows
     raw, target = [0] * buckets, [0] * buckets
