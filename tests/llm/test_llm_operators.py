@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,9 +55,11 @@ def test_marks_in_a_text_do_not_shift_places(spark):
 
 def test_token_ids_equal_the_plain_tokenizer(texts):
     odd = ["<|endoftext|> it's  a\tb c ISN'T ΣΑΣ İx é \x1c x\x85y 'tis 12a ﬁ ǅ ª º² a_b __ ", "", "   ", "a" * 500, "don't!!' 's", "K½ x١٢ \u200bz", "'" * 250 + " a", "Ŀ ŉa ß ẞ Å"]
+    odd += [f"{chr(c)}x y{chr(c)} Q{chr(c)}q {chr(c)} {chr(c)}.. '{chr(c)}" for c in range(1, 0x250)] + [None, "İ", "İstanbul", "aİb c"]
     sample = [t for _, t in texts[:60]] + odd
     e = tokens.Encoder(tokens.default_path())
-    assert e.by_word and list(tokens.encode_all(sample, tokens.default_path())) == e.plain(sample)
+    assert e.by_word and list(tokens.encode_all(sample, tokens.default_path())) == e.plain([t or "" for t in sample])
+    assert [np.diff(e.encode(pa.array(sample), True)[1]).sum()] == [sum(len(x) for x in e.plain([t or "" for t in sample])) // 4]
 
 
 def test_a_full_cache_changes_nothing(texts, monkeypatch):
@@ -230,6 +233,21 @@ def test_packing(documents, texts, odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null_ones_and_cuts_long_texts(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(400_000))  # some 3 MB
+    big = (1 << 53) + 1
+    rows = [(big, "one two"), (None, "three"), (big + 2, long), (-big, None)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    assert {r["doc_id"] for r in got} == {big, None, big + 2, -big}
+    ids = brute.tokens([long])[0]
+    pieces = sorted((r["start"], r["length"], r["ids_crc32"]) for r in got if r["doc_id"] == big + 2)
+    whole = np.asarray([*ids, packing.END_ID], "<u4")
+    assert pieces == [(a, len(whole[a : a + 4096]), zlib.crc32(whole[a : a + 4096].tobytes())) for a in range(0, len(whole), 4096)]
+    places = [(r["sequence_id"], r["offset"]) for r in got]
+    assert len(set(places)) == len(places) and len({r["sequence_id"] for r in got if r["length"] == 4096}) == len(whole) // 4096
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(4)
     lengths = sorted((rng.randint(1, 100) for _ in range(500)), reverse=True)

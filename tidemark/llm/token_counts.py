@@ -14,11 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import default_path, encode_all
+from tidemark.llm.common import stored
+from tidemark.llm.tokens import default_path, encoder, parts_of
 
 #: Lengths per block of the two-level sums.
 BLOCK = 1024
@@ -28,17 +30,18 @@ LARGEST_POWER = 20
 def encoded_length(text: Column, path: str | None = None) -> Column:
     file = path or default_path()
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([len(ids) // 4 for ids in encode_all(batch, file)], dtype="int64")
+            lengths = [np.diff(encoder(file).encode(part, lengths_only=True)[1]) for part in parts_of(batch)]
+            yield pa.array(np.concatenate(lengths) if lengths else [], pa.int64())
 
     return count(text)
 
 
 def length_histogram(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs): one row per length."""
-    return docs.select(encoded_length(F.col("text"), path).alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    """(n_tokens, n_docs): one row per length, stored, so that no use of it tokenizes again."""
+    return stored(docs.select(encoded_length(F.col("text"), path).alias("n_tokens")).groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
 
 
 def context_report(histogram: DataFrame) -> DataFrame:

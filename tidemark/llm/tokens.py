@@ -1,9 +1,10 @@
-"""Token ids of whole texts by a public tokenizer file, with each distinct word encoded once per worker.
+"""Token ids of whole texts by a public tokenizer file, with Arrow and numpy instead of a loop over words.
 
 The word-level tokenizer drops white space and splits texts by a pattern that never crosses it, so the ids of a text are
-those of its space-separated chunks in turn. A chunk of Latin letters and trailing ASCII punctuation is two pre-tokens,
-each of which ends at an id with the end-of-word mark; so many of them are encoded in one call and cut at the marks. Any
-other chunk is encoded on its own. A tokenizer of another kind encodes whole texts.
+those of its white-space separated chunks in turn. Of a batch of texts only the distinct chunks are looked at. A chunk of
+Latin letters and trailing ASCII punctuation is two words, each of which is one pre-token and ends at an id with the
+end-of-word mark; so many new words are encoded in one call and cut at the marks, and a worker keeps at most GENERATION
+of them. Any other chunk goes to the plain tokenizer as it is. A tokenizer of another kind encodes whole texts.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-
-#: Chunks, and words, in a generation of a worker's cache; a full generation becomes the old one, from which what is met
-#: again is taken over. So a worker holds two generations at most.
-GENERATION = 150_000
-#: Characters of text that are encoded together.
-TEXTS_AT_ONCE = 2_000_000
-_MARKS = "".join(c for c in string.punctuation)
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Words that a worker keeps the ids of, at most, between batches.
+GENERATION = 400_000
+#: Bytes of text that are encoded together.
+TEXTS_AT_ONCE = 8_000_000
+#: Words in one call of the tokenizer.
+_CALL = 2_000
+#: The capital I with a dot becomes two characters in lower case, of which the second splits the word.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1)
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -30,6 +35,14 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _joined(lists: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(lists) if lists else np.empty(0, "<u4")
+
+
+def _edges(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,63 +63,78 @@ class Encoder:
             self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 16, bool)
             self.ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith(suffix)]] = True
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {"": b""}
-        self.old_chunks: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The cache: a word's number, and by numbers the edges of the words' ids in ``ids``. The empty word is number 0."""
+        self.number: dict[str, int] = {"": 0}
+        self.edges, self.ids = np.zeros(2, np.int64), np.empty(0, "<u4")
 
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Each of ``words`` is one pre-token."""
-        for start in range(0, len(words), 20_000):
-            part = words[start : start + 20_000]
-            ids = np.asarray(self.single.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and edges of ``words``, of which each is one pre-token."""
+        ids, counts = [], []
+        for start in range(0, len(words), _CALL):
+            part = words[start : start + _CALL]
+            own = np.asarray(self.single.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.ends[own]) + 1
             if len(cut) != len(part):  # a word was not one pre-token after all
-                self.words.update(zip(part, self.plain(part), strict=True))
-                continue
-            raw, edges = ids.tobytes(), [0, *(cut * 4).tolist()]
-            self.words.update(zip(part, (raw[a:b] for a, b in zip(edges, edges[1:], strict=False)), strict=True))
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.words) > GENERATION:
-            self.old_words, self.words = self.words, {"": b""}
-        two, odd = [], []
-        for c in chunks:
-            core = c.rstrip(_MARKS)
-            if (core == "" or core.isalpha()) and max(c) < "ɐ" and len(c) < 200:
-                low = core.lower()
-                two.append((c, c if low == c else low, c[len(core) :]))  # an equal string is held once
-            else:
-                odd.append(c)
-        need = {w for x in two for w in x[1:]}
-        need.difference_update(self.words)
-        kept = {w: self.old_words[w] for w in need if w in self.old_words}
-        self.words.update(kept)
-        need.difference_update(kept)
-        if need:
-            self._learn_words(list(need))
-        words = self.words
-        self.chunks.update((c, words[a] + words[b]) for c, a, b in two)
-        if odd:
-            self.chunks.update(zip(odd, self.plain(odd), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each whole text. New words of all the texts are learned together."""
+                each = [np.frombuffer(x, "<u4") for x in self.plain(part)]
+                own, cut = _joined(each), np.cumsum([len(x) for x in each], dtype=np.int64)
+            ids.append(own)
+            counts.append(np.diff(cut, prepend=0))
+        return _joined(ids), _edges(np.concatenate(counts) if counts else np.empty(0, np.int64))
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """The number of each of ``words``; new ones enter the cache, which starts anew when it is full."""
+        if len(self.number) > GENERATION:
+            self._forget()
+        new = [w for w in words if w not in self.number]
+        if new:
+            ids, edges = self._ids_of(new)
+            first = len(self.number)
+            self.number.update(zip(new, range(first, first + len(new)), strict=True))
+            self.edges = np.concatenate((self.edges, self.edges[-1] + edges[1:]))
+            self.ids = np.concatenate((self.ids, ids))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The table of ids, its edges, and the two places in it of every chunk of ``chunks`` (distinct)."""
+        core = pc.utf8_rtrim(chunks, characters=string.punctuation)
+        marks = pc.utf8_ltrim(chunks, characters=_LETTERS)
+        easy = pc.equal(pc.add(pc.binary_length(core), pc.binary_length(marks)), pc.binary_length(chunks))
+        both = pa.concat_arrays([pc.utf8_lower(core.filter(easy)), marks.filter(easy)]).dictionary_encode()
+        places = self._learn(both.dictionary.to_numpy(zero_copy_only=False).tolist())[both.indices.to_numpy()]
+        odd = self.plain(chunks.filter(pc.invert(easy)).to_pylist())
+        edges = np.concatenate((self.edges, self.edges[-1] + np.cumsum([len(x) // 4 for x in odd], dtype=np.int64))) if odd else self.edges
+        table = np.concatenate((self.ids, *(np.frombuffer(x, "<u4") for x in odd))) if odd else self.ids
+        pair = np.zeros((len(chunks), 2), np.int64)
+        at = np.flatnonzero(easy.to_numpy(zero_copy_only=False))
+        pair[at, 0], pair[at, 1] = places[: len(at)], places[len(at) :]
+        rest = np.ones(len(chunks), bool)
+        rest[at] = False
+        pair[rest, 0] = len(self.edges) - 1 + np.arange(len(odd))
+        return table, edges, pair
+
+    def encode(self, texts: pa.Array, lengths_only: bool = False) -> tuple[np.ndarray | None, np.ndarray]:
+        """The ids of all ``texts`` in one array, and the edges between the texts' ids; a null text is an empty one."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_word:
-            return self.plain(texts)
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = set().union(*parts)
-        if len(self.chunks) > GENERATION:
-            self.old_chunks, self.chunks = self.chunks, {"": b""}
-        new = {c for c in seen if c not in self.chunks}
-        kept = {c: self.old_chunks[c] for c in new if c in self.old_chunks}
-        self.chunks.update(kept)
-        self._learn(new.difference(kept))
-        ids = self.chunks.__getitem__
-        return [b"".join(map(ids, p)) for p in parts]
+            raw = self.plain(texts.to_pylist())
+            return np.frombuffer(b"".join(raw), "<u4"), _edges(np.asarray([len(x) // 4 for x in raw], np.int64))
+        lists = pc.ascii_split_whitespace(texts)
+        held = lists.flatten().dictionary_encode()  # the split leaves empty strings at a text's ends
+        table, edges, pair = self._chunks(held.dictionary)
+        words = pair[held.indices.to_numpy()].ravel()
+        counts = (edges[1:] - edges[:-1])[words]
+        before = _edges(counts)
+        offsets = lists.offsets.to_numpy()
+        of_texts = before[2 * (offsets - offsets[0])]
+        if lengths_only:
+            return None, of_texts
+        return table[np.repeat(edges[words] - before[:-1], counts) + np.arange(before[-1])], of_texts
 
 
 def encoder(path: str) -> Encoder:
@@ -116,13 +144,19 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def parts_of(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in runs of TEXTS_AT_ONCE bytes, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        done = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, done + TEXTS_AT_ONCE, "right")), start + 1)
+        yield texts[start:stop]
+        start = stop
+
+
 def encode_all(texts: Iterable[str | None], path: str) -> Iterator[bytes]:
-    """The ids of each text in turn; null counts as empty. Memory holds TEXTS_AT_ONCE characters, or one longer text."""
-    own, part, size = encoder(path), [], 0
-    for t in texts:
-        part.append(t or "")
-        size += len(part[-1])
-        if size >= TEXTS_AT_ONCE:
-            yield from own.encode(part)
-            part, size = [], 0
-    yield from own.encode(part)
+    """The little-endian 32-bit ids of each text in turn; null counts as empty."""
+    for part in parts_of(pa.array(texts, pa.large_string())):
+        ids, edges = encoder(path).encode(part)
+        yield from (ids[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False))
