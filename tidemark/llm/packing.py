@@ -1,10 +1,11 @@
 """Packing documents into sequences of at most WINDOW tokens: best-fit decreasing over a segment tree.
 
-A document is its token ids and an end id. Documents of WINDOW ids and more are first cut into full windows; what is left
-of each is an item. Items are placed in decreasing order of length; a segment tree indexed by remaining capacity finds
-the tightest open window. Only lengths take part, so the ids never leave the task that made them: it cuts the pieces and
-their checksums, and rows of a few numbers are dealt to packing groups of about GROUP_PIECES pieces, whose number follows
-the count of documents. A group of 20,000 pieces leaves about a hundredth of a percent of its windows empty.
+A document is its token ids and an end id. Documents of WINDOW ids and more are first cut into full windows, which are
+sequences of their own; what is left of each, one piece at most, is an item. Items are placed in decreasing order of
+length; a segment tree indexed by remaining capacity finds the tightest open window. Only lengths take part, so the ids
+never leave the task that made them: it cuts the pieces and their checksums, and rows of a few numbers are dealt to
+packing groups of about GROUP_PIECES items, whose number follows the count of documents. A group of 20,000 items leaves
+about a hundredth of a percent of its windows empty.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed as often as they occur; rows with a
 null doc_id are packed like others. Columns besides ``doc_id`` and ``text`` are neither read nor kept.
@@ -16,12 +17,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import default_path, encode_all
+from tidemark.llm.common import stored
+from tidemark.llm.tokens import default_path, encoder, parts_of
 
 WINDOW, END_ID = 4096, 2
 #: Pieces of a packing group, about; groups are dealt by a hash of a row's place, so no key gathers in one.
@@ -79,33 +81,48 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[
     return windows, offsets
 
 
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
+#: Sequences of one full window have this bit; below it stand the task's and the window's number.
+FULL = 1 << 62
+
+
 def _pieces(path: str, window: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, n, end = TaskContext.get().partitionId(), 0, np.asarray([END_ID], "<u4").tobytes()
+    """The pieces of every document. ``deal`` is a full window's sequence, and a hash of the place for a piece that is left."""
+    names = [c.split()[0] for c in PIECE.split(", ")[1:]]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, full, end = TaskContext.get().partitionId(), 0, 0, np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            out = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal")}
-            for doc_id, raw in zip(batch["doc_id"].tolist(), encode_all(batch["text"], path), strict=True):
-                raw += end
-                total = len(raw) // 4
-                for start in range(0, total, window):
-                    part = raw[4 * start : 4 * (start + window)]
-                    row = (doc_id, start, len(part) // 4, zlib.crc32(part), total, zlib.crc32(b"%d:%d" % (task, n)))
-                    for values, x in zip(out.values(), row, strict=True):
-                        values.append(x)
-                n += 1
-            yield pd.DataFrame(out).astype({"doc_id": "Int64"})
+            of, out = [], {k: [] for k in names}
+            first = 0
+            for part in parts_of(batch.column("text")):
+                ids, edges = encoder(path).encode(part)
+                ids = ids.astype("<u4", copy=False)
+                for k in range(len(part)):
+                    raw = ids[edges[k] : edges[k + 1]].tobytes() + end
+                    total = len(raw) // 4
+                    for start in range(0, total, window):
+                        piece = raw[4 * start : 4 * (start + window)]
+                        deal = FULL | task << 40 | full if len(piece) == 4 * window else zlib.crc32(b"%d:%d" % (task, n))
+                        full += len(piece) == 4 * window
+                        of.append(first + k)
+                        for values, x in zip(out.values(), (start, len(piece) // 4, zlib.crc32(piece), total, deal), strict=True):
+                            values.append(x)
+                    n += 1
+                first += len(part)
+            ids_of = batch.column("doc_id").take(pa.array(of, pa.int64()))  # as they came: no id goes through a float
+            yield pa.RecordBatch.from_arrays([ids_of, *(pa.array(v, pa.int64()) for v in out.values())], ["doc_id", *names])
 
     return cut
 
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-
-
 def _pack_group(window: int):
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32", "deal"], ascending=[False, True, True, True, True], kind="stable")
-        windows, offsets = best_fit_decreasing(group["length"].tolist(), window)
-        return group.assign(sequence_id=group["group"].astype("int64") * (1 << 32) + np.asarray(windows, "int64"), offset=np.asarray(offsets, "int64"))
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), *((k, "ascending") for k in ("doc_id", "start", "ids_crc32", "deal"))])
+        windows, offsets = best_fit_decreasing(group.column("length").to_pylist(), window)
+        sequence = group.column("group").to_numpy() * (1 << 32) + np.asarray(windows, "int64")
+        out = group.select(["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        return out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets, pa.int64()))
 
     return pack
 
@@ -114,7 +131,9 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = max(1, -(-narrow.count() // group_pieces))
-    pieces = narrow.mapInPandas(_pieces(path or default_path(), window), f"{PIECE}, deal long")
-    pieces = pieces.withColumn("group", F.pmod(F.xxhash64("deal"), F.lit(groups)))
-    packed = pieces.groupBy("group").applyInPandas(_pack_group(window), f"{PIECE}, deal long, group long, sequence_id long, offset long")
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    pieces = stored(narrow.mapInArrow(_pieces(path or default_path(), window), PIECE), "pieces")
+    said = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    full = pieces.filter(F.col("deal") >= FULL).select(*said, F.col("deal").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    items = pieces.filter(F.col("deal") < FULL).withColumn("group", F.pmod(F.xxhash64("deal"), F.lit(groups)))
+    schema = ", ".join(f"{c} long" for c in (*said, "sequence_id", "offset"))
+    return items.groupBy("group").applyInArrow(_pack_group(window), schema).union(full)
