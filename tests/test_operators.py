@@ -138,6 +138,38 @@ def test_newey_west_against_numpy(spark):
     assert abs(got["ar"]) < abs({r["series"]: r["t"] for r in stats.naive_t(long).collect()}["ar"])
 
 
+def test_newey_west_in_blocks(spark, monkeypatch):
+    """Long series in several blocks, with repeats of the first order column, against a loop."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for name, n in (("a", 500), ("b", 90), ("c", 3)):
+        x = []
+        for i in range(n):
+            x.append(0.6 * (x[-1] if x else 0) + rng.gauss(0.1, 1))
+            rows.append((name, i // 4, f"t{i % 4}", x[-1]))
+        m, lag = sum(x) / n, max(1, min(int(4 * (n / 100) ** (2 / 9)), n - 1))
+        e = [v - m for v in x]
+        g = [sum(e[i] * e[i - k] for i in range(k, n)) / (n - k) for k in range(lag + 1)]
+        lrv = g[0] + sum(2 * (1 - k / (lag + 1)) * g[k] for k in range(1, lag + 1))
+        want[name] = m / math.sqrt(lrv / n) if lrv > 0 else 0.0
+    df = spark.createDataFrame(rows, "series string, event_ix long, ticker string, value double").repartition(7)
+    for block in (stats.BLOCK, 23):
+        monkeypatch.setattr(stats, "BLOCK", block)
+        got = {r["series"]: r["t"] for r in stats.newey_west(df, order=("event_ix", "ticker")).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_overlap_collapse_counts_repeats_and_long_lists(spark):
+    rng = random.Random(6)
+    places = [rng.randint(0, 4000) for _ in range(3000)]
+    got = asof.overlap_collapse(spark.createDataFrame([("a", p) for p in places], "ticker string, event_ix long"), 6).collect()
+    kept = []
+    for p in sorted(places):
+        if not kept or p - kept[-1] >= 6:
+            kept.append(p)
+    assert sorted(r["event_ix"] for r in got) == kept and {r["n_collapsed"] for r in got} == {len(places) - len(kept)}
+
+
 def test_correlation_of_series(spark):
     base = [0.1, 0.3, -0.2, 0.4, 0.0, 0.2, -0.1]
     long = [("a", i, v) for i, v in enumerate(base)] + [("b", i, v) for i, v in enumerate(base)] + [("c", i, -v) for i, v in enumerate(base)] + [("d", i, None) for i in range(7)]

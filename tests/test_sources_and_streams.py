@@ -82,10 +82,20 @@ def test_mentions(spark):
     assert got == [(1, "ACME", "We sued acme widgets today.", "negative"), (2, "F", "Ford is fine here", "negative")]
 
 
+def test_mentions_of_long_names_suffixes_and_common_words(spark):
+    names = [("Seven Words Make This Company Name, Inc.", "LONG"), ("Acme Corp", "ACM"), ("Target Corporation", "TGT"), ("American International Group", "AIG"), ("Waste Management, Inc.", "WM"), ("AT&T Wireless Ltd.", "ATT"), ("Dell Technologies", "DELL")]
+    docs = [(1, "In seven words\nmake this  company name we trust."), (2, "Acme said so. The target is American. Waste management is hard."), (3, "The American international group met AT&T wireless."), (4, "at t wireless is no name. Nor is Acmes."), (5, "Skip to content Dell"), (6, "We saw Dell's plant")]
+    got = text.mentions(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(names, "name string, ticker string"))
+    assert {(r["doc_id"], r["ticker"]) for r in got.collect()} == {(1, "LONG"), (2, "ACM"), (3, "AIG"), (3, "ATT"), (6, "DELL")}
+    many = spark.createDataFrame([(f"Maker{i} Works", f"M{i}") for i in range(12)], "name string, ticker string")
+    said = spark.createDataFrame([(1, ". ".join(f"Maker{i} Works" for i in range(8))), (2, ". ".join(f"Maker{i} Works" for i in range(9)))], "doc_id long, text string")
+    assert {r["doc_id"] for r in text.mentions(said, many).collect()} == {1}
+
+
 def test_streams_are_idempotent(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("20240105|AAPL|10|0|100|N\n20240105|AAPL|10|0|100|N\n")
-    table, seen = feeds.VersionedTable(spark, f"file://{tmp_path}/t", feeds.SHORT_SCHEMA), feeds.VersionedTable(spark, f"file://{tmp_path}/s", "date date")
+    table, seen = feeds.PartTable(spark, f"file://{tmp_path}/t", feeds.SHORT_SCHEMA, feeds.SHORT_PART), feeds.PartTable(spark, f"file://{tmp_path}/s", feeds.COVERAGE_SCHEMA, feeds.COVERAGE_PART)
     run = lambda cp: feeds.stream_short_volume(spark, f"file://{tmp_path}/in", table, seen, f"file://{tmp_path}/{cp}").awaitTermination()
     run("c1")
     first = sorted(map(tuple, table.read().collect()))
@@ -95,6 +105,13 @@ def test_streams_are_idempotent(spark, tmp_path):
     run("c1")
     assert sorted(map(tuple, table.read().collect())) == [(D(2024, 1, 5), "AAPL", 20, 100), (D(2024, 1, 8), "AAPL", 1, 2)]
     assert seen.read().count() == 2
+    held = lambda: {p.name: sorted(x.name for x in p.iterdir()) for p in (tmp_path / "t").glob("part=*")}
+    before = held()
+    (tmp_path / "in" / "c.txt").write_text("20240108|MSFT|1|0|2|N\n")
+    run("c1")
+    after = held()
+    assert after["part=2024-01-05"] == before["part=2024-01-05"] and after["part=2024-01-08"] != before["part=2024-01-08"]  # untouched days stay as they are
+    assert table.read().count() == 3
 
 
 def test_empty_result_leaves_the_table(spark, tmp_path):

@@ -54,12 +54,16 @@ def person_key(name: Column) -> Column:
     """Lower-case name without honorific and generational suffix, spaces squeezed."""
     low = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[.,]", " ")
     low = F.regexp_replace(F.trim(low), r"^(hon|honorable|mr|mrs|ms|dr|sen|senator|rep|representative)\s+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"\s+(jr|sr|ii|iii|iv)\s*$", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(low, r"\s+(jr|sr|i{1,3}|iv|v)\s*$", ""), r"\s+", " "))
+
+
+# Legal suffixes of company names.
+LEGAL_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "company", "companies", "co", "technologies", "holdings", "plc", "ltd", "limited", r"n\.?v", r"s\.?a")
 
 
 def company_key(name: Column) -> Column:
     """Company name without one trailing legal suffix."""
-    return F.trim(F.regexp_replace(F.trim(name), r"(?i)[,\s]+(incorporated|inc|corporation|corp|company|co|plc|ltd|limited|holdings|group|n\.?v|s\.?a)\.?$", ""))
+    return F.trim(F.regexp_replace(F.trim(name), rf"(?i)[\s,]+({'|'.join(LEGAL_SUFFIXES)})\b\.?$", ""))
 
 
 def stance_sign(stance: Column) -> Column:
@@ -93,6 +97,30 @@ def band(value: Column, cuts: tuple[float, ...], labels: tuple[str, ...]) -> Col
     return out.otherwise(labels[-1])
 
 
+# The cuts of each metric's bands.
+METRIC_CUTS = {
+    "z": (-1.5, -0.5, 0.5, 1.5),
+    "rsi": (30, 40, 60, 70),
+    "pe": (12, 20, 35, 60),
+    "range_pct": (15, 40, 60, 85),
+    "market_cap": (2e9, 1e10, 2e11, 1e12),
+    "composite": (-0.5, 0.0, 0.5, 1.0),
+}
+
+
+def metric_band(metric: str, value: Column) -> Column:
+    """0 to 4: how many of the metric's cuts the value reaches (a price-earnings ratio must lie above them, and has no band
+    if it isn't positive); null for null."""
+    above = (lambda cut: value > cut) if metric == "pe" else (lambda cut: value >= cut)
+    held = value.isNotNull() & ((value > 0) if metric == "pe" else F.lit(True))
+    return F.when(held, sum((above(F.lit(float(cut))).cast("int") for cut in METRIC_CUTS[metric]), F.lit(0)))
+
+
+def range_place(price: Column, low: Column, high: Column) -> Column:
+    """Where a price stands in its range, in percent; null for a range of nothing."""
+    return F.when(high > low, (price - low) / (high - low) * 100)
+
+
 def conviction(composite: Column) -> Column:
     return F.when(composite.isNull(), None).when(composite >= 1.0, 5).when(composite >= 0.6, 4).when(composite >= 0.2, 3).when(composite >= -0.2, 2).otherwise(1)
 

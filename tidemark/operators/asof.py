@@ -5,25 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Entries of the inner list of a fold.
+_FOLD = 256
+
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], when: str, known: str, take: list[str], strict: bool = False, within_days: int | None = None, ties: list[str] | None = None) -> DataFrame:
     """``left`` and, from the latest row of ``right`` known by ``when``, the columns ``take`` (null without one).
 
     ``strict`` leaves out rows of the same day; ``within_days`` bounds their age; of rows known on one day the one with
-    the largest ``ties`` wins, whole, nulls in it included. Right rows become intervals until the next known day, so a
-    left row meets one interval per key at most and nothing has to be ranked after the join.
+    the largest ``ties`` wins, whole, nulls in it included. Right rows become intervals until the next known day, and
+    intervals are dealt to the months that they reach into. So the join's key is the key and the month: a left row meets
+    the intervals of one month only, 32 at most, and the rows of a hot key are spread over its months. The last interval
+    of a key has no end; it is one row per key and joined by the key.
     """
     order = [known, *(ties or [])]
     last = right.groupBy(*by, known).agg(F.max_by(F.struct(*take), F.struct(*order)).alias("_row")) if ties else right.groupBy(*by, known).agg(F.max(F.struct(*take)).alias("_row"))
     spans = last.withColumn("_next", F.lead(known).over(Window.partitionBy(*by).orderBy(known))).withColumnRenamed(known, "_known")
-    after = F.col(when) > F.col("_known") if strict else F.col(when) >= F.col("_known")
-    before = F.col("_next").isNull() | (F.col(when) <= F.col("_next") if strict else F.col(when) < F.col("_next"))
-    near = F.lit(True) if within_days is None else F.datediff(F.col(when), F.col("_known")) <= within_days
-    r = spans.withColumnsRenamed({k: f"_r_{k}" for k in by})
-    on = after & before & near
+    spans = spans.withColumnsRenamed({k: f"_r_{k}" for k in by})
+    until = F.col("_next").cast("date") if within_days is None else F.least(F.col("_next").cast("date"), F.date_add("_known", within_days))
+    closed = spans.filter("_next IS NOT NULL").withColumn("_m", F.explode(F.sequence(month_of(F.col("_known")), month_of(until))))
+    after = lambda day: F.col(when) > day if strict else F.col(when) >= day
+    before = F.col(when) <= F.col("_next") if strict else F.col(when) < F.col("_next")
+    near = lambda day: F.lit(True) if within_days is None else F.datediff(F.col(when), day) <= within_days
+    same = F.lit(True)
     for k in by:
-        on = on & (F.col(k) == F.col(f"_r_{k}"))
-    return left.join(r, on, "left").select(*left.columns, *(F.col(f"_row.{c}").alias(c) for c in take))
+        same = same & (F.col(k) == F.col(f"_r_{k}"))
+    inside = same & (month_of(F.col(when)) == F.col("_m")) & after(F.col("_known")) & before & near(F.col("_known"))
+    names = [*left.columns, F.col("_row").alias("_inside")]
+    held = left.join(closed, inside, "left").select(*names)
+    ended = spans.filter("_next IS NULL").select(*(f"_r_{k}" for k in by), F.col("_known").alias("_last"), F.col("_row").alias("_after"))
+    out = held.join(ended, same & after(F.col("_last")) & near(F.col("_last")), "left")
+    return out.select(*left.columns, *(F.when(F.col("_last").isNotNull(), F.col(f"_after.{c}")).otherwise(F.col(f"_inside.{c}")).alias(c) for c in take))
+
+
+def month_of(day: Column) -> Column:
+    """Months in sequence, as whole numbers."""
+    return F.year(day) * 12 + F.month(day)
 
 
 def members_as_of(days: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -69,9 +86,8 @@ def next_bar(events: DataFrame, calendar: DataFrame, when: str = "when") -> Data
 def window_events(dates: DataFrame, events: DataFrame, window_days: int, on: list[str] | None = None) -> DataFrame:
     """Events with ``as_of - window <= when < as_of`` for every as_of date. Dates are dealt to the months that they look
     back on, so the join has an equality key whatever the number of dates or events."""
-    month = lambda d: F.year(d) * 12 + F.month(d)
-    spread = dates.select("as_of").distinct().withColumn("_m", F.explode(F.sequence(month(F.date_sub("as_of", window_days)), month(F.col("as_of")))))
-    held = events.withColumn("_m", month(F.col("when"))).join(spread, "_m")
+    spread = dates.select("as_of").distinct().withColumn("_m", F.explode(F.sequence(month_of(F.date_sub("as_of", window_days)), month_of(F.col("as_of")))))
+    held = events.withColumn("_m", month_of(F.col("when"))).join(spread, "_m")
     return held.filter((F.col("when") < F.col("as_of")) & (F.col("when") >= F.date_sub("as_of", window_days))).drop("_m")
 
 
@@ -85,12 +101,19 @@ def nearest_prior(events: DataFrame, bars: DataFrame, by: str = "ticker", when:
 
 def overlap_collapse(events: DataFrame, span: int, by: str = "ticker", ix: str = "event_ix") -> DataFrame:
     """Per key and event kept: first event, then each that lies ``span`` bars or more after the last one kept. A fold
-    over the key's sorted event places; a day that occurs twice counts once more as collapsed. Adds n_collapsed."""
-    empty = F.struct(F.array().cast("array<int>").alias("kept"), F.lit(0).alias("dropped"))
+    over the key's places, of which repeats are counted before; so a key holds a number per bar of the calendar at most.
+    A day that occurs twice counts once more as collapsed. Adds n_collapsed."""
+    places = events.groupBy(by, F.col(ix).cast("int").alias(ix)).agg(F.count("*").alias("_n"))
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(None).cast("int").alias("last"), none.alias("kept"), F.array(none).alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["kept"]) == 0) | (x - F.element_at(acc["kept"], -1) >= span)
-        return F.when(fits, F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), acc["dropped"].alias("dropped"))).otherwise(F.struct(acc["kept"].alias("kept"), (acc["dropped"] + 1).alias("dropped")))
-
-    folded = events.groupBy(by).agg(F.array_sort(F.collect_list(F.col(ix).cast("int"))).alias("all")).withColumn("f", F.aggregate("all", empty, step))
-    return folded.select(by, F.explode("f.kept").alias(ix), F.col("f.dropped").alias("n_collapsed"))
+        fits = acc["last"].isNull() | (x - acc["last"] >= span)
+        full = F.size(acc["kept"]) >= _FOLD  # appending copies, so long lists are set aside in parts
+        kept = F.when(full, F.array(x)).otherwise(F.concat(acc["kept"], F.array(x)))
+        done = F.when(full, F.concat(acc["done"], F.array(acc["kept"]))).otherwise(acc["done"])
+        return F.when(fits, F.struct(x.alias("last"), kept.alias("kept"), done.alias("done"))).otherwise(acc)
+
+    folded = places.groupBy(by).agg(F.array_sort(F.collect_list(ix)).alias("_all"), F.sum("_n").alias("_events"))
+    folded = folded.withColumn("_kept", F.aggregate("_all", start, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["kept"])))
+    return folded.select(by, F.explode("_kept").alias(ix), (F.col("_events") - F.size("_kept")).cast("int").alias("n_collapsed"))

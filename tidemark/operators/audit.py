@@ -34,6 +34,11 @@ def null_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns))
 
 
+def ranked_beyond(rows: DataFrame, rank: str, most: int = 30) -> DataFrame:
+    """Rows whose rank lies beyond what a source can hold."""
+    return rows.filter(F.col(rank) > most)
+
+
 def event_yield(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """Per source: stored rows, events, and their ratio (null without rows). One pass over each table."""
     out = None

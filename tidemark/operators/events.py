@@ -76,6 +76,27 @@ def split_factor(facts: DataFrame, splits: DataFrame, adjusted_through: Column)
     return facts.join(factor, ["ticker", "filing_date"], "left").withColumn("split_factor", F.coalesce("split_factor", F.lit(1.0)))
 
 
+def split_factor_between(rows: DataFrame, splits: DataFrame, since: str, until: str) -> DataFrame:
+    """``rows`` and split_factor: the product of a ticker's ratios after the day ``since`` up to the day ``until``, as the
+    quotient of two running products; one where no split is known."""
+    run = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    days = splits.filter("ratio > 0").groupBy("ticker", "date").agg(F.product("ratio").alias("_r")).withColumn("_all", F.product("_r").over(run))
+    for name, when in (("_from", since), ("_to", until)):
+        rows = as_of(rows, days.select("ticker", "date", F.col("_all").alias(name)), ["ticker"], when, "date", [name])
+    factor = F.coalesce("_to", F.lit(1.0)) / F.coalesce("_from", F.lit(1.0))
+    return rows.withColumn("split_factor", factor).drop("_from", "_to")
+
+
+def fundamental_factors(rows: DataFrame, facts: DataFrame, splits: DataFrame) -> DataFrame:
+    """``rows`` (ticker, as_of, close) with value (earnings per share, restated for later splits, by the close) and quality
+    (return on positive equity) of the latest facts filed strictly before the day; of one day's the newest period's."""
+    held = as_of(rows, facts.withColumn("filed", F.col("filing_date")), ["ticker"], "as_of", "filing_date", ["filed", "eps", "net_income", "equity"], strict=True, ties=["period_end"])
+    held = split_factor_between(held, splits, "filed", "as_of")
+    value = F.when(F.col("close") > 0, F.col("eps") / F.col("split_factor") / F.col("close"))
+    quality = F.when(F.col("equity") > 0, F.col("net_income") / F.col("equity"))
+    return held.withColumn("value", value).withColumn("quality", quality).drop("filed", "eps", "net_income", "equity", "split_factor")
+
+
 def holdings_rollup(lines: DataFrame) -> DataFrame:
     """13F lines of shares summed per manager, filing and symbol; the issuer is the alphabetically last."""
     held = lines.filter(F.col("type") == "Shares").withColumn("ticker", F.upper("ticker"))

@@ -21,13 +21,31 @@ def returns(grid: DataFrame) -> DataFrame:
 
 def market_models(events: DataFrame, rets: DataFrame, gap: int = 30, length: int = 252, least: int = 120) -> DataFrame:
     """(ticker, event_ix, alpha, beta, n): sample covariance over population variance on the bars from
-    ``event - gap - length`` to before ``event - gap``; null for fewer than ``least`` bars or a flat market."""
-    span = rets.filter("ret IS NOT NULL AND market IS NOT NULL").select("ticker", "bar_ix", "ret", "market")
+    ``event - gap - length`` to before ``event - gap``; null for fewer than ``least`` bars or a flat market.
+
+    Sums over the bars are differences of running sums per ticker, so an event meets two rows, whatever the window.
+    """
+    by = Window.partitionBy("ticker")
+    whole = rets.select("ticker", "bar_ix", F.col("ret").isNotNull() & F.col("market").isNotNull(), "ret", "market").toDF("ticker", "bar_ix", "_ok", "_y", "_x")
+    held = [(c, F.when(F.col("_ok"), F.col(c) - F.avg(F.when(F.col("_ok"), F.col(c))).over(by)).otherwise(0.0)) for c in ("_y", "_x")]  # centred, as sums are subtracted
+    means = {f"_m{c}": F.avg(F.when(F.col("_ok"), F.col(c))).over(by) for c in ("_y", "_x")}
+    rows = whole.withColumns(means).withColumns(dict(held))
+    run = by.orderBy("bar_ix").rowsBetween(Window.unboundedPreceding, 0)
+    parts = {"n": F.col("_ok").cast("long"), "y": F.col("_y"), "x": F.col("_x"), "xy": F.col("_x") * F.col("_y"), "xx": F.col("_x") * F.col("_x")}
+    sums = rows.select("ticker", "bar_ix", "_m_y", "_m_x", F.struct(*(F.sum(c).over(run).alias(k) for k, c in parts.items())).alias("s"))
+    ends = sums.groupBy("ticker").agg(F.max("bar_ix").alias("_last"), F.max("_m_y").alias("my"), F.max("_m_x").alias("mx"))
     e = events.select("ticker", "event_ix").distinct()
-    held = e.join(span, "ticker").filter((F.col("bar_ix") >= F.col("event_ix") - gap - length) & (F.col("bar_ix") < F.col("event_ix") - gap))
-    fit = held.groupBy("ticker", "event_ix").agg(F.count("*").alias("n"), F.covar_samp("ret", "market").alias("_c"), F.var_pop("market").alias("_v"), F.avg("ret").alias("_y"), F.avg("market").alias("_x"))
-    fit = fit.withColumn("beta", F.when((F.col("n") >= least) & (F.col("_v") > 0), F.col("_c") / F.col("_v")))
-    return e.join(fit, ["ticker", "event_ix"], "left").select("ticker", "event_ix", (F.col("_y") - F.col("beta") * F.col("_x")).alias("alpha"), "beta", F.coalesce("n", F.lit(0)).alias("n"))
+    at = lambda bars: F.least(F.col("event_ix") - bars - 1, F.col("_last"))
+    placed = e.join(ends, "ticker", "left").withColumn("_high", at(gap)).withColumn("_low", at(gap + length)).drop("_last")
+    side = lambda k: sums.select("ticker", F.col("bar_ix").alias(k), F.col("s").alias(f"{k}_s"))
+    both = placed.join(side("_high"), ["ticker", "_high"], "left").join(side("_low"), ["ticker", "_low"], "left")
+    d = {k: F.coalesce(F.col(f"_high_s.{k}"), F.lit(0)) - F.coalesce(F.col(f"_low_s.{k}"), F.lit(0)) for k in parts}
+    fit = both.select("ticker", "event_ix", "my", "mx", *(c.alias(k) for k, c in d.items()))
+    n = F.when(F.col("n") > 0, F.col("n").cast("double"))
+    spread, common = F.col("xx") / n - (F.col("x") / n) * (F.col("x") / n), (F.col("xy") - F.col("x") * F.col("y") / n) / F.when(n > 1, n - 1)
+    fit = fit.withColumn("beta", F.when((F.col("n") >= least) & (spread > 1e-9 * F.col("xx") / n) & (spread > 1e-18), common / spread))
+    alpha = (F.col("my") + F.col("y") / n) - F.col("beta") * (F.col("mx") + F.col("x") / n)
+    return fit.select("ticker", "event_ix", alpha.alias("alpha"), "beta", F.col("n").cast("long").alias("n"))
 
 
 def window_sums(kept: DataFrame, rets: DataFrame, first: int, last: int, models: DataFrame | None = None) -> DataFrame:
@@ -53,8 +71,8 @@ def report(events: DataFrame, rets: DataFrame, windows: tuple[tuple[int, int], .
         label = f"{first}..{last}"
         kept = overlap_collapse(events, last - first + 1)
         cars = window_sums(kept, rets, first, last).join(window_sums(kept, rets, first, last, models).withColumnRenamed("car", "car_mm"), ["ticker", "event_ix"])
-        cars = cars.withColumn("series", F.lit(label)).withColumn("month_ix", F.struct("event_ix", "ticker"))
-        t = newey_west(cars, "car").select("series", "t")
+        cars = cars.withColumn("series", F.lit(label))
+        t = newey_west(cars, "car", order=("event_ix", "ticker")).select("series", "t")
         collapsed = kept.groupBy("ticker").agg(F.max("n_collapsed").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_collapsed"))
         one = cars.groupBy("series").agg(F.count("car").alias("n"), F.avg("car").alias("mean_car"), F.avg("car_mm").alias("mean_car_mm"), F.avg((F.col("car") > 0).cast("double")).alias("hit_rate"), F.sum(F.col("car").isNull().cast("long")).alias("n_skipped"))
         one = one.join(t, "series", "left").join(collapsed.withColumn("series", F.lit(label)), "series").join(no_beta.withColumn("series", F.lit(label)), "series")

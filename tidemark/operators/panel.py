@@ -11,6 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Entries of the inner list of a fold.
+_FOLD = 256
+
 
 @dataclass(frozen=True)
 class Lookbacks:
@@ -90,9 +93,11 @@ def moving_average(bars: DataFrame, n: int, by: str = "ticker") -> DataFrame:
 
 def wilder_rsi(bars: DataFrame, n: int = 14, by: str = "ticker") -> DataFrame:
     """(ticker, date, rsi) per bar: a simple mean of the first n moves, then recursive smoothing. A fold over each
-    ticker's sorted bars, whose state is two averages and the list of results."""
+    ticker's sorted bars, of which there are as many as the calendar has; results are set aside in parts, as appending
+    copies a list."""
     bar = F.array_sort(F.collect_list(F.struct("date", "close")))
-    zero = F.struct(F.lit(0.0).alias("gain"), F.lit(0.0).alias("loss"), F.lit(None).cast("double").alias("last"), F.lit(0).alias("n"), F.array().cast("array<struct<date:date,rsi:double>>").alias("out"))
+    none = F.array().cast("array<struct<date:date,rsi:double>>")
+    zero = F.struct(F.lit(0.0).alias("gain"), F.lit(0.0).alias("loss"), F.lit(None).cast("double").alias("last"), F.lit(0).alias("n"), none.alias("out"), F.array(none).alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
         move = F.coalesce(x["close"] - acc["last"], F.lit(0.0))
@@ -101,9 +106,12 @@ def wilder_rsi(bars: DataFrame, n: int = 14, by: str = "ticker") -> DataFrame:
         smooth = lambda old, new: F.when(k <= n, old + new / n).otherwise((old * (n - 1) + new) / n)
         gain, loss = smooth(acc["gain"], up), smooth(acc["loss"], down)
         rsi = F.when(k >= n, F.when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / loss)))
-        return F.struct(gain.alias("gain"), loss.alias("loss"), x["close"].alias("last"), k.alias("n"), F.concat(acc["out"], F.array(F.struct(x["date"].alias("date"), rsi.alias("rsi")))).alias("out"))
+        row, full = F.array(F.struct(x["date"].alias("date"), rsi.alias("rsi"))), F.size(acc["out"]) >= _FOLD
+        out, done = F.when(full, row).otherwise(F.concat(acc["out"], row)), F.when(full, F.concat(acc["done"], F.array(acc["out"]))).otherwise(acc["done"])
+        return F.struct(gain.alias("gain"), loss.alias("loss"), x["close"].alias("last"), k.alias("n"), out.alias("out"), done.alias("done"))
 
-    folded = bars.filter("close IS NOT NULL").groupBy(by).agg(bar.alias("bars")).select(by, F.explode(F.aggregate("bars", zero, step, lambda acc: acc["out"])).alias("x"))
+    folded = bars.filter("close IS NOT NULL").groupBy(by).agg(bar.alias("bars"))
+    folded = folded.select(by, F.explode(F.aggregate("bars", zero, step, lambda acc: F.concat(F.flatten(acc["done"]), acc["out"]))).alias("x"))
     return folded.select(by, "x.date", "x.rsi")
 
 

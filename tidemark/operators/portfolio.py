@@ -56,3 +56,10 @@ def hit_rate(series: DataFrame, benchmark: DataFrame, ret: str = "net", month: s
     """Share of months above the benchmark, joined on the month, and mean turnover."""
     both = series.join(benchmark.select(month, F.col("ret").alias("_b")), month)
     return both.groupBy(*by).agg(F.avg((F.col(ret) > F.col("_b")).cast("double")).alias("hit_rate"), F.avg("turnover").alias("avg_turnover"), F.count("*").alias("n"))
+
+
+def proxy_returns(at_rebalance: DataFrame, proxy: str) -> tuple[DataFrame, DataFrame]:
+    """(the proxy's own forward returns by month, the cross-section without it). The proxy is a column of the prices that
+    stands for the cap-weighted market and never takes part in a ranking."""
+    own = at_rebalance.filter((F.col("ticker") == proxy) & F.col("fwd").isNotNull()).select("month_ix", F.col("fwd").alias("ret"))
+    return own, at_rebalance.filter(F.col("ticker") != proxy)

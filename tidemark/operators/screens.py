@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import case_side, conviction
+from tidemark.operators import xsection
 
 
 def ranked_with_forced(rows: DataFrame, score: str, top: int, forced: DataFrame | None = None, key: str = "ticker") -> DataFrame:
@@ -45,16 +46,53 @@ def first_of_lists(*lists: DataFrame, key: str = "ticker") -> DataFrame:
     return both.groupBy(key).agg(F.min("priority").alias("priority"))
 
 
-def cases(candidates: DataFrame, z_columns: list[str]) -> DataFrame:
-    """Per candidate: bull factors by falling z, risk factors by rising z, and conviction from the composite."""
+def cases(candidates: DataFrame, z_columns: list[str], notes: DataFrame | None = None) -> DataFrame:
+    """Per candidate: bull factors by falling z, risk factors by rising z, and conviction from the composite. With
+    ``notes`` (factor, title) also the first note, by title, of the factor that stands out most."""
     long = candidates.unpivot(["ticker", "composite"], z_columns, "factor", "z").withColumn("side", case_side(F.col("z")))
     pick = lambda side, sign: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct((sign * F.col("z")).alias("k"), "factor")))), lambda x: x["factor"]), ",")
-    return long.groupBy("ticker", "composite").agg(pick("bull", -1).alias("bull"), pick("risk", 1).alias("risk")).withColumn("conviction", conviction(F.col("composite")))
+    out = long.groupBy("ticker", "composite").agg(pick("bull", -1).alias("bull"), pick("risk", 1).alias("risk"), F.max_by("factor", F.struct(F.abs("z"), "factor")).alias("_top"))
+    out = out.withColumn("conviction", conviction(F.col("composite")))
+    if notes is None:
+        return out.drop("_top")
+    first = notes.groupBy(F.col("factor").alias("_top")).agg(F.min("title").alias("note"))
+    return out.join(first, "_top", "left").drop("_top")
 
 
-def contains_filter(rows: DataFrame, text: str, column: str, floors: dict[str, float]) -> DataFrame:
-    """Case-insensitive substring and numeric floors."""
+#: Oscillation from which a name counts as a swinger.
+SWINGER = 0.7
+
+
+def contains_filter(rows: DataFrame, text: str, column: str, floors: dict[str, float], swingers: bool = False, sort: str | None = None) -> DataFrame:
+    """Case-insensitive substring, numeric floors, swingers only (column oscillation), and a falling order by ``sort``."""
     rows = rows.filter(F.lower(column).contains(text.lower()))
     for c, least in floors.items():
         rows = rows.filter(F.col(c) >= least)
-    return rows
+    if swingers:
+        rows = rows.filter(F.col("oscillation") >= SWINGER)
+    return rows.orderBy(F.desc_nulls_last(sort), column) if sort else rows
+
+
+def context(sources: dict[str, tuple[DataFrame, str, str]], by: str = "ticker", n: int = 10) -> DataFrame:
+    """The latest ``n`` rows of every source for each entity in one table: source, ``by``, day, row_id, place. A source is
+    its rows, the column of the day and that of the row's id, by which days that tie are ordered."""
+    both = None
+    for name, (rows, day, row_id) in sources.items():
+        part = rows.select(F.lit(name).alias("source"), by, F.col(day).cast("date").alias("day"), F.col(row_id).cast("string").alias("row_id"))
+        both = part if both is None else both.union(part)
+    latest = Window.partitionBy("source", by).orderBy(F.desc_nulls_last("day"), "row_id")
+    return both.withColumn("place", F.row_number().over(latest)).filter(F.col("place") <= n)
+
+
+#: Composite of a name of which no block is known.
+UNKNOWN = -999.0
+
+
+def live_composite(live: DataFrame, z_of: dict[str, list[str]], least: int = 2) -> DataFrame:
+    """Names above their long average, or without one, with the z-score of each factor of the blocks (``least`` names or
+    more), the mean of each block's, and the mean of the blocks as composite: UNKNOWN where there is none."""
+    rows = live.filter("coalesce(above_trend, true)").withColumn("month_ix", F.lit(0))
+    for c in [c for cols in z_of.values() for c in cols]:
+        rows = xsection.winsor_z(rows, c, f"z_{c}", by=("month_ix",), least=least)
+    rows = xsection.composite(rows, {b: [f"z_{c}" for c in cols] for b, cols in z_of.items()}, {"composite": list(z_of)})
+    return rows.withColumn("composite", F.coalesce("composite", F.lit(UNKNOWN)))

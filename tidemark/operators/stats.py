@@ -2,34 +2,57 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Months of a series that lags are taken for, at most lag 4 (n/100)^(2/9): 16 lags serve 50,000 months.
-MOST_LAGS = 16
+from tidemark.storage import stored
 
+#: Values of a series that one task takes, and so many more as there are lags.
+BLOCK = 100_000
 
-def newey_west(series: DataFrame, value: str = "value", by: tuple[str, ...] = ("series",), order: str = "month_ix", denominator: str = "overlap") -> DataFrame:
+
+def newey_west(series: DataFrame, value: str = "value", by: tuple[str, ...] = ("series",), order: tuple[str, ...] = ("month_ix",), denominator: str = "overlap") -> DataFrame:
     """Mean, lag and t of each series with Bartlett weights; autocovariances are means of the overlapping products
-    (``denominator='n'`` divides by n). t is zero for fewer than 3 values or a long-run variance of zero or less."""
-    held = series.filter(F.col(value).isNotNull())
-    w, run = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order)
-    held = held.withColumn("_n", F.count("*").over(w)).withColumn("_m", F.avg(value).over(w)).withColumn("_e", F.col(value) - F.col("_m"))
-    lags = range(MOST_LAGS + 1)
-    held = held.withColumns({f"_p{k}": F.col("_e") * (F.lag("_e", k).over(run) if k else F.col("_e")) for k in lags})
-    covered = (lambda k: F.count(f"_p{k}")) if denominator == "overlap" else (lambda k: F.count("*"))
-    out = held.groupBy(*by).agg(F.max("_n").alias("n"), F.max("_m").alias("mean"), *(F.when(F.count(f"_p{k}") > 0, F.sum(f"_p{k}") / covered(k)).alias(f"_g{k}") for k in lags))
+    (``denominator='n'`` divides by n). t is zero for fewer than 3 values or a long-run variance of zero or less.
+
+    Values are numbered by counts per first column of ``order``, and lagged within blocks that begin with the last values
+    of the block before; so no series is one task's, and there are as many lags as the longest one asks for.
+    """
+    held = stored(series.filter(F.col(value).isNotNull()).select(*by, *order, F.col(value).alias("_v")), "series")
+    sums = held.groupBy(*by, order[0]).agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
+    run, whole = Window.partitionBy(*by).orderBy(order[0]), Window.partitionBy(*by)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(whole))
+    sums = sums.withColumn("_m", F.sum("_s").over(whole) / F.col("_n")).drop("_s", "_c")  # a row per value of the first order column
+    longest = sums.agg(F.max("_n")).first()[0] or 0
+    most = lag_of(longest)
+    placed = held.join(sums, [*by, order[0]]).withColumn("_e", F.col("_v") - F.col("_m"))
+    placed = placed.withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy(*by, order[0]).orderBy(*order)) - 1)
+    block = F.floor(F.col("_i") / BLOCK)
+    spread = placed.withColumn("_b", F.explode(F.array_distinct(F.array(block, F.floor((F.col("_i") + most) / BLOCK))))).withColumn("_own", F.col("_b") == block)
+    inside = Window.partitionBy(*by, "_b").orderBy("_i")
+    lags = range(most + 1)
+    product = {f"_p{k}": F.when(F.col("_own"), F.col("_e") * (F.lag("_e", k).over(inside) if k else F.col("_e"))) for k in lags}
+    out = spread.withColumns(product).filter("_own").groupBy(*by).agg(
+        F.max("_n").alias("n"), F.max("_m").alias("mean"), *(F.count(f"_p{k}").alias(f"_c{k}") for k in lags), *(F.sum(f"_p{k}").alias(f"_g{k}") for k in lags)
+    )
+    covered = (lambda k: F.col(f"_c{k}")) if denominator == "overlap" else (lambda k: F.col("n"))
     lag = F.greatest(F.lit(1), F.least(F.floor(4 * F.pow(F.col("n") / 100.0, F.lit(2 / 9))), F.col("n") - 1)).cast("int")
     out = out.withColumn("lag", lag)
-    lrv = F.col("_g0")
+    lrv = F.col("_g0") / covered(0)
     for k in lags[1:]:
-        lrv = lrv + F.when(F.col("lag") >= k, 2 * (1 - F.lit(float(k)) / (F.col("lag") + 1)) * F.coalesce(f"_g{k}", F.lit(0.0))).otherwise(0.0)
+        lrv = lrv + F.when((F.col("lag") >= k) & (F.col(f"_c{k}") > 0), 2 * (1 - F.lit(float(k)) / (F.col("lag") + 1)) * F.col(f"_g{k}") / covered(k)).otherwise(0.0)
     out = out.withColumn("_lrv", lrv)
     return out.select(*by, "n", "mean", "lag", F.when((F.col("n") >= 3) & (F.col("_lrv") > 1e-300), F.col("mean") / F.sqrt(F.col("_lrv") / F.col("n"))).otherwise(0.0).alias("t"))
 
 
+def lag_of(n: int) -> int:
+    """Lags for a series of n values."""
+    return max(1, min(math.floor(4 * (n / 100) ** (2 / 9) + 1e-9), n - 1))
+
+
 def naive_t(series: DataFrame, value: str = "value", by: tuple[str, ...] = ("series",)) -> DataFrame:
     out = series.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("_s"))
     return out.select(*by, "n", "mean", F.when(F.col("_s") > 0, F.col("mean") / F.col("_s") * F.sqrt(F.col("n").cast("double"))).otherwise(0.0).alias("t"))

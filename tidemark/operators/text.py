@@ -10,12 +10,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import content_id
+from tidemark.functions.scalars import company_key, content_id
+from tidemark.storage import stored
 
 CHUNK, OVERLAP, DIMENSION = 400, 50, 384
 #: Query vectors that are sent to the tasks at a time.
 QUERY_BLOCK = 1_000
-# Cues of a negative stance.
+#: Keys of a dictionary that are sent to every task; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+# Single words that are no company alone, and tickers whose names are everyday phrases.
+COMMON_WORDS = (
+    "target", "visa", "gap", "ball", "now", "key", "all", "it", "fast",
+    "well", "dish", "host", "apple", "amp", "gen", "ceva", "match", "ally",
+    "centene", "loews", "snap", "block", "paramount", "expedia", "american",
+    "national", "united", "general", "first", "capital", "state", "live",
+    "southern", "waters", "edison", "boston", "public", "global", "allstate",
+    "best", "dollar", "tractor", "huntington", "western", "eastern", "union",
+    "pool", "dover", "progressive", "mccormick",
+)
+SKIP_TICKERS = ("WM", "EXE")
+# Texts of a site's menus.
+MENU_TEXTS = ("Select Category", "Skip to")
+# Cues of a negative stance.
 NEGATIVE_CUES = r"(?i)\b(fine|fined|sue|sued|lawsuit|tariff|ban|banned|penalty|investigat\w*|violation)\b"
 
 
@@ -116,30 +132,62 @@ def caveats_for(links: DataFrame, factor: str) -> DataFrame:
     return links.filter((F.col("factor") == factor) & (F.col("type") == "research-finding") & (F.coalesce(F.trim("verdict"), F.lit("")) != ""))
 
 
-def mentions(docs: DataFrame, names: DataFrame, most_tickers: int = 8, quote: int = 280, longest: int = 4, least_length: int = 4) -> DataFrame:
-    """(doc_id, ticker, at, quote, stance): the first mention of each ticker in a document.
+def mention_keys(names: DataFrame, skip_tickers: tuple[str, ...] = SKIP_TICKERS, common_words: tuple[str, ...] = COMMON_WORDS, least_length: int = 4) -> DataFrame:
+    """(ticker, words, pattern): what each company is looked for by. The legal suffix goes; a name of several words counts
+    as the whole phrase, one of a single word only from ``least_length`` letters and if it is no common word."""
+    core = F.lower(F.regexp_replace(company_key(F.col("name")), r"^[\s,.&]+|[\s,.&]+$", ""))
+    tokens = F.filter(F.split(core, r"[\s,]+"), lambda w: w != "")
+    held = names.select("ticker", tokens.alias("_t")).filter(~F.upper("ticker").isin(*skip_tickers) if skip_tickers else F.lit(True))
+    single = (F.length(F.element_at("_t", 1)) >= least_length) & ~F.element_at("_t", 1).isin(*common_words)
+    held = held.filter((F.size("_t") > 1) | ((F.size("_t") == 1) & single))
+    quoted = F.array_join(F.transform("_t", lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), " ")
+    pattern = F.concat(F.lit(r"(^|[^\p{L}\p{N}_])"), quoted, F.lit(r"($|[^\p{L}\p{N}_])"))
+    words = _words(F.array_join("_t", " "))
+    return held.select("ticker", words.alias("words"), pattern.alias("pattern")).filter(F.size("words") > 0).distinct()
 
-    Names of one to ``longest`` words are matched as word n-grams by an equality join, not by scanning every document for
-    every name. Single words count only from ``least_length`` letters. Documents that mention more than ``most_tickers``
-    tickers are dropped. The quote is the sentence around the first word, cut at ``quote`` characters.
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _sentences(docs: DataFrame) -> DataFrame:
+    """(doc_id, sentence_ix, sentence) of texts whose white space is squeezed."""
+    flat = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    return docs.select("doc_id", F.posexplode(F.split(F.regexp_replace(flat, "([.!?]) ", "$1\n"), "\n")).alias("sentence_ix", "sentence"))
+
+
+def mentions(docs: DataFrame, names: DataFrame, most_tickers: int = 8, quote: int = 280, skip_tickers: tuple[str, ...] = SKIP_TICKERS, common_words: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
+    """(doc_id, ticker, sentence_ix, quote, stance): the first mention of each ticker in a document.
+
+    Names of any number of words are met as word n-grams by an equality join, not by scanning every document for every
+    name; what is joined is a place and a hash. Only sentences with such a place are read again and searched for the
+    name as it is written. Documents that mention more than ``most_tickers`` tickers are dropped, then mentions in a
+    site's menus. The quote is the sentence, cut at ``quote`` characters.
     """
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-    keys = names.select(norm(F.col("name")).alias("gram"), "ticker").filter((F.size(F.split("gram", " ")) > 1) | (F.length("gram") >= least_length)).filter("gram <> ''").distinct()
-    sentences = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])\s+|\n+")).alias("sentence_ix", "sentence"))
-    words = sentences.withColumn("_w", F.split(norm(F.col("sentence")), " "))
-    grams = F.flatten(F.array(*(_grams(k) for k in range(1, longest + 1))))
-    spread = words.select("doc_id", "sentence_ix", "sentence", F.explode(grams).alias("g")).select("doc_id", "sentence_ix", "sentence", "g.i", "g.gram")
-    found = spread.join(keys, "gram")
-    first = found.groupBy("doc_id", "ticker").agg(F.min(F.struct("sentence_ix", "i", "sentence")).alias("m"))
+    keys = stored(mention_keys(names, skip_tickers, common_words).withColumn("gram", F.xxhash64(F.array_join("words", " "))).withColumn("size", F.size("words")), "mention-keys")
+    n = keys.count()
+    sizes = sorted(r[0] for r in keys.select("size").distinct().collect())  # at most the words of the longest name
+    sentences = _sentences(docs)
+    if not sizes:
+        return sentences.filter("false").select("doc_id", F.lit("").alias("ticker"), "sentence_ix", F.col("sentence").alias("quote"), F.lit("").alias("stance"))
+    few = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
+    words = sentences.select("doc_id", "sentence_ix", _words(F.col("sentence")).alias("_w"))
+    grams = F.flatten(F.array(*(_grams(k) for k in sizes)))
+    spread = words.select("doc_id", "sentence_ix", F.explode(F.array_distinct(grams)).alias("gram"))
+    found = stored(spread.join(few(keys.select("gram", "ticker", "pattern")), "gram").select("doc_id", "sentence_ix", "ticker", "pattern").distinct(), "mention-places")
+    texts = _sentences(docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi"))
+    said = found.join(texts, ["doc_id", "sentence_ix"]).filter(F.expr("regexp_like(lower(sentence), pattern)"))
+    first = said.groupBy("doc_id", "ticker").agg(F.min(F.struct("sentence_ix", "sentence")).alias("m"))
     first = first.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).filter(F.col("_n") <= most_tickers)
-    stance = F.when(F.col("m.sentence").rlike(NEGATIVE_CUES), "negative").otherwise("positive")
-    return first.select("doc_id", "ticker", F.col("m.sentence_ix").alias("sentence_ix"), F.substring("m.sentence", 1, quote).alias("quote"), stance.alias("stance"))
+    cut = F.substring("m.sentence", 1, quote)
+    first = first.select("doc_id", "ticker", F.col("m.sentence_ix").alias("sentence_ix"), cut.alias("quote")).filter(~F.col("quote").rlike("|".join(MENU_TEXTS)))
+    return first.withColumn("stance", F.when(F.col("quote").rlike(NEGATIVE_CUES), "negative").otherwise("positive"))
 
 
 def _grams(size: int) -> Column:
-    """The word n-grams of column _w, with their places."""
+    """Hashes of the word n-grams of column _w."""
     n = F.size("_w") - (size - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("i"), F.array_join(F.slice("_w", i, size), " ").alias("gram")))).otherwise(F.array().cast("array<struct<i:int,gram:string>>"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, size), " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
 def first_per_day(rows: DataFrame) -> DataFrame:

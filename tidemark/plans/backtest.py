@@ -25,7 +25,7 @@ class Settings:
     least_tail: int = 20
     least_decile: int = 100
     top: float = 0.10
-    blocks: dict = field(default_factory=lambda: {"price": ["z_mom", "z_trend"], "fund": ["z_value", "z_quality"], "flow": ["z_congress", "z_fund"]})
+    blocks: dict = field(default_factory=lambda: {"price": ["z_mom", "z_trend"], "fund": ["z_value", "z_quality"], "flow": ["z_congress", "z_fund", "z_insider", "z_activism"]})
     variants: dict = field(default_factory=lambda: {"full": ["price", "fund", "flow"], "price": ["price"], "price_fund": ["price", "fund"]})
     #: Half-life and window in days per flow source.
     flows: dict = field(default_factory=lambda: {"congress": (180, 365), "fund": (270, 540), "insider": (90, 180), "activism": (365, 730)})
@@ -42,6 +42,8 @@ class Inputs:
     sectors: DataFrame
     events: DataFrame
     shorts: DataFrame | None = None
+    fundamentals: DataFrame | None = None
+    splits: DataFrame | None = None
 
 
 def factor_table(inputs: Inputs, s: Settings) -> DataFrame:
@@ -53,6 +55,8 @@ def factor_table(inputs: Inputs, s: Settings) -> DataFrame:
     at = panel.forward_returns(at)
     members = members_as_of(months.select(F.col("as_of").alias("day")), inputs.membership).withColumnRenamed("day", "as_of")
     at = at.join(members, ["as_of", "ticker"]).join(inputs.sectors.select("ticker", "sector"), "ticker", "left")
+    if inputs.fundamentals is not None:
+        at = ev.fundamental_factors(at, inputs.fundamentals, inputs.splits)
     for source, (half_life, window) in s.flows.items():
         flow = ev.decayed_flow(months, inputs.events.filter(F.col("source") == source), half_life, window).select("as_of", "ticker", F.col("flow").alias(source))
         at = at.join(flow, ["as_of", "ticker"], "left")
@@ -63,17 +67,25 @@ def factor_table(inputs: Inputs, s: Settings) -> DataFrame:
 
 def scored(table: DataFrame, factors: list[str], s: Settings) -> DataFrame:
     """Eligible rows with a z column per factor, the composite variants and the sector-demeaned forward return."""
+    lacking = [f for f in factors if f not in table.columns]
+    if lacking:
+        raise ValueError(f"no input gives the factors {lacking}")
     rows = xsection.eligible(table, ["close", "mom", "trend", "vol"], s.least_names)
     for f in factors:
         rows = xsection.winsor_z(rows, f, f"z_{f}", by=("month_ix",))
-    for f in {c for cols in s.blocks.values() for c in cols} - {f"z_{f}" for f in factors}:
-        rows = rows.withColumn(f, F.lit(None).cast("double"))
-    return xsection.sector_demean(xsection.composite(rows, s.blocks, s.variants))
+    return xsection.sector_demean(xsection.composite(rows, *made_of(factors, s)))
+
+
+def made_of(factors: list[str], s: Settings) -> tuple[dict, dict]:
+    """The blocks with those of their columns that are scored, and the variants of the blocks that have any: a factor that
+    isn't asked for takes no part, rather than a column of nulls."""
+    blocks = {b: held for b, cols in s.blocks.items() if (held := [c for c in cols if c in {f"z_{f}" for f in factors}])}
+    return blocks, {v: held for v, parts in s.variants.items() if (held := [b for b in parts if b in blocks])}
 
 
 def ic_series(rows: DataFrame, factors: list[str], s: Settings) -> DataFrame:
     """(series, month_ix, n, value): the rank IC of each factor and variant with the demeaned return."""
-    names = [*(f"z_{f}" for f in factors), *s.variants]
+    names = [*(f"z_{f}" for f in factors), *made_of(factors, s)[1]]
     long = rows.select("month_ix", "ticker", "fwd_dm", F.explode(F.array(*(F.struct(F.lit(n).alias("series"), F.col(n).cast("double").alias("score")) for n in names))).alias("x"))
     long = long.select("month_ix", "ticker", "fwd_dm", "x.series", "x.score")
     return xsection.rank_ic(long, "score", "fwd_dm", ("series", "month_ix")).select("series", "month_ix", "n", F.col("ic").alias("value"))
@@ -84,7 +96,7 @@ def report(inputs: Inputs, factors: list[str], s: Settings) -> dict[str, DataFra
     rows = stored(scored(factor_table(inputs, s), factors, s).filter("fwd IS NOT NULL"), "scored")
     ic = stored(ic_series(rows, factors, s), "ic")
     held = None
-    for v in s.variants:
+    for v in made_of(factors, s)[1]:
         part = portfolio.net_of_cost(portfolio.turnover(portfolio.holdings(rows, v, "top", s.top, s.least_tail))).withColumn("series", F.lit(v))
         held = part if held is None else held.union(part)
     top = portfolio.turnover(portfolio.holdings(rows, "full", "top", s.top, s.least_decile))
@@ -93,7 +105,7 @@ def report(inputs: Inputs, factors: list[str], s: Settings) -> dict[str, DataFra
     ic_stats = stats.newey_west(ic)
     return {
         "rows": rows, "ic": ic, "ic_stats": ic_stats, "ic_corr": stats.series_correlation(ic), "variants": held, "summary": portfolio.annualise(held),
-        "hits": portfolio.hit_rate(held, bench), "long_short": portfolio.long_short(top, low), "benchmark": bench, "gate": stats.gate(ic_stats, own_tests=len(factors) + len(s.variants)),
+        "hits": portfolio.hit_rate(held, bench), "long_short": portfolio.long_short(top, low), "benchmark": bench, "gate": stats.gate(ic_stats, own_tests=len(factors) + len(made_of(factors, s)[1])),
     }
 
 

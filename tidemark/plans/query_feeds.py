@@ -122,9 +122,9 @@ def s16_skip_known(f: Feeds) -> DataFrame:
 
 
 @query("""SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(DATE '1998-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS d) WHERE dayofweek(d) NOT IN (0, 6)
-  AND CAST(d AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM {orders} WHERE o_orderkey % 3 = 0)""")
+  AND CAST(d AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM {orders} WHERE o_orderpriority = '1-URGENT')""")
 def s17_missing_sessions(f: Feeds) -> DataFrame:
-    return files.missing_sessions(day("1998-01-01"), day("1998-12-31"), f.orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderdate").cast("date").alias("date")))
+    return files.missing_sessions(day("1998-01-01"), day("1998-12-31"), f.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderdate").cast("date").alias("date")))
 
 
 @query("""SELECT t.ticker, CASE WHEN a IS NULL OR a > DATE '1996-06-01' THEN 'full' WHEN date_diff('day', b, DATE '2001-12-01') > 40 THEN 'tail' ELSE 'covered' END AS plan
@@ -321,3 +321,49 @@ def a11_bad_symbols(f: Feeds) -> DataFrame:
 @query("SELECT l_returnflag AS value, count(*) AS n FROM {lineitem} GROUP BY 1")
 def a12_value_counts(f: Feeds) -> DataFrame:
     return audit.value_counts(f.lineitem, "l_returnflag")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE disclosure_date IS NULL) AS null_disclosure_date, count(*) FILTER (WHERE amended IS NULL) AS null_amended, count(*) FILTER (WHERE ticker_ok IS NULL) AS null_ticker_ok FROM {trades}")
+def a12_null_counts(f: Feeds) -> DataFrame:
+    return audit.null_counts(f.trades, ["disclosure_date", "amended", "ticker_ok"])
+
+
+@query("SELECT manager, filing_date, ticker, CAST(rank AS INT) AS rank FROM (SELECT manager, filing_date, ticker, row_number() OVER (PARTITION BY manager, filing_date ORDER BY value DESC, ticker) AS rank FROM {holdings}) h WHERE rank > 30")
+def a12_ranked_beyond(f: Feeds) -> DataFrame:
+    ranked = f.holdings.withColumn("rank", F.row_number().over(Window.partitionBy("manager", "filing_date").orderBy(F.desc("value"), "ticker")))
+    return audit.ranked_beyond(ranked, "rank").select("manager", "filing_date", "ticker", "rank")
+
+
+_KINDS = ("P", "p ", "Purchase", "S (partial)", "Sale (Full)", "s", "SELL", "Exchange", "E", "")
+
+
+@query(f"""SELECT trade_id, kind, CASE WHEN contains(lower(kind), 'purchase') THEN 1 WHEN contains(lower(kind), 'sale') THEN -1 ELSE 0 END AS english,
+CASE WHEN contains(lower(kind), 'purchase') OR trim(lower(kind)) = 'p' THEN 1 WHEN contains(lower(kind), 'sale') OR contains(lower(kind), 'sell') OR trim(lower(kind)) = 's' OR starts_with(lower(kind), 's (') THEN -1 ELSE 0 END AS profile
+FROM (SELECT trade_id, {list(_KINDS)}[1 + trade_id % {len(_KINDS)}] AS kind FROM {{trades}}) t""")
+def p2b_p2c_sign_dialects(f: Feeds) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("trade_id") % len(_KINDS) + 1).cast("int"))
+    rows = f.trades.select("trade_id", kind.alias("kind"))
+    return rows.select("trade_id", "kind", sc.trade_sign(F.col("kind"), "english").alias("english"), sc.trade_sign(F.col("kind"), "profile").alias("profile"))
+
+
+_NAMED = {"z": "(value - 20) / 10", "rsi": "value", "pe": "value - 5", "range_pct": "(value - 1) / 300 * 100", "market_cap": "value * value * 100000000", "composite": "(value - 20) / 20"}
+
+
+def _bands(metric: str, value: str) -> str:
+    over = ">" if metric == "pe" else ">="
+    return f"CASE WHEN {value} IS NOT NULL{f' AND {value} > 0' if metric == 'pe' else ''} THEN {' + '.join(f'CAST({value} {over} {float(c)!r} AS INT)' for c in sc.METRIC_CUTS[metric])} END AS {metric}"
+
+
+@query(f"SELECT event_id, {', '.join(_bands(m, v) for m, v in _NAMED.items())} FROM {{events}}")
+def p12_metric_bands(f: Feeds) -> DataFrame:
+    return f.events.select("event_id", *(sc.metric_band(m, sc.range_place(F.col("value"), F.lit(1.0), F.lit(301.0)) if m == "range_pct" else F.expr(v)).alias(m) for m, v in _NAMED.items()))
+
+
+@query("""SELECT c_custkey, lower(c_mktsegment) || ' ' || lower(c_name) AS person, c_name || CASE WHEN c_custkey % 4 = 3 THEN ' Group' ELSE '' END AS company FROM {customer}""")
+def p6_p7_name_forms(f: Feeds) -> DataFrame:
+    """Titles, suffixes and legal forms of several kinds around the same names; a group stays a group."""
+    pick = lambda *forms: F.element_at(F.array(*map(F.lit, forms)), (F.col("c_custkey") % len(forms) + 1).cast("int"))
+    person = F.concat(pick("Sen. ", "Dr ", "", "Mrs. ", "HON. "), "c_mktsegment", pick(" ", "  "), "c_name", pick("", " V", ", Sr.", " III", " II"))
+    company = F.concat("c_name", pick(" Ltd.", ", Incorporated", " N.V.", " Group", " PLC", " Technologies", " Companies", " Group"))
+    company = F.when(F.col("c_custkey") % 4 == 3, F.concat("c_name", F.lit(" Group"))).otherwise(F.regexp_replace(company, " Group$", " Co"))
+    return f.customer.select("c_custkey", sc.person_key(person).alias("person"), sc.company_key(company).alias("company"))

@@ -124,6 +124,15 @@ def q1_latest_per_ticker(f: Feeds) -> DataFrame:
     return screens.latest_per_entity(f.trades, "ticker", [F.desc("transaction_date"), F.asc("trade_id")]).select("ticker", "trade_id", "place")
 
 
+_CONTEXT = {"trades": ("{trades}", "transaction_date", "trade_id"), "prices": ("{prices}", "date", "date"), "shorts": ("{shorts}", "date", "date"), "facts": ("{facts}", "filing_date", "period_end")}
+
+
+@query("SELECT source, ticker, day, row_id, CAST(row_number() OVER (PARTITION BY source, ticker ORDER BY day DESC NULLS LAST, row_id) AS INT) AS place FROM ("
+       + " UNION ALL ".join(f"SELECT '{k}' AS source, ticker, {d} AS day, CAST({i} AS VARCHAR) AS row_id FROM {t}" for k, (t, d, i) in _CONTEXT.items()) + ") u QUALIFY place <= 10")
+def q1_ticker_context(f: Feeds) -> DataFrame:
+    return screens.context({k: (getattr(f, t.strip("{}")), d, i) for k, (t, d, i) in _CONTEXT.items()})
+
+
 @query("SELECT p_partkey FROM {part} WHERE contains(lower(p_name), 'red') AND p_size >= 20")
 def p14_screen_filter(f: Feeds) -> DataFrame:
     return screens.contains_filter(f.part, "RED", "p_name", {"p_size": 20}).select("p_partkey")
@@ -158,7 +167,7 @@ def r2_tagged(f: Feeds) -> DataFrame:
 
 @query()
 def r3_embeddings(f: Feeds) -> DataFrame:
-    out = text.embed(text.chunks(f.benchmark.select(F.col("item_id").alias("path"), "text")))
+    out = text.embed(text.chunks(f.documents.select(F.col("doc_id").alias("path"), "text")))
     return out.select("path", "idx", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"))
 
 
@@ -185,10 +194,22 @@ def r5_evidence(f: Feeds) -> DataFrame:
     return text.evidence_for(links, "mom").select("title", "factor")
 
 
-@query()
+_COMMON = ", ".join(f"'{w}'" for w in text.COMMON_WORDS)
+
+
+@query(rf"""WITH named AS (SELECT CASE WHEN item_id % 7 = 3 THEN 'WM' ELSE 'B' || item_id END AS ticker, lower(CASE WHEN item_id % 5 = 0 THEN w[1] ELSE array_to_string(w[1 : 2 + CAST(item_id % 5 AS INT)], ' ') END) AS core FROM (SELECT item_id, string_split(text, ' ') AS w FROM {{benchmark}}) b),
+keys AS (SELECT DISTINCT ticker, core FROM (SELECT ticker, regexp_replace(regexp_replace(core, '^[\s,.&]+|[\s,.&]+$', '', 'g'), '[\s,]+', ' ', 'g') AS core FROM named WHERE ticker <> 'WM') k WHERE contains(core, ' ') OR (length(core) >= 4 AND core NOT IN ({_COMMON}))),
+sentences AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS sentence_ix, unnest(l) AS sentence FROM (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) AS l FROM {{documents}}) d),
+near AS MATERIALIZED (SELECT doc_id, ticker, sentence_ix, sentence, core FROM sentences JOIN keys ON contains(lower(sentence), core)),
+said AS (SELECT doc_id, ticker, min(sentence_ix) AS sentence_ix FROM near WHERE regexp_matches(lower(sentence), '(^|[^\p{{L}}\p{{N}}_])\Q' || core || '\E($|[^\p{{L}}\p{{N}}_])') GROUP BY 1, 2 QUALIFY count(*) OVER (PARTITION BY doc_id) <= 8)
+SELECT doc_id, ticker, sentence_ix, CASE WHEN regexp_matches(substr(sentence, 1, 280), '{text.NEGATIVE_CUES}') THEN 'negative' ELSE 'positive' END AS stance FROM said JOIN sentences USING (doc_id, sentence_ix) WHERE NOT regexp_matches(substr(sentence, 1, 280), '{"|".join(text.MENU_TEXTS)}')""")
 def r6_mentions(f: Feeds) -> DataFrame:
-    names = f.benchmark.select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("ticker"))
-    return text.mentions(f.documents, names).select("doc_id", "ticker", "sentence_ix", "stance")
+    """Companies named by the first one to six words of each benchmark item, with legal suffixes of several kinds."""
+    w, k = F.split("text", " "), F.col("item_id") % 5
+    core = F.when(k == 0, F.element_at(w, 1)).otherwise(F.array_join(F.slice(w, F.lit(1), (k + 2).cast("int")), " "))
+    suffix = F.element_at(F.array(*map(F.lit, ("", ", Inc.", " Corp", " PLC"))), (F.col("item_id") % 4 + 1).cast("int"))
+    ticker = F.when(F.col("item_id") % 7 == 3, "WM").otherwise(F.concat(F.lit("B"), F.col("item_id").cast("string")))
+    return text.mentions(f.documents, f.benchmark.select(F.concat(core, suffix).alias("name"), ticker.alias("ticker"))).select("doc_id", "ticker", "sentence_ix", "stance")
 
 
 @query("SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INT) AS place, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*href=\"([^\"]*)\"[^>]*>', 1) AS l FROM {pages}) x")
@@ -200,33 +221,50 @@ def _scratch(f: Feeds) -> str:
     return fresh_path(f.spark, "query")
 
 
-@query("SELECT n_name, r_name FROM {nation} JOIN {region} ON n_regionkey = r_regionkey")
+@query("SELECT o_orderkey, c_mktsegment FROM {orders} JOIN {customer} ON o_custkey = c_custkey")
 def k1_k2_snapshot_and_replace(f: Feeds) -> DataFrame:
     folder = _scratch(f)
-    a, b = files.snapshot({"nation": f.nation, "region": f.region}, f"{folder}/snapshot")
-    back = f.spark.read.parquet(a).join(f.spark.read.parquet(b), F.expr("n_regionkey = r_regionkey")).select("n_name", "r_name")
+    tables = {"orders": f.orders.select("o_orderkey", "o_custkey"), "customer": f.customer.select("c_custkey", "c_mktsegment")}
+    places = files.snapshot(tables, f"{folder}/snapshot", "2024-01-01T00-00-00")
+    back = f.spark.read.parquet(places["orders"]).join(f.spark.read.parquet(places["customer"]), F.expr("o_custkey = c_custkey")).select("o_orderkey", "c_mktsegment")
+    files.replace_table(back.limit(1), f"{folder}/result")
     files.replace_table(back, f"{folder}/result")
     files.replace_table(back.filter("false"), f"{folder}/result")  # refused: an empty result leaves the table
     return f.spark.read.parquet(f"{folder}/result")
 
 
-@query("SELECT n_name AS Last, CAST(make_date(2024, 1, CAST(1 + n_nationkey AS INT)) AS DATE) AS filing_date FROM {nation} WHERE n_nationkey % 2 = 0 AND n_nationkey < 20")
+@query("SELECT c_name AS Last, CAST(make_date(2024, 1, CAST(1 + c_custkey % 28 AS INT)) AS DATE) AS filing_date FROM {customer} WHERE c_mktsegment = 'BUILDING' AND c_custkey % 28 < 20")
 def s9_filing_index(f: Feeds) -> DataFrame:
+    """A member of an index is a customer; an index, in a file of its own, has a thousand."""
     folder = _scratch(f)
-    kind = F.when(F.col("n_nationkey") % 2 == 0, "P").otherwise("C")
-    body = F.concat(F.lit("<Member><Last>"), "n_name", F.lit("</Last><First>x</First><FilingType>"), kind, F.lit("</FilingType><FilingDate>1/"), (F.col("n_nationkey") + 1).cast("string"), F.lit("/2024</FilingDate><DocID>1</DocID></Member>"))
-    members = f.nation.agg(F.array_join(F.collect_list(body), "").alias("m"))  # a row per nation, in one document
-    members.select(F.concat(F.lit("<Members>"), "m", F.lit("</Members>")).alias("value")).write.text(f"{folder}/index")
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "P").otherwise("C")
+    day_ = (F.col("c_custkey") % 28 + 1).cast("string")
+    body = F.concat(F.lit("<Member><Last>"), "c_name", F.lit("</Last><First>x</First><FilingType>"), kind, F.lit("</FilingType><FilingDate>1/"), day_, F.lit("/2024</FilingDate><DocID>1</DocID></Member>"))
+    part = F.floor(F.col("c_custkey") / 1000)
+    members = f.customer.groupBy(part.alias("part")).agg(F.array_join(F.collect_list(body), "").alias("m"))
+    members.select("part", F.concat(F.lit("<Members>"), "m", F.lit("</Members>")).alias("value")).write.partitionBy("part").text(f"{folder}/index")
     index = documents.filing_index(f.spark, f"{folder}/index")
     return documents.filings_between(index, day("2024-01-01"), day("2024-01-20")).select("Last", "filing_date")
 
 
+@query("SELECT ticker, sector FROM {sectors}")
+def s3_sector_file(f: Feeds) -> DataFrame:
+    """The map read back from files of commented lines under a header."""
+    folder = _scratch(f)
+    line = F.concat_ws(",", "ticker", "sector")
+    head = f.spark.createDataFrame([("# sectors, current only",), ("ticker,sector",)], "value string")
+    head.coalesce(1).write.text(f"{folder}/head")
+    f.sectors.select(line.alias("value")).write.text(f"{folder}/lines")
+    return files.read_sectors(f.spark, f"{folder}/head").union(files.read_sectors(f.spark, f"{folder}/lines", header=False))
+
+
 @query("SELECT date, ticker, short_volume, total_volume FROM {shorts}")
 def st1_short_volume_stream(f: Feeds) -> DataFrame:
     folder = _scratch(f)
     lines = F.concat_ws("|", F.date_format("date", "yyyyMMdd"), "ticker", F.col("short_volume").cast("string"), F.lit("0"), F.col("total_volume").cast("string"), F.lit("N"))
     f.shorts.select(lines.alias("value")).write.text(f"{folder}/in")
-    table, seen = feeds.VersionedTable(f.spark, f"{folder}/table", feeds.SHORT_SCHEMA), feeds.VersionedTable(f.spark, f"{folder}/seen", "date date")
+    table = feeds.PartTable(f.spark, f"{folder}/table", feeds.SHORT_SCHEMA, feeds.SHORT_PART)
+    seen = feeds.PartTable(f.spark, f"{folder}/seen", feeds.COVERAGE_SCHEMA, feeds.COVERAGE_PART)
     for run in range(2):  # the second run sees the same files through a new checkpoint and changes nothing
         feeds.stream_short_volume(f.spark, f"{folder}/in", table, seen, f"{folder}/cp{run}").awaitTermination()
     return table.read()
@@ -240,7 +278,8 @@ def st2_disclosure_stream(f: Feeds) -> DataFrame:
     folder = _scratch(f)
     rows = f.trades.select(F.col("trade_id").alias("id"), "member", "ticker", "transaction_date", "disclosure_date", F.concat("report_url", F.col("trade_id").cast("string")).alias("report_url"))
     rows.write.json(f"{folder}/in")
-    table = feeds.VersionedTable(f.spark, f"{folder}/table", f"{_DISCLOSURE}, amended boolean")
+    key = ["member", "ticker", "transaction_date"]
+    table = feeds.PartTable(f.spark, f"{folder}/table", f"{_DISCLOSURE}, amended boolean", feeds.disclosure_part(key))
     for run in range(2):
-        feeds.stream_disclosures(f.spark, f"{folder}/in", _DISCLOSURE, table, ["member", "ticker", "transaction_date"], f"{folder}/cp{run}").awaitTermination()
+        feeds.stream_disclosures(f.spark, f"{folder}/in", _DISCLOSURE, table, key, f"{folder}/cp{run}").awaitTermination()
     return table.read().select("id", F.coalesce("amended", F.lit(False)).alias("amended"))

@@ -50,11 +50,11 @@ def j4_last_close_within(f: Feeds) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT snap_date, lead(snap_date) OVER (ORDER BY snap_date) AS until FROM (SELECT DISTINCT snap_date FROM {membership}) d),
-q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM {orders} WHERE o_orderkey % 50 = 0 AND CAST(o_orderdate AS DATE) >= (SELECT min(snap_date) FROM {membership}))
+q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM {orders} WHERE CAST(o_orderdate AS DATE) >= (SELECT min(snap_date) FROM {membership}))
 SELECT DISTINCT day, ticker FROM q JOIN s ON day >= s.snap_date AND (until IS NULL OR day < until) JOIN {membership} m ON m.snap_date = s.snap_date""")
 def j5_members_as_of(f: Feeds) -> DataFrame:
     first = f.membership.agg(F.min("snap_date").alias("first"))
-    days = f.orders.filter("o_orderkey % 50 = 0").select(F.col("o_orderdate").cast("date").alias("day")).join(F.broadcast(first), F.col("day") >= F.col("first"))
+    days = f.orders.select(F.col("o_orderdate").cast("date").alias("day")).join(F.broadcast(first), F.col("day") >= F.col("first"))
     return asof.members_as_of(days.select("day"), f.membership)
 
 
@@ -175,13 +175,16 @@ at_months AS (SELECT m.month_ix, m.as_of, f.*, CASE WHEN lead(m.month_ix) OVER w
 el AS (SELECT a.*, s.sector FROM at_months a LEFT JOIN {{sectors}} s USING (ticker) WHERE close IS NOT NULL AND mom IS NOT NULL AND trend IS NOT NULL AND vol IS NOT NULL QUALIFY count(*) OVER (PARTITION BY month_ix) >= 5)"""
 
 
-def _month_rows(f: Feeds) -> DataFrame:
-    """Eligible rows at rebalance dates with features, sector and forward return."""
+def _at_months(f: Feeds) -> DataFrame:
     cal = panel.calendar(f.prices)
     months = panel.rebalance_bars(cal, panel.MONTHLY)
     at = panel.features(panel.dense_grid(f.prices, cal), panel.MONTHLY).join(F.broadcast(months), "bar_ix")  # a row per month
-    at = panel.forward_returns(at).join(f.sectors, "ticker", "left")
-    return xsection.eligible(at, ["close", "mom", "trend", "vol"], 5)
+    return panel.forward_returns(at)
+
+
+def _month_rows(f: Feeds) -> DataFrame:
+    """Eligible rows at rebalance dates with features, sector and forward return."""
+    return xsection.eligible(_at_months(f).join(f.sectors, "ticker", "left"), ["close", "mom", "trend", "vol"], 5)
 
 
 @query(f"WITH {_ROWS} SELECT month_ix, ticker, round(fwd, 6) AS fwd FROM el")
@@ -260,6 +263,15 @@ def x13_equal_weight_benchmark(f: Feeds) -> DataFrame:
     return rounded(rows.groupBy(F.col("month_ix").cast("long").alias("month_ix")).agg(F.avg("fwd").alias("ret"), F.count("*").alias("n")))
 
 
+@query(f"""WITH {_ROWS}, proxy AS (SELECT month_ix, fwd AS ret FROM at_months WHERE ticker = 'T00001' AND fwd IS NOT NULL), rest AS (SELECT month_ix, avg(fwd) AS ret, count(*) AS n FROM at_months WHERE ticker <> 'T00001' AND fwd IS NOT NULL GROUP BY 1)
+SELECT month_ix, round(rest.ret, 6) AS equal_weighted, n, round(proxy.ret, 6) AS cap_weighted FROM rest LEFT JOIN proxy USING (month_ix)""")
+def x13_cap_weighted_proxy(f: Feeds) -> DataFrame:
+    own, rest = portfolio.proxy_returns(_at_months(f), "T00001")
+    means = rest.filter("fwd IS NOT NULL").groupBy("month_ix").agg(F.avg("fwd").alias("equal_weighted"), F.count("*").alias("n"))
+    out = means.join(own.withColumnRenamed("ret", "cap_weighted"), "month_ix", "left")
+    return rounded(out.withColumn("month_ix", F.col("month_ix").cast("long")))
+
+
 @query(f"""WITH {_ROWS}, {_HELD}, g AS (SELECT month_ix, exp(sum(ln(1 + gross)) OVER (ORDER BY month_ix)) AS growth, gross FROM turn), d AS (SELECT *, growth / max(growth) OVER (ORDER BY month_ix) - 1 AS dd FROM g)
 SELECT 'top' AS series, count(*) AS n, round(pow(exp(sum(ln(1 + gross))), 12.0 / count(*)) - 1, 6) AS cagr, round(avg(gross) / stddev_pop(gross) * sqrt(12.0), 6) AS sharpe, round(min(dd), 6) AS max_drawdown FROM d""")
 def x15_w9_annualise(f: Feeds) -> DataFrame:
@@ -302,10 +314,11 @@ def x19_hit_rate(f: Feeds) -> DataFrame:
 
 def _inputs(f: Feeds) -> backtest.Inputs:
     moves, _ = ev.fund_events(ev.holding_moves(f.holdings), f.prices)
-    return backtest.Inputs(f.prices, f.membership, f.sectors, ev.congress_events(f.trades).union(moves), ev.short_fraction(f.shorts))
+    events = ev.congress_events(f.trades).union(moves).union(ev.insider_events(f.buys)).union(ev.activism_events(f.blocks))
+    return backtest.Inputs(f.prices, f.membership, f.sectors, events, ev.short_fraction(f.shorts), f.facts, f.fact_splits)
 
 
-FACTORS = ["mom", "trend", "vol", "congress", "fund", "short"]
+FACTORS = ["mom", "trend", "vol", "value", "quality", "congress", "fund", "insider", "activism", "short"]
 
 
 def _report(f: Feeds) -> dict[str, DataFrame]:
@@ -384,13 +397,46 @@ def v4_window_sums(f: Feeds) -> DataFrame:
     return rounded(eventstudy.window_sums(events.select("ticker", "event_ix").distinct(), rets, 0, 5).withColumn("event_ix", F.col("event_ix").cast("long")))
 
 
-@query()
+def _kept(name: str, span: int, events: str = "e") -> str:
+    """The events of CTE ``events`` that a greedy collapse over ``span`` bars keeps, as a recursive CTE."""
+    after = f"e2.ticker = k.ticker AND e2.event_ix >= k.event_ix + {span}"
+    return f"""{name} AS (SELECT ticker, min(event_ix) AS event_ix FROM {events} GROUP BY 1 UNION ALL
+SELECT k.ticker, (SELECT min(e2.event_ix) FROM {events} e2 WHERE {after}) AS event_ix FROM {name} k WHERE k.event_ix IS NOT NULL AND EXISTS (SELECT 1 FROM {events} e2 WHERE {after}))"""
+
+
+_STUDY = ((0, 5), (0, 20), (-5, -1))
+
+
+def _study(i: int, first: int, last: int) -> tuple[str, str]:
+    """The CTEs of window ``i`` of the event study, and its row."""
+    n = last - first + 1
+    heads = f"""{_kept(f'kept{i}', n)},
+cars{i} AS (SELECT k.ticker, k.event_ix, CASE WHEN count(r.abnormal) = {n} THEN sum(r.abnormal) END AS car, CASE WHEN count(coalesce(ret - alpha - beta * market, abnormal)) = {n} THEN sum(coalesce(ret - alpha - beta * market, abnormal)) END AS car_mm
+  FROM kept{i} k JOIN range({first}, {last + 1}) t(i) ON true LEFT JOIN models m ON m.ticker = k.ticker AND m.event_ix = k.event_ix LEFT JOIN rets r ON r.ticker = k.ticker AND r.bar_ix = k.event_ix + t.i WHERE k.event_ix IS NOT NULL GROUP BY 1, 2),
+o{i} AS (SELECT car - avg(car) OVER () AS e, row_number() OVER (ORDER BY event_ix, ticker) AS i FROM cars{i} WHERE car IS NOT NULL),
+l{i} AS (SELECT count(*) AS n, CAST(greatest(1, least(floor(4 * pow(count(*) / 100.0, 2.0 / 9)), count(*) - 1)) AS INT) AS lag FROM o{i}),
+g{i} AS (SELECT k, avg(a.e * b.e) AS g FROM o{i} a JOIN (SELECT unnest(range(lag + 1)) AS k FROM l{i}) ks ON true JOIN o{i} b ON b.i = a.i + k GROUP BY 1)"""
+    row = f"""SELECT '{first}..{last}' AS days, count(car) AS n, round(avg(car), 6) AS mean_car, round(avg(car_mm), 6) AS mean_car_mm, round(avg(CASE WHEN car IS NOT NULL THEN CAST(car > 0 AS INT) END), 6) AS hit_rate, count(*) - count(car) AS n_skipped,
+round(avg(car) / sqrt((SELECT sum(CASE WHEN k = 0 THEN g ELSE 2 * (1 - k / (lag + 1)) * g END) FROM g{i}, l{i}) / count(car)), 6) AS t, (SELECT count(*) FROM ev) - count(*) AS n_collapsed, (SELECT count(*) FROM models WHERE beta IS NULL) AS no_beta FROM cars{i}"""
+    return heads, row
+
+
+_STUDIES = [_study(i, *w) for i, w in enumerate(_STUDY)]
+
+
+@query(f"""WITH RECURSIVE {_WEEKLY}, {_EVENTS}, e AS (SELECT DISTINCT ticker, event_ix FROM ev), fit AS (SELECT e.ticker, e.event_ix, count(*) AS n, CASE WHEN var_pop(market) > 0 THEN covar_samp(ret, market) / var_pop(market) END AS beta, avg(ret) AS y, avg(market) AS x
+FROM e JOIN rets r ON r.ticker = e.ticker AND r.bar_ix >= e.event_ix - 56 AND r.bar_ix < e.event_ix - 4 WHERE ret IS NOT NULL AND market IS NOT NULL GROUP BY 1, 2),
+models AS (SELECT e.ticker, e.event_ix, CASE WHEN n >= 20 THEN beta END AS beta, CASE WHEN n >= 20 THEN y - beta * x END AS alpha FROM e LEFT JOIN fit USING (ticker, event_ix)),
+{', '.join(h for h, _ in _STUDIES)} {' UNION ALL '.join(r for _, r in _STUDIES)}""")
 def v5_event_study(f: Feeds) -> DataFrame:
     _, rets, events = _weekly(f)
-    return rounded(eventstudy.report(events, rets, ((0, 5), (0, 20), (-5, -1)), gap=4, length=52, least=20))
+    return rounded(eventstudy.report(events, rets, _STUDY, gap=4, length=52, least=20).withColumnRenamed("window", "days"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WEEKLY}, {_EVENTS}, e AS (SELECT DISTINCT ticker, event_ix FROM ev WHERE event_ix + 20 <= (SELECT max(bar_ix) FROM rets)), {_kept('kept', 21)},
+p AS (SELECT k.ticker, k.event_ix, t.i AS day, abnormal FROM kept k JOIN range(21) t(i) ON true LEFT JOIN rets r ON r.ticker = k.ticker AND r.bar_ix = k.event_ix + t.i),
+c AS (SELECT day, sum(abnormal) OVER (PARTITION BY ticker, event_ix ORDER BY day) AS car FROM p QUALIFY count(abnormal) OVER (PARTITION BY ticker, event_ix) = 21)
+SELECT CAST(day AS INT) AS day, count(*) AS n, round(avg(car), 6) AS mean_car, round(stddev_pop(car) / sqrt(count(*)), 6) AS se FROM c GROUP BY 1""")
 def v6_daily_path(f: Feeds) -> DataFrame:
     _, rets, events = _weekly(f)
     return rounded(eventstudy.daily_path(events, rets, 20))
@@ -410,12 +456,19 @@ def _tests(f: Feeds) -> DataFrame:
     return f.events.groupBy(F.col("event_type").alias("family"), (F.col("user_id") % 10).alias("k")).agg((F.avg("value") / F.stddev_pop("value") * F.sqrt(F.count("*").cast("double")) / 5).alias("t")).select("family", F.col("k").cast("string").alias("name"), "t")
 
 
-@query()
+_TESTS = "tests AS (SELECT event_type AS family, CAST(user_id % 10 AS VARCHAR) AS name, avg(value) / stddev_pop(value) * sqrt(count(*)) / 5 AS t FROM {events} GROUP BY 1, 2)"
+_BARS = ", ".join(f"({n}, {k}, {stats.step_up_t(n, k)!r})" for n in range(1, 11) for k in range(1, n + 1))
+
+
+@query(f"""WITH {_TESTS}, ranked AS (SELECT *, count(*) OVER (PARTITION BY family) AS n, CAST(row_number() OVER (PARTITION BY family ORDER BY abs(t) DESC, name) AS INT) AS rank FROM tests),
+bars(bn, bk, critical_t) AS (VALUES {_BARS}), held AS (SELECT * FROM ranked JOIN bars ON n = bn AND rank = bk)
+SELECT n, rank, family, name, round(t, 6) AS t, round(critical_t, 6) AS critical_t, coalesce(rank <= max(CASE WHEN abs(t) >= critical_t THEN rank END) OVER (PARTITION BY family), false) AS passes FROM held""")
 def g2_step_up(f: Feeds) -> DataFrame:
     return rounded(stats.step_up(f.spark, _tests(f)))
 
 
-@query()
+@query(f"""WITH {_TESTS} SELECT family, name, round(t, 6) AS t, round({stats.step_up_t(13, 1)!r}, 6) AS own_bar, round({stats.step_up_t(316, 1)!r}, 6) AS zoo_bar,
+CASE WHEN abs(t) >= {stats.step_up_t(316, 1)!r} THEN 'passes both' WHEN abs(t) >= {stats.step_up_t(13, 1)!r} THEN 'passes own' ELSE 'fails' END AS verdict FROM tests""")
 def g1_g3_gate(f: Feeds) -> DataFrame:
     return rounded(stats.gate(_tests(f), own_tests=13))
 
@@ -460,7 +513,10 @@ def w12_moving_average(f: Feeds) -> DataFrame:
     return rounded(panel.moving_average(f.prices, 5).select("ticker", "date", "sma"), 4)
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT ticker, date, row_number() OVER w - 1 AS k, close - lag(close) OVER w AS mv FROM {prices} WHERE close IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+r AS (SELECT ticker, date, k, CAST(0 AS DOUBLE) AS gain, CAST(0 AS DOUBLE) AS loss FROM b WHERE k = 0 UNION ALL
+SELECT b.ticker, b.date, b.k, CASE WHEN b.k <= 14 THEN gain + greatest(mv, 0) / 14 ELSE (gain * 13 + greatest(mv, 0)) / 14 END, CASE WHEN b.k <= 14 THEN loss + greatest(-mv, 0) / 14 ELSE (loss * 13 + greatest(-mv, 0)) / 14 END FROM r JOIN b ON b.ticker = r.ticker AND b.k = r.k + 1)
+SELECT ticker, date, CASE WHEN k >= 14 THEN round(CASE WHEN loss = 0 THEN 100.0 ELSE 100 - 100 / (1 + gain / loss) END, 4) END AS rsi FROM r""")
 def w13_wilder_rsi(f: Feeds) -> DataFrame:
     return rounded(panel.wilder_rsi(f.prices), 4)
 
@@ -497,23 +553,48 @@ def d1_live_factors(f: Feeds) -> DataFrame:
     return rounded(out.select("ticker", "n", "momentum", "vol", "above_trend"))
 
 
-def _live(f: Feeds) -> DataFrame:
-    """The live composite of the gated universe: z of momentum and trend distance, block means."""
-    live = panel.live_factors(f.prices, panel.MONTHLY, least=12).filter("coalesce(above_trend, true)").withColumn("month_ix", F.lit(0))
-    for c in ("momentum", "trend_distance"):
-        live = xsection.winsor_z(live, c, f"z_{c}", by=("month_ix",), least=2)
-    return xsection.composite(live, {"price": ["z_momentum", "z_trend_distance"]}, {"composite": ["price"]})
+_LIVE_DAY = "2001-12-31"
+LIVE = {"price": ["momentum", "trend_distance"], "fund": ["value", "quality"], "flow": ["congress", "insider"]}
 
 
-@query()
+def _live(f: Feeds) -> DataFrame:
+    """The live composite of the gated universe: prices, facts known before the day, and flows to the day."""
+    live = panel.live_factors(f.prices, panel.MONTHLY, least=12).withColumn("as_of", day(_LIVE_DAY))
+    live = ev.fundamental_factors(live, f.facts, f.fact_splits)
+    for source, events in (("congress", ev.congress_events(f.trades)), ("insider", ev.insider_events(f.buys))):
+        half_life, window = backtest.Settings().flows[source]
+        flow = ev.decayed_flow(live.select("as_of").distinct(), events, half_life, window)
+        live = live.join(flow.select("ticker", F.col("flow").alias(source)), "ticker", "left")
+    return screens.live_composite(live, LIVE)
+
+
+_LIVE_Z = lambda c: f"CASE WHEN {c} IS NOT NULL AND count({c}) OVER () >= 2 THEN CASE WHEN stddev_pop({c}) OVER () > 0 THEN greatest(-3.0, least(3.0, ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ())) ELSE 0.0 END END"
+_LIVE_MEAN = lambda a, b: f"CASE WHEN {a} IS NULL THEN {b} WHEN {b} IS NULL THEN {a} ELSE ({a} + {b}) / 2 END"
+_LIVE = f"""b AS (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n, count(*) OVER (PARTITION BY ticker) AS c FROM {{prices}} WHERE close IS NOT NULL),
+px AS (SELECT ticker, max(CASE WHEN n = 1 THEN close END) AS close, max(CASE WHEN n = least(1, c) THEN close END) / max(CASE WHEN n = least(12, c) THEN close END) - 1 AS momentum, CASE WHEN max(c) >= 10 THEN max(CASE WHEN n = 1 THEN close END) / avg(CASE WHEN n <= 10 THEN close END) - 1 END AS trend_distance FROM b GROUP BY 1 HAVING max(c) >= 12),
+known AS (SELECT * FROM {{facts}} WHERE filing_date < DATE '{_LIVE_DAY}' QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY filing_date DESC, period_end DESC) = 1),
+restated AS (SELECT k.*, coalesce((SELECT product(ratio) FROM {{fact_splits}} s WHERE s.ticker = k.ticker AND s.date > k.filing_date AND s.date <= DATE '{_LIVE_DAY}'), 1.0) AS factor FROM known k),
+cong AS (SELECT ticker, sum(signed_weight * pow(0.5, date_diff('day', "when", DATE '{_LIVE_DAY}') / 180.0)) AS congress FROM ({_CONGRESS}) e WHERE "when" < DATE '{_LIVE_DAY}' AND "when" >= DATE '{_LIVE_DAY}' - 365 GROUP BY 1),
+ins AS (SELECT ticker, sum(w * pow(0.5, date_diff('day', filing_date, DATE '{_LIVE_DAY}') / 90.0)) AS insider FROM (SELECT ticker, filing_date, greatest(percent_rank() OVER (PARTITION BY date_trunc('month', filing_date) ORDER BY value), 0.01) * ln(1 + filers) AS w FROM (
+  SELECT i.*, c.filers FROM {{buys}} i JOIN (SELECT ticker, date_trunc('month', filing_date) AS mon, count(DISTINCT filer) AS filers FROM {{buys}} WHERE value > 0 GROUP BY 1, 2) c ON i.ticker = c.ticker AND date_trunc('month', i.filing_date) = c.mon WHERE value > 0) x) y
+  WHERE filing_date < DATE '{_LIVE_DAY}' AND filing_date >= DATE '{_LIVE_DAY}' - 180 GROUP BY 1),
+names AS (SELECT px.*, CASE WHEN px.close > 0 THEN eps / factor / px.close END AS value, CASE WHEN equity > 0 THEN net_income / equity END AS quality, congress, insider FROM px LEFT JOIN restated USING (ticker) LEFT JOIN cong USING (ticker) LEFT JOIN ins USING (ticker) WHERE trend_distance IS NULL OR trend_distance > 0),
+z AS (SELECT ticker, {', '.join(f'{_LIVE_Z(c)} AS z_{c}' for cols in LIVE.values() for c in cols)} FROM names),
+blocks3 AS (SELECT *, {', '.join(f'{_LIVE_MEAN(f"z_{cols[0]}", f"z_{cols[1]}")} AS {b}' for b, cols in LIVE.items())} FROM z),
+live AS (SELECT *, coalesce((coalesce(price, 0) + coalesce(fund, 0) + coalesce(flow, 0)) / nullif(CAST(price IS NOT NULL AS INT) + CAST(fund IS NOT NULL AS INT) + CAST(flow IS NOT NULL AS INT), 0), -999.0) AS composite FROM blocks3)"""
+
+
+@query(f"""WITH {_LIVE}, r AS (SELECT ticker, composite, row_number() OVER (ORDER BY composite DESC NULLS LAST, ticker) AS rank, substr(ticker, 6, 1) = '3' AS f FROM live)
+SELECT ticker, round(composite, 4) AS composite, rank, f AND rank > 30 AS forced FROM r WHERE rank <= 30 OR f""")
 def d2_t1_live_composite(f: Feeds) -> DataFrame:
     forced = f.sectors.filter("substr(ticker, 6, 1) = '3'").select("ticker")
-    return rounded(screens.ranked_with_forced(_live(f), "composite", 30, forced).select("ticker", "composite", F.col("rank").cast("long").alias("rank"), "forced"))
+    return rounded(screens.ranked_with_forced(_live(f), "composite", 30, forced).select("ticker", "composite", F.col("rank").cast("long").alias("rank"), "forced"), 4)
 
 
 @query()
 def d4_p11_cases(f: Feeds) -> DataFrame:
-    return rounded(screens.cases(_live(f), ["z_momentum", "z_trend_distance"]))
+    notes = f.part.select(F.concat(F.lit("z_"), F.element_at(F.array(*(F.lit(c) for cols in LIVE.values() for c in cols)), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("factor"), F.col("p_name").alias("title"))
+    return rounded(screens.cases(_live(f), [f"z_{c}" for cols in LIVE.values() for c in cols], notes))
 
 
 @query("SELECT ticker, CAST(min(priority) AS INT) AS priority FROM (SELECT ticker, 0 AS priority FROM {stakes} UNION ALL SELECT n_name, 1 FROM {nation} UNION ALL SELECT ticker, 2 FROM {sectors}) u GROUP BY 1")

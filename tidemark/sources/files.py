@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import month_name_day, owner_role
+from tidemark.storage import swap
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,8 +30,8 @@ def read_membership(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def read_sectors(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, comment="#", schema="ticker string, sector string").filter("ticker IS NOT NULL")
+def read_sectors(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    return spark.read.csv(path, header=header, comment="#", schema="ticker string, sector string").filter("ticker IS NOT NULL")
 
 
 def parse_short_volume(rows: DataFrame, universe: DataFrame | None = None) -> DataFrame:
@@ -79,20 +80,22 @@ def fetch_plan(tickers: DataFrame, coverage: DataFrame, start: Column, stop: Col
     return got.select("ticker", kind.alias("plan"))
 
 
-def snapshot(tables: dict[str, DataFrame], folder: str) -> list[str]:
-    """Every table as Parquet under one folder; returns the paths."""
-    out = []
+def snapshot(tables: dict[str, DataFrame], folder: str, stamp: str) -> dict[str, str]:
+    """Every table as Parquet under one folder of the time ``stamp``; returns the paths. An earlier one stays as it is."""
+    places = {name: f"{folder}/{stamp}/{name}" for name in tables}
     for name, df in tables.items():
-        df.write.parquet(f"{folder}/{name}")
-        out.append(f"{folder}/{name}")
-    return out
+        df.write.parquet(places[name])
+    return places
 
 
 def replace_table(df: DataFrame, path: str, allow_empty: bool = False) -> bool:
-    """Replace a result table whole; an empty result leaves the old one unless allowed. Returns whether it was written."""
-    if not allow_empty and not df.limit(1).count():
+    """Replace a result table whole; an empty result leaves the old one unless allowed. Returns whether it was written.
+    The new table is written beside the old one and takes its place when it is complete."""
+    new = f"{path}.new"
+    df.write.mode("overwrite").parquet(new)
+    if not allow_empty and not df.sparkSession.read.schema(df.schema).parquet(new).limit(1).count():
         return False
-    df.write.mode("overwrite").parquet(path)
+    swap(df.sparkSession, new, path)
     return True
 
 

@@ -41,7 +41,12 @@ STANDINS = {
   make_date(2024, 1, 1) + CAST(d.doc_id % 300 AS INT) AS opened, make_date(2024, 6, 1) + CAST(d.doc_id % 300 AS INT) AS review_date, quality FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "reviews": """SELECT thesis_id, make_date(2024, 7, 1) + CAST(thesis_id % 400 AS INT) AS reviewed_on, CASE WHEN thesis_id % 13 = 0 THEN 'unclear' WHEN quality = 1 THEN 'right' ELSE 'wrong' END AS outcome,
   CASE WHEN thesis_id % 3 = 0 THEN 'good' WHEN thesis_id % 3 = 1 THEN 'flawed' END AS decision_quality FROM {forecasts} WHERE status <> 'pending'""",
-    "stakes": "SELECT n_name AS ticker, CAST(o_orderdate AS DATE) AS filing_date, o_orderkey AS stake_id FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE o_orderkey % 40 = 0",
+    "stakes": "SELECT n_name AS ticker, CAST(o_orderdate AS DATE) AS filing_date, o_orderkey AS stake_id FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey",
+    "facts": f"""SELECT ticker, make_date(y, 12, 31) AS period_end, make_date(y + 1, 2, 14) AS filing_date, ni / 1000000 AS eps, ni AS net_income, CASE WHEN y % 7 = 0 THEN NULL ELSE ni * 4 END AS equity FROM (
+  SELECT {_TICKER.format('l_suppkey')} AS ticker, CAST(year(l_shipdate) AS INT) AS y, CAST(sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS DOUBLE) AS ni FROM {{lineitem}} GROUP BY 1, 2) x""",
+    "fact_splits": f"SELECT {_TICKER.format('s_suppkey')} AS ticker, make_date(CAST(1994 + s_suppkey % 5 AS INT), CAST(1 + s_suppkey % 12 AS INT), 15) AS date, CAST(2 + s_suppkey % 2 AS DOUBLE) AS ratio FROM {{supplier}} WHERE s_acctbal > 0",
+    "buys": "SELECT ticker, member AS filer, transaction_date AS filing_date, CAST(trade_id % 1000 AS DOUBLE) AS value, trade_id AS buy_id FROM {trades} WHERE transaction_type = 'P'",
+    "blocks": "SELECT ticker, transaction_date AS filing_date, trade_id AS stake_id FROM {trades} WHERE transaction_type = 'Exchange'",
 }
 
 

@@ -43,5 +43,29 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing still to be computed reads."""
     for df in tables:
-        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_PLACES.pop(df))
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _path(df.sparkSession, _PLACES.pop(df))
+        fs.delete(path, True)
+    for spark in {df.sparkSession for df in tables}:
+        spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of finished queries that it finds unused
+
+
+def _path(spark: SparkSession, place: str):
+    """The file system of a place, and the place as its path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, place: str) -> bool:
+    fs, path = _path(spark, place)
+    return fs.exists(path)
+
+
+def swap(spark: SparkSession, new: str, place: str) -> None:
+    """Puts the folder ``new`` in the place of another, by two renames; the old one is deleted last."""
+    fs, to = _path(spark, place)
+    old = _path(spark, f"{place}.old")[1]
+    fs.delete(old, True)
+    if fs.exists(to):
+        fs.rename(to, old)
+    fs.rename(_path(spark, new)[1], to)
+    fs.delete(old, True)

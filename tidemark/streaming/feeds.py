@@ -1,5 +1,5 @@
-"""Incremental feeds as Structured Streaming jobs. Each batch is an idempotent upsert into a Parquet table, so files that
-are seen twice, or batches that run again after a failure, leave the table as it was."""
+"""Incremental feeds as Structured Streaming jobs. Each batch is an idempotent upsert into a partitioned Parquet table, so
+files that are seen twice, or batches that run again after a failure, leave the table as it was."""
 
 from __future__ import annotations
 
@@ -11,58 +11,64 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.upsert import insert_new, mark_amended, replace_by_key
 from tidemark.sources.files import parse_short_volume
+from tidemark.storage import dropped, exists, stored
 
 
-class VersionedTable:
-    """A Parquet table as folders ``v=N`` of whole states; the largest complete N is the table. A state is written
-    beside the ones before it, so a failed write never harms a reader."""
+class PartTable:
+    """A Parquet table in partitions by the SQL expression ``part``. An upsert reads and rewrites the partitions that new
+    rows fall into, and no other; it is written beside them first, so a failed batch is simply run again."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema: str, part: str):
+        self.spark, self.path, self.schema, self.part = spark, path, schema, part
 
-    def _versions(self) -> list[int]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        done = lambda n: fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and done(n))
+    def _parts(self) -> DataFrame:
+        schema = f"{self.schema}, part string"
+        return self.spark.read.schema(schema).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={versions[-1]}")
+        return self._parts().drop("part")
 
-    def write(self, df: DataFrame) -> None:
-        versions = self._versions()
-        df.write.mode("overwrite").parquet(f"{self.path}/v={versions[-1] + 1 if versions else 0}")
+    def upsert(self, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """``merge`` gets the rows of the touched partitions and the new ones, and returns what the partitions hold now."""
+        touched = new.select(F.expr(self.part).cast("string").alias("part")).distinct()
+        old = self._parts().join(touched, "part", "left_semi").drop("part")
+        columns = self.read().columns
+        now = stored(merge(old, new).select(*columns).withColumn("part", F.expr(self.part).cast("string")), "upsert")
+        now.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
+        dropped(now)
 
 
 def _start(rows: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-SHORT_SCHEMA = "date date, ticker string, short_volume long, total_volume long"
+SHORT_SCHEMA, SHORT_PART = "date date, ticker string, short_volume long, total_volume long", "date"
+COVERAGE_SCHEMA, COVERAGE_PART = "date date", "year(date)"
 
 
-def stream_short_volume(spark: SparkSession, folder: str, table: VersionedTable, coverage: VersionedTable, checkpoint: str) -> StreamingQuery:
+def stream_short_volume(spark: SparkSession, folder: str, table: PartTable, coverage: PartTable, checkpoint: str) -> StreamingQuery:
     """Daily pipe files: a bar per ticker and day replaces an older one; days seen go to ``coverage`` (date)."""
 
     def batch(lines: DataFrame, _: int) -> None:
         rows = parse_short_volume(lines).dropDuplicates(["ticker", "date"])
-        table.write(replace_by_key(table.read(), rows, ["ticker", "date"]))
-        coverage.write(coverage.read().union(rows.select("date")).distinct())
+        table.upsert(rows, lambda old, new: replace_by_key(old, new, ["ticker", "date"]))
+        coverage.upsert(rows.select("date").distinct(), lambda old, new: old.union(new).distinct())
 
     return _start(spark.readStream.text(folder).select(F.col("value").alias("line")), batch, checkpoint)
 
 
-def stream_disclosures(spark: SparkSession, folder: str, schema: str, table: VersionedTable, natural_key: list[str], checkpoint: str) -> StreamingQuery:
-    """Disclosure files (JSON lines with an id): new ids are added for all time, then amendments are marked anew."""
+def disclosure_part(natural_key: list[str], buckets: int = 64) -> str:
+    """Rows of one natural key fall into one partition, where their amendments are marked."""
+    return f"pmod(xxhash64({', '.join(natural_key)}), {buckets})"
+
+
+def stream_disclosures(spark: SparkSession, folder: str, schema: str, table: PartTable, natural_key: list[str], checkpoint: str) -> StreamingQuery:
+    """Disclosure files (JSON lines with an id): new ids are added for all time, then the amendments of their partitions
+    are marked anew. ``table`` is in partitions by ``disclosure_part``."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        state, _added = insert_new(table.read(), rows)
-        table.write(mark_amended(state, natural_key).select(*table.read().columns))
+        fresh = stored(rows.join(table.read().select("id"), "id", "left_anti"), "fresh")
+        table.upsert(fresh, lambda old, new: mark_amended(insert_new(old, new)[0], natural_key))
+        dropped(fresh)
 
     return _start(spark.readStream.schema(schema).json(folder), batch, checkpoint)
