@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import fresh, row_key, stored
 from tidemark.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -121,26 +121,30 @@ def _relabel(rows: DataFrame, roots: DataFrame, by: str) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Stored (doc_id, fp) rows, and (fp, component_id)."""
-    prints = stored(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
-    firsts = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-prints")
-    member = firsts.join(fingerprint_classes(firsts.select("fp")), "fp")
-    lowest = member.groupBy("class").agg(F.min("first").alias("component_id"))
-    return prints, member.join(lowest, "class").select("fp", "component_id")
+    """Stored (doc_id, text_hash, fp) rows, and (fp, class)."""
+    prints = stored(docs.select(*row_key(), fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    return prints, fingerprint_classes(stored(prints.select("fp").distinct(), "distinct-prints"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints, classes = _classes(docs)
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    member = stored(firsts.join(classes, "fp"), "members")
+    named = member.join(member.groupBy("class").agg(F.min("first").alias("component_id")), "class").select("fp", "component_id")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the first document (smallest doc_id) of each class; same columns. Of rows that share that id one
-    stays; rows without an id can't be named as kept or dropped, so they all stay."""
+    """``docs`` with one document of each class: that of the smallest doc_id, of texts that share it that of the smallest
+    hash; a row without an id stays where no row of its class has one. Of equal rows one stays. Same columns."""
     prints, classes = _classes(docs)
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(classes, "fp")
-    keep = first.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    held = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return held.select(*docs.columns).union(docs.filter("doc_id is null"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    firsts = prints.groupBy("fp").agg(F.min(row).alias("first")).join(classes, "fp").groupBy("class").agg(F.min("first").alias("first"))
+    an_id, a_hash = fresh(docs, "kept_id", "kept_hash")
+    keep = firsts.select(F.col("first.doc_id").alias(an_id), F.col("first.text_hash").alias(a_hash))
+    (own,) = fresh(docs, "own_hash")
+    keyed = docs.withColumn(own, row_key()[1])
+    held = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(own) == F.col(a_hash)), "left_semi")
+    return held.dropDuplicates(["doc_id", own]).select(*docs.columns)
