@@ -5,7 +5,8 @@ words. The documents are read once for the places of benchmark shingles (the pos
 rare they are among the postings. A document that holds a window holds its rarest shingle, so that one is the window's
 necessary prefix: only postings of it are candidates. The place of the prefix in the window gives the only start the
 window can have; starts before the document, or too near its end, are out (positional and length bound). A candidate is
-verified exactly: the window's first and last shingle must stand at its two ends, and together they are all its words.
+verified exactly: the window's first and last shingle must stand at its two ends, and where a window is longer than the
+two together, every shingle-th one between them, so that each word is compared.
 
 The benchmark's shingles are broadcast while they are at most BROADCAST_ROWS, which is counted; beyond it the join
 shuffles. Words are compared as strings, not by hash alone.
@@ -22,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_key, stored
+from tidemark.llm.common import fresh, row_key, stored
 
 WINDOW, SHINGLE = 10, 5
 BROADCAST_ROWS = 500_000
@@ -80,18 +81,25 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     postings = stored(found, "postings")
     rarity = postings.groupBy("sid").count()
     order = F.struct(F.coalesce("count", F.lit(0)), "o")
+    middle = {f"middle_{o}": F.max(F.when((F.col("o") == o) & (F.col("last") > o), F.col("sid"))) for o in range(shingle, window - shingle, shingle)}
     ranked = inside.join(rarity, "sid", "left").groupBy("item_id", "start").agg(
-        F.min_by(F.struct("sid", "o"), order).alias("prefix"), F.min_by("sid", "o").alias("first"), F.max_by("sid", "o").alias("end"), F.first("len").alias("len"), F.first("last").alias("last")
-    )
-    ranked = stored(ranked.select("item_id", "first", "end", "len", "last", F.col("prefix.sid").alias("sid"), F.col("prefix.o").alias("o")).distinct(), "windows")
+        F.min_by(F.struct("sid", "o"), order).alias("prefix"), F.min_by("sid", "o").alias("first"), F.max_by("sid", "o").alias("end"), F.first("len").alias("len"), F.first("last").alias("last"),
+        *(c.alias(name) for name, c in middle.items()),
+    )
+    ranked = stored(ranked.select("item_id", "first", "end", "len", "last", F.col("prefix.sid").alias("sid"), F.col("prefix.o").alias("o"), *middle).distinct(), "windows")
     start = F.col("pos") - F.col("o")
     bounded = (start >= 0) & (start + F.col("len") <= F.col("n"))
-    found = postings.join(small(ranked, ranked.count()), "sid").filter(bounded).select("doc_id", "text_hash", start.alias("start"), "len", "item_id", "first", "end", (start + F.col("last")).alias("stop"))
+    found = postings.join(small(ranked, ranked.count()), "sid").filter(bounded).select("doc_id", "text_hash", start.alias("start"), "len", "item_id", "first", "end", (start + F.col("last")).alias("stop"), *middle)
     place = lambda pos, sid: postings.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("pos").alias(pos), F.col("sid").alias(sid)).distinct()
     same = lambda p: F.col("doc_id").eqNullSafe(p["d"]) & (F.col("text_hash") == p["t"])
     p, q = place("start_at", "first_is"), place("stop_at", "end_is")
     found = found.join(p, same(p) & (F.col("start") == p["start_at"]) & (F.col("first") == p["first_is"]), "left_semi")
     found = found.join(q, same(q) & (F.col("stop") == q["stop_at"]) & (F.col("end") == q["end_is"]), "left_semi")
+    for name in middle:
+        p = place("middle_at", "middle_is")
+        at = F.col("start") + int(name.removeprefix("middle_"))
+        long = found.filter(F.col(name).isNotNull()).join(p, same(p) & (at == p["middle_at"]) & (F.col(name) == p["middle_is"]), "left_semi")
+        found = found.filter(F.col(name).isNull()).union(long)
     return found.select("doc_id", "text_hash", "start", "len", "item_id").distinct()
 
 
@@ -119,6 +127,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` without the documents that hold a window of an item; same columns."""
-    found = occurrences(docs.select("doc_id", "text"), items, window, shingle).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()
-    key = row_key()[1]
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (key == F.col("__t")), "left_anti")
+    an_id, a_hash, own = fresh(docs, "hit_id", "hit_hash", "own_hash")
+    found = occurrences(docs.select("doc_id", "text"), items, window, shingle).select(F.col("doc_id").alias(an_id), F.col("text_hash").alias(a_hash)).distinct()
+    keyed = docs.withColumn(own, row_key()[1])
+    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col(an_id)) & (F.col(own) == F.col(a_hash)), "left_anti").select(*docs.columns)
