@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import string
 import zlib
 
 import numpy as np
@@ -38,6 +39,40 @@ def test_secrets_of_other_forms_are_added_and_ordinary_runs_are_not(spark, docum
     assert sum(hit[: len(random_)]) >= 0.9 * len(random_) and sum(hit[len(random_) :]) == 0
 
 
+def test_letters_alone_short_runs_and_what_base_spans_leave(spark, data):
+    rng = random.Random(5)
+    documents = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet")
+    letters, short = ["".join(rng.choices(string.ascii_letters, k=24)) for _ in range(40)], ["".join(rng.choices(string.ascii_letters + string.digits, k=17)) for _ in range(40)]
+    left = [f"AKIA{'ABCDEFGHIJKLMNOP'}/{base64.b64encode(rng.randbytes(30)).decode()}" for _ in range(10)]
+    rows = [(20_000 + i, f"see {t} there") for i, t in enumerate(letters + short + left)]
+    got = by_id(secret_scan.find_secrets(documents.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))))
+    hit = [got[20_000 + i]["n_markov"] for i in range(len(rows))]
+    assert sum(hit[:40]) >= 36 and sum(hit[40:80]) >= 30 and sum(hit[80:]) >= 9
+    for i in range(80, 90):
+        assert got[20_000 + i]["n_access"] == 1 and got[20_000 + i]["spans"].startswith("access:4:24")
+    known = {r["doc_id"] for r in documents.select("doc_id").collect()}
+    assert sum(got[d]["n_markov"] > 0 for d in known) <= 0.02 * len(known)
+
+
+def test_many_secrets_in_a_long_text(spark):
+    """Redaction against a loop: 6,000 secrets of all kinds, overlapping ones and non-BMP characters, in over 1 MB."""
+    rng = random.Random(6)
+    parts = []
+    for i in range(6000):
+        parts += ["😀 w" * rng.randint(1, 60), rng.choice([f" token={rng.randbytes(20).hex()} ", f" {rng.randbytes(16).hex()} ", " AKIA" + "".join(rng.choices(string.ascii_uppercase, k=16)) + " "])]
+    text = "".join(parts)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = secret_scan.find_secrets(docs).first()
+    assert found["base_sha256"] == brute.secrets(text)[3]
+    spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in found["spans"].split(",")))
+    want, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            want.append(text[at:a])
+        at = max(at, b)
+    assert secret_scan.redact(docs).first()["text"] == "[redacted]".join([*want, text[at:]])
+
+
 def test_redaction(odd, empty):
     got = secret_scan.redact(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
@@ -164,6 +199,13 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one_each(empty).count() == 0
 
 
+def test_one_document_of_each_class_stays_where_texts_share_an_id(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "an other text of a few words"
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (7, c), (None, c), (None, "no id at all here"), (None, "no id at all here")], "doc_id long, text string").withColumn("kept_id", F.lit(1)).withColumn("own_hash", F.lit("h"))
+    kept = simhash.keep_one_each(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == sorted([(3, a), (5, b), (7, c), (-1, "no id at all here")])
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(a, a + 1) for a in range(0, 300) if a % 37] + [(1000, x) for x in range(1001, 1100)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(80)]
@@ -190,6 +232,18 @@ def test_contamination(spark, data, documents, texts):
     assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} == {d for d, v in want.items() if not v[4]}
 
 
+def test_every_word_of_a_long_window_is_compared(spark):
+    text = "a b c d e x y z i j k l m"
+    item = "a b c d e f g h i j k l m"
+    docs = spark.createDataFrame([(1, text), (2, "c d e f g h i j"), (3, "e f g h i"), (4, f"q {item} q")], "doc_id long, text string").withColumn("hit_id", F.lit(1)).withColumn("__d", F.lit(2)).withColumn("own_hash", F.lit(3))
+    items = spark.createDataFrame([(1, item), (2, "short one"), (3, " ".join(f"v{i}" for i in range(30)))], "item_id long, text string")
+    for window in (10, 11, 13):
+        got = by_id(decontaminate.contamination(docs, items, window))
+        assert {d: r["n_hit"] for d, r in got.items()} == {1: 0, 2: 0, 3: 0, 4: 13}
+        kept = decontaminate.drop_contaminated(docs, items, window)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 3}
+
+
 @pytest.mark.parametrize("bound", [decontaminate.BROADCAST_ROWS, 0])
 def test_contamination_by_short_items_overlaps_and_odd_rows(spark, odd, empty, bound, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", bound)
@@ -215,6 +269,25 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(pages, url_filter.entries(spark).filter("false")).collect()} == {"allow"}
 
 
+def test_listed_urls_are_met_in_canonical_form(spark):
+    listed = [("Bad.Example.org:443", "/a%7eb/%2fc", "block"), ("all.example.net.", "", "block")]
+    entries = spark.createDataFrame([(*r, False) for r in listed], "host string, path string, verdict string, is_rule boolean")
+    bad = ["http://bad.example.org/a~b/%2Fc", "HTTPS://u:p@BAD.example.ORG:8443/%61%7Eb/%2fc/d?x", "http://www.all.example.net./", "x://all.example.net", "x://all.example.net:80?q"]
+    good = ["http://bad.example.org/a~b/c", "http://bad.example.org/", "http://ball.example.net/", "http://bad.example.org/a~b/%2", None, "http://%"]
+    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string").withColumn("own_host", F.lit(1))
+    got = {r["page_id"]: r for r in url_filter.judge_urls(pages, entries).collect()}
+    assert [got[i]["verdict"] for i in range(len(got))] == ["block"] * len(bad) + ["allow"] * len(good) and {r["rule"] for r in got.values()} == {None}
+    assert got[1]["host"] == "u:p@bad.example.org:8443" and got[1]["path"] == "/%61%7Eb/%2fc/d"
+
+
+def test_a_list_of_a_million_entries(spark):
+    n = 1_000_000
+    entries = spark.range(n).selectExpr("concat('h', id, '.example.org') AS host", "concat('/p', id % 7, '/') AS path", "'block' AS verdict", "false AS is_rule")
+    pages = spark.range(0, 2 * n, 997).selectExpr("id AS page_id", "concat('http://www.h', id, '.example.org/p', id % 7, '/x') AS url")
+    got = url_filter.judge_urls(pages, entries).groupBy(F.col("page_id") < n, "verdict").count().collect()
+    assert sorted(map(tuple, got)) == [(False, "allow", pages.filter(f"page_id >= {n}").count()), (True, "block", pages.filter(f"page_id < {n}").count())]
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     for most, worst in ((url_filter.BLOCKS, 0.05), (8, 1.0)):
@@ -412,6 +485,52 @@ def test_passages_beside_repeated_phrases(spark):
                 assert any(r["doc_id"] == d and r["start_word"] <= i and i + passages.PASSAGE <= r["end_word"] for r in got), (d, i)
 
 
+def _edited(rng, words, gap):
+    """``words`` with a word replaced every ``gap`` words or a little more."""
+    out, at = list(words), rng.randint(gap // 2, gap)
+    while at < len(out):
+        out[at] = f"e{rng.randint(0, 10**9)}"
+        at += gap + rng.randint(0, 10)
+    return out
+
+
+def test_near_copies_of_passages_in_groups_of_two_to_fifty(spark, monkeypatch):
+    """Each document holds an edited version of its group's passage (any two agree by Jaccard 0.8 or nearly so) between own
+    words. Every one must be tied to its group, and the groups must stay whole: the share that is, is 0.98 or more."""
+    rng = random.Random(41)
+    own = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows, groups = [], {}
+    for g, size in enumerate([2] * 40 + [5] * 10 + [50]):
+        passage = own(rng.randint(60, 160))
+        for _ in range(size):
+            d = rng.randint(0, 10**12)
+            groups.setdefault(g, set()).add(d)
+            rows.append((d, " ".join(own(rng.randint(0, 80)) + _edited(rng, passage, 95) + own(rng.randint(0, 80)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = spark.createDataFrame([(-1 - i, " ".join(own(200))) for i in range(50)], "doc_id long, text string")
+    got = passages.shared_passages(docs.union(clean)).collect()
+    of = {d: g for g, members in groups.items() for d in members}
+    assert all(r["doc_id"] in of and of[r["doc_id"]] == of[r["match_doc_id"]] for r in got)
+    links = spark.createDataFrame([(r["doc_id"], r["match_doc_id"]) for r in got], "u long, v long")
+    root = {r["node"]: r["root"] for r in components(links).collect()}
+    whole = sum(max(sum(root.get(d) == root.get(e) is not None for e in m) for d in m) for m in groups.values())
+    assert whole >= 0.98 * len(of)
+    want = {(r["doc_id"], r["start_word"], r["match_doc_id"], r["match_start_word"]) for r in got}
+    monkeypatch.setattr(passages, "HOT", 1)  # each minimum that a sampled document holds takes the other way
+    again = passages.shared_passages(docs.union(clean)).collect()
+    assert {(r["doc_id"], r["start_word"], r["match_doc_id"], r["match_start_word"]) for r in again} == want
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    rng = random.Random(43)
+    own = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    one, two = own(60), own(70)
+    rows = [(1, " ".join(own(30) + one)), (7, " ".join(one + own(20))), (7, " ".join(own(9) + two)), (9, " ".join(two + own(50))), (7, " ".join(own(200))), (None, " ".join(one))]
+    rows.append(rows[1])
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["match_doc_id"]) for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("k"))).collect()}
+    assert got == {(1, 30, 90, 7), (7, 0, 60, 1), (7, 9, 79, 9), (9, 0, 70, 7)}
+
+
 def test_documents_that_hold_only_phrases_do_not_hide_a_passage(spark):
     rng = random.Random(33)
     own = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import brute
 import corpus_pipeline
 
@@ -22,3 +24,25 @@ def test_stages_take_effect(spark, data, documents):
 
 def test_run(spark, data):
     assert corpus_pipeline.run(spark, data).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_odd_rows_pass_all_stages(spark, odd, labels, data, tmp_path):
+    """Nulls, empty and equal texts, repeated rows, ids that texts share, and columns with clashing names."""
+    extra = spark.createDataFrame([(40, "a text that shares its id with an other one"), (40, "quite some different words under the very same number"), (None, None)], "doc_id long, text string")
+    rows = odd.unionByName(extra, allowMissingColumns=True).withColumns({"__d": F.lit(1), "own_hash": F.lit("h"), "kept_id": F.lit(2), "runs": F.lit("r")})
+    folder = f"file://{tmp_path}"
+    rows.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == rows.columns
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert [d for d, _ in texts].count(40) == 2 and sum(d in (10, 11) for d, _ in texts) == 1 and sum(not (t or "").strip() for _, t in texts) == 1
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert sum(r["start"] == 0 for r in packed) == len(texts)
+    (tmp_path / "none").mkdir()
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").filter("false").write.parquet(f"{folder}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}/none").count() == 0
