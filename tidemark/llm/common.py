@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.storage import stored
+from tidemark.storage import dropped, stored
 
-__all__ = ["fresh", "row_key", "stored", "table"]
+__all__ = ["dropped", "fresh", "row_key", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
