@@ -2,6 +2,11 @@
 
 Toxic documents go, one document of each near-duplicate class stays, contaminated documents go, secrets are replaced in
 the texts, and what is left is packed into training sequences.
+
+Defined results: null and empty texts pass like others (they are near copies of each other, so one of them stays) and are
+packed as their end id alone; rows without an id pass; rows that share an id are told apart by their texts, and of equal
+rows one stays; of near copies that of the smallest id stays; extra columns pass through all stages but the last,
+whatever their names; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, packing, secret_scan, simhash, toxicity
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import dropped, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"stage-{name}")
+            dropped(*before)  # what this stage read
+            before = [docs]
     return docs
