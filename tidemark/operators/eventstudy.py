@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import overlap_collapse
 from tidemark.operators.stats import newey_west
+from tidemark.storage import stored
 
 WINDOWS = ((0, 5), (0, 20), (0, 60), (0, 120), (-5, -1))
 
@@ -64,14 +65,15 @@ def window_sums(kept: DataFrame, rets: DataFrame, first: int, last: int, models:
 def report(events: DataFrame, rets: DataFrame, windows: tuple[tuple[int, int], ...] = WINDOWS, gap: int = 30, length: int = 252, least: int = 120) -> DataFrame:
     """Per window: n, mean CAR against the market and the market model, t, hit rate, collapsed, skipped, no_beta.
     ``events``: ticker, event_ix, when. CARs are ordered by event place and ticker."""
-    models = market_models(events, rets, gap, length, least)
+    events, rets = stored(events.select("ticker", "event_ix"), "events"), stored(rets, "returns")  # each window reads them again
+    models = stored(market_models(events, rets, gap, length, least), "models")
     no_beta = models.filter("beta IS NULL").agg(F.count("*").alias("no_beta"))
     out = None
     for first, last in windows:
         label = f"{first}..{last}"
-        kept = overlap_collapse(events, last - first + 1)
+        kept = stored(overlap_collapse(events, last - first + 1), "kept")
         cars = window_sums(kept, rets, first, last).join(window_sums(kept, rets, first, last, models).withColumnRenamed("car", "car_mm"), ["ticker", "event_ix"])
-        cars = cars.withColumn("series", F.lit(label))
+        cars = stored(cars.withColumn("series", F.lit(label)), "cars")
         t = newey_west(cars, "car", order=("event_ix", "ticker")).select("series", "t")
         collapsed = kept.groupBy("ticker").agg(F.max("n_collapsed").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_collapsed"))
         one = cars.groupBy("series").agg(F.count("car").alias("n"), F.avg("car").alias("mean_car"), F.avg("car_mm").alias("mean_car_mm"), F.avg((F.col("car") > 0).cast("double")).alias("hit_rate"), F.sum(F.col("car").isNull().cast("long")).alias("n_skipped"))
