@@ -1,12 +1,14 @@
 """Hashed word n-gram models: bucket counts of a target and of the raw corpus, and their log ratio per bucket.
 
-Words and word pairs are hashed into BUCKETS buckets. The raw counts cover every document, those of the target every
-trusted document. Trusted ids are broadcast up to BROADCAST_ROWS, beyond that the join shuffles. The two models are
-multinomials over the buckets, smoothed by SMOOTHING; their log ratio is a table of fixed size.
+Words and word pairs are hashed into buckets, whose number follows the square root of the number of documents, as that of
+distinct n-grams does: BUCKETS at least. The raw counts cover every document, those of the target every trusted document.
+Trusted ids are broadcast up to BROADCAST_ROWS, beyond that the join shuffles. The two models are multinomials over the
+buckets, smoothed by SMOOTHING; their log ratio is an array with an entry per bucket, made by Spark.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stored
 
-BUCKETS = 1 << 14
+BUCKETS, BUCKETS_PER_ROOT = 1 << 14, 32
 BROADCAST_ROWS = 200_000
 SMOOTHING = 1.0
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -46,22 +48,28 @@ def trusted_ids(labels: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(good.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "trusted")
 
 
-def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
+def buckets_for(docs: DataFrame) -> int:
+    """A power of two."""
+    return max(BUCKETS, 1 << math.ceil(math.log2(BUCKETS_PER_ROOT * math.sqrt(max(docs.count(), 1)))))
+
+
+def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int | None = None) -> list[int]:
     """Thousandths of the log ratio of target to raw, by bucket; all zero without trusted documents."""
+    buckets = buckets or buckets_for(docs)
     good = trusted.withColumn("good", F.lit(1))
     if trusted.count() <= BROADCAST_ROWS:
         good = F.broadcast(good)
     marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
     grams = gram_rows(marked.select(F.coalesce("good", F.lit(0)).alias("good"), words_of(F.col("text")).alias("words")), ["good"], buckets)
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")).collect()  # at most ``buckets`` rows
-    raw, target = [0] * buckets, [0] * buckets
-    for r in counts:
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    if not sum(target):
+    counts = stored(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("good").alias("target")), "gram-counts")
+    all_raw, all_target = counts.agg(F.sum("raw"), F.sum("target")).first()
+    if not all_target:
         return [0] * buckets
-    share = lambda n, total: (n + SMOOTHING) / (total + SMOOTHING * buckets)
-    all_raw, all_target = sum(raw), sum(target)
-    return [round(1000 * math.log(share(t, all_target) / share(r, all_raw))) for r, t in zip(raw, target, strict=True)]
+    share = lambda n, total: (F.coalesce(n, F.lit(0)) + SMOOTHING) / F.lit(total + SMOOTHING * buckets)
+    ratio = F.round(1000 * F.log(share("target", all_target) / share("raw", all_raw))).cast("int")
+    rows = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", ratio.alias("ratio"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))), lambda x: x["ratio"])
+    return json.loads(rows.agg(F.to_json(listed)).first()[0])  # a number per bucket
 
 
 def mean_ratio(words: Column, ratio: list[int]) -> Column:

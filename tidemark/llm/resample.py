@@ -1,7 +1,7 @@
 """Quality classifier by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-A document's log weight is its mean log ratio of the target to the raw model, times EFFECTIVE_NGRAMS: so long documents
-aren't preferred for their length alone. Standard Gumbel noise, a hash of the document and the seed, is added; the k
+A document's log weight is the log ratio of its probabilities by the target and by the raw model: the sum over its words
+and word pairs. (``effective`` tempers it: the mean log ratio times so many n-grams.) Standard Gumbel noise, a hash of the document and the seed, is added; the k
 largest sums are a sample without replacement in proportion to the weights. k is a share of the documents. The k-th
 largest key is found by counting keys in ever narrower ranges, so nothing is sorted and the driver sees RANGES rows a
 round.
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import row_key, stored
 from tidemark.llm.ngrams import log_ratio, mean_ratio, trusted_ids, words_of
 
-EFFECTIVE_NGRAMS = 64
 SAMPLE_SHARE = 0.85
 SEED = 17
 RANGES = 1024
@@ -48,11 +47,12 @@ def kth_largest(keys: DataFrame, k: int) -> float | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, share: float = SAMPLE_SHARE, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, share: float = SAMPLE_SHARE, seed: int = SEED, effective: float | None = None) -> DataFrame:
     """Per document: doc_id, log_weight, key, kept."""
     docs = docs.select("doc_id", "text")
     ratio = log_ratio(docs, trusted_ids(labels, docs))
-    weight = mean_ratio(words_of(F.col("text")), ratio) * EFFECTIVE_NGRAMS
+    words = words_of(F.col("text"))
+    weight = mean_ratio(words, ratio) * (F.greatest(2 * F.size(words) - 1, F.lit(0)) if effective is None else F.lit(float(effective)))
     keyed = docs.select(*row_key(), weight.alias("log_weight"))
     keyed = stored(keyed.withColumn("key", F.col("log_weight") + gumbel(seed, F.col("doc_id"), F.col("text_hash"))), "keys")
     cut = kth_largest(keyed, round(share * keyed.count()))
