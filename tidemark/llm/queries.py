@@ -65,11 +65,13 @@ WITH cut AS (
   SELECT page_id,
          CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest
   FROM pages
-), site AS (
+), parts AS (
   SELECT page_id,
          translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM cut
+), site AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS own_host FROM parts
 ), rules(rule_host, rule_path, verdict) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
 ), listed(site) AS (
@@ -80,7 +82,8 @@ WITH cut AS (
 ), fits AS (
   SELECT page_id, CASE WHEN is_rule = 1 THEN rule_host || rule_path END AS rule, verdict,
          row_number() OVER (PARTITION BY page_id ORDER BY is_rule DESC, length(rule_host || rule_path) DESC, length(rule_host) DESC, verdict DESC) AS place
-  FROM site JOIN entries ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  FROM site JOIN entries ON CASE WHEN is_rule = 1 THEN (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+                                 ELSE own_host = rule_host OR ends_with(own_host, '.' || rule_host) END
 )
 SELECT site.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM site LEFT JOIN (SELECT * FROM fits WHERE place = 1) best USING (page_id)
