@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 #: Where the tables that are still held were stored.
 _PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Names of those that are tables of the session.
+_NAMES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,10 +42,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: str, order: list[str]) -> DataFrame:
+    """``df`` written as a table of the session in ``buckets`` by a column, sorted within each: joins by it don't shuffle.
+    The name must be a fresh one; rows that come dealt by the column give one file a bucket."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.bucketBy(buckets, by).sortBy(*order).option("path", path).saveAsTable(name)
+    out = df.sparkSession.table(name)
+    _PLACES[out], _NAMES[out] = path, name
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing still to be computed reads."""
     for df in tables:
         fs, path = _path(df.sparkSession, _PLACES.pop(df))
+        if name := _NAMES.pop(df, None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         fs.delete(path, True)
     for spark in {df.sparkSession for df in tables}:
         spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of finished queries that it finds unused
