@@ -8,9 +8,10 @@ Levels are built bottom-up and kept as rows of one node table: the hashes of a n
 Leaves are put in order by ranges (no window holds a source). The proof of every leaf is then one recursive Spark query:
 a step joins each path with the parent of where it stands, appends the siblings there, and folds its hashes one level up;
 a path ends where there is no parent. The leaves of one run of FANOUT share their siblings from there up, so they climb as
-one row that holds their own hashes side by side: the siblings are carried once a run, not once a leaf. A node that many
-runs climb through is kept in a copy per RUNS_PER_COPY of them, and each run picks one; so no key of the join has more,
-the root's neither, and nothing is broadcast.
+one row that holds their distinct hashes side by side: siblings are carried once a run, and so is the hash that all
+untampered leaves fold to. A node that many runs climb through is kept in a copy per RUNS_PER_COPY of them, and each run
+picks one; so no key of the join has more, the root's neither. Up to BROADCAST_NODES, which are counted, nodes are
+broadcast; beyond it the join shuffles.
 
 Defined results: a null doc_id comes first in its source; rows that share a doc_id are ordered by their leaf, and equal
 rows are leaves of their own, with equal results or, in different runs, different proofs; a null source is a source;
@@ -31,6 +32,8 @@ from tidemark.operators.ranks import numbered, placed, ranges
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FANOUT = 16
 RUNS_PER_COPY = 256
+#: Nodes, of about 700 bytes, that are sent to every task.
+BROADCAST_NODES = 20_000
 #: More levels than any number of rows has.
 MOST_LEVELS = 40
 #: The group of the nodes above the subroots.
@@ -117,7 +120,7 @@ def build(docs: DataFrame, tampered: dict[str, Column] | None = None) -> tuple[D
     nodes = _linked(docs.sparkSession, levels, over, n_sources)
     at_top = F.col("n") <= FANOUT  # the only run of its source
     start = runs.select(
-        F.struct("grp", "run").alias("path"), "members", F.xxhash64("grp", "run").alias("spread"),
+        "grp", "run", "members", F.xxhash64("grp", "run").alias("spread"),
         *_up(F.lit(1), F.col("grp"), F.col("run"), at_top, n_sources), F.when(at_top, F.col("hash")).alias("subroot"), (F.col("n") > 1).alias("has_run"),
     )
     parents = nodes.select(F.col("level").alias("up_level"), F.col("grp").alias("up_grp"), F.col("seq").alias("up_seq"), F.col("salts").alias("up_salts")).filter("salt = 0")
@@ -162,42 +165,43 @@ def _any_number_of_rows(spark: SparkSession):
 
 
 _CLIMB = f"""
-WITH RECURSIVE climb(path, members, siblings, subroot, spread, up_level, up_grp, up_seq, up_salts, place) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-  SELECT path, members, CAST(array() AS array<binary>), subroot, spread, up_level, up_grp, up_seq, up_salts, place FROM {{start}}
+WITH RECURSIVE climb(grp, run, claims, siblings, subroot, spread, up_level, up_grp, up_seq, up_salts, place) MAX RECURSION LEVEL {MOST_LEVELS} AS (
+  SELECT grp, run, claims, CAST('' AS binary), subroot, spread, up_level, up_grp, up_seq, up_salts, place FROM {{start}}
   UNION ALL
-  SELECT c.path,
-         transform(c.members, m -> named_struct('doc_id', m.doc_id, 'hash', m.hash, 'own', m.own, 'folded',
-           unhex(sha2(array_join(transform(n.children, (d, i) -> lower(hex(if(i = c.place, m.folded, d)))), ''), 256)))),
-         concat(c.siblings, filter(n.children, (d, i) -> i <> c.place)),
+  SELECT c.grp, c.run,
+         transform(c.claims, x -> unhex(sha2(array_join(transform(n.children, (d, i) -> lower(hex(if(i = c.place, x, d)))), ''), 256))),
+         concat(c.siblings, unhex(array_join(transform(filter(n.children, (d, i) -> i <> c.place), d -> hex(d)), ''))),
          if(n.grp = {_ABOVE} AND c.subroot IS NULL, n.children[c.place], c.subroot),
          c.spread, n.up_level, n.up_grp, n.up_seq, n.up_salts, n.place
   FROM climb c JOIN {{nodes}} n ON c.up_level = n.level AND c.up_grp = n.grp AND c.up_seq = n.seq AND pmod(c.spread, c.up_salts) = n.salt
 )
-SELECT path, members, siblings, subroot FROM climb WHERE up_level IS NULL
+SELECT grp, run, claims, siblings, subroot FROM climb WHERE up_level IS NULL
 """
 
 
 def proofs(docs: DataFrame, tampered: dict[str, Column] | None = None) -> DataFrame:
-    """Per leaf: doc_id, leaf, subroot, root, siblings (binary digests, level by level up to the root) and folded_root."""
+    """Per leaf: doc_id, leaf, subroot, root, siblings (hex digests, concatenated, level by level up to the root) and
+    folded_root."""
     spark = docs.sparkSession
     nodes, start, root = build(docs, tampered)
-    # Within the run: each leaf's own siblings, and its hash folded with them.
-    others = lambda j: F.filter(F.transform("members", lambda m: m["hash"]), lambda d, i: i != j)
+    # Within the run: each leaf's hash folded with those of the others; ``claim`` is its place among the distinct ones.
     up = lambda m, j: F.when(F.col("has_run"), node_hash(F.transform("members", lambda d, i: F.when(i == j, m["folded"]).otherwise(d["hash"])))).otherwise(m["folded"])
-    members = F.transform("members", lambda m, j: F.struct(m["doc_id"].alias("doc_id"), m["hash"].alias("hash"), others(j).alias("own"), up(m, j).alias("folded")))
-    start = stored(start.withColumn("members", members), "climb-start")
+    start = start.withColumn("folded", F.transform("members", up)).withColumn("claims", F.array_distinct("folded"))
+    members = F.zip_with("members", "folded", lambda m, f: F.struct(m["doc_id"].alias("doc_id"), m["hash"].alias("hash"), F.array_position(F.col("claims"), f).alias("claim")))
+    start = stored(start.withColumn("members", members).drop("folded"), "climb-start")
     with _any_number_of_rows(spark):
-        climbed = stored(spark.sql(_CLIMB, start=start, nodes=nodes), "climbed")
-    dropped(nodes, start)
-    each = climbed.select(F.explode("members").alias("m"), "siblings", "subroot")
+        known = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
+        climbed = stored(spark.sql(_CLIMB, start=start.drop("members"), nodes=known), "climbed")
+    others = lambda j: hex_of(F.filter(F.transform("members", lambda m: m["hash"]), lambda d, i: i != j))
+    each = climbed.join(start.select("grp", "run", "members"), ["grp", "run"]).select("claims", "siblings", "subroot", F.posexplode("members").alias("j", "m"), "members")
     top = F.lit(root).cast("string")
     return each.select(
         F.col("m.doc_id").alias("doc_id"), F.lower(F.hex("m.hash")).alias("leaf"), F.coalesce(F.lower(F.hex("subroot")), top).alias("subroot"), top.alias("root"),
-        F.concat("m.own", "siblings").alias("siblings"), F.lower(F.hex("m.folded")).alias("folded_root"),
+        F.concat(others(F.col("j")), F.lower(F.hex("siblings"))).alias("siblings"), F.lower(F.hex(F.element_at("claims", F.col("m.claim").cast("int")))).alias("folded_root"),
     )
 
 
 def verified(docs: DataFrame, tampered: dict[str, Column] | None = None) -> DataFrame:
     """Per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
     out = proofs(docs, tampered)
-    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(hex_of(F.col("siblings")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
