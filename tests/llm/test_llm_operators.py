@@ -3,12 +3,15 @@
 import base64
 import hashlib
 import random
+import re
 import string
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import brute
@@ -333,6 +336,19 @@ def test_best_fit_takes_the_tightest_window():
         assert o + n + left[w] == 100
 
 
+def test_contamination_by_items_that_share_an_id(spark):
+    """Items of one id, of no id, and repeated ones; long windows among them."""
+    eleven = "one two three four five six seven eight nine ten eleven"
+    items = [(1, "alpha beta gamma delta"), (1, eleven), (1, eleven), (2, "alpha beta gamma delta"), (None, "mu nu xi"), (None, None), (3, "kappa"), (3, "lambda kappa " * 9)]
+    docs = [(1, "x alpha beta gamma delta y"), (2, f"0 {eleven}"), (3, "a mu nu xi b"), (4, "kappa"), (5, "nothing here"), (6, "alpha beta gamma delta mu nu xi")]
+    df = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), df).collect()}
+    want = {1: (4, "1,2"), 2: (11, "1"), 3: (3, ""), 4: (1, "3"), 5: (0, ""), 6: (7, "1,2")}
+    assert {d: (r["n_hit"], r["items_sha256"]) for d, r in got.items()} == {d: (n, hashlib.sha256(i.encode()).hexdigest()) for d, (n, i) in want.items()}
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), df).collect()
+    assert [r["doc_id"] for r in kept] == [5]
+
+
 def test_quality(documents, texts, labels, odd, empty):
     got = by_id(quality_rules.judge(documents, labels))
     for d, t in texts:
@@ -350,6 +366,63 @@ def test_quality_keeps_good_and_drops_bad(documents, labels):
     assert share[1] > 0.9 and share[0] < 0.2
 
 
+def _verdicts(docs, labels):
+    """Kept share of good and of bad documents among those whose labels the models weren't counted from."""
+    learn = labels.filter("crc32(cast(doc_id as string)) % 3 <> 1")
+    held = labels.filter("crc32(cast(doc_id as string)) % 3 = 1")
+    got = quality_rules.judge(docs, learn).join(held, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    again = resample.resample(docs, learn).join(held, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()
+    return {r["quality"]: r["kept"] for r in got}, {r["quality"]: r["kept"] for r in again}
+
+
+def test_quality_and_resampling_on_held_out_labels(spark, data):
+    folder = data.replace("0.001", "0.01")
+    rules, sample = _verdicts(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+    assert rules[1] > 0.9 and rules[0] < 0.25
+    assert sample[1] > 0.85 and sample[0] < 0.7
+
+
+def test_verdicts_stay_when_the_corpus_doubles(spark, data):
+    """The same documents again under new ids, across the sizes at which the number of buckets once changed; what is left
+    is the smoothing, which weighs less in a larger corpus."""
+    folder = data.replace("0.001", "0.01")
+    documents, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    before = {r["doc_id"]: r["kept"] for r in quality_rules.judge(documents, labels).collect()}
+    again = lambda df: df.withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    after = {r["doc_id"]: r["kept"] for r in quality_rules.judge(documents.union(again(documents)), labels.union(again(labels))).filter("doc_id < 1000000").collect()}
+    assert sum(before[d] != after[d] for d in before) <= 0.02 * len(before)
+
+
+def test_weights_keys_and_kept_sets_against_a_loop(documents, labels, texts):
+    """op9 and op10 whole: bucket counts, ratios, weights, noise, cut and verdicts, recomputed without their code."""
+    mask, signed = ngrams.BUCKETS - 1, lambda h: h - (1 << 64) if h >> 63 else h
+    one, two = lambda w: xxhash.xxh64(w.encode(), 42).intdigest(), lambda a, b: xxhash.xxh64(b.encode(), one(a)).intdigest()
+    grams = {}
+    for d, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams[d] = [one(x) & mask for x in w] + [two(a, b) & mask for a, b in zip(w, w[1:])]
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    raw, target = np.bincount(sum(grams.values(), []), minlength=mask + 1), np.bincount(sum((g for d, g in grams.items() if d in good), []), minlength=mask + 1)
+    ratio = np.round(1000 * (np.log((target + 1) / (target.sum() + mask + 1)) - np.log((raw + 1) / (raw.sum() + mask + 1))))
+    mean = {d: ratio[g].sum() / 1000 / len(g) if g else 0.0 for d, g in grams.items()}
+    got = by_id(quality_rules.judge(documents, labels))
+    for d, t in texts:
+        assert got[d]["log_ratio"] == pytest.approx(mean[d], abs=2e-5)
+        if abs(mean[d] - quality_rules.THRESHOLD) > 2e-5:
+            assert got[d]["kept"] == (not brute.quality(t)[5] and mean[d] >= quality_rules.THRESHOLD)
+    keys = {}
+    for d, t in texts:
+        h = xxhash.xxh64(struct.pack("<i", resample.SEED), 42).intdigest()
+        for x in (d, signed(one(t or ""))):
+            h = xxhash.xxh64(struct.pack("<q", x), h).intdigest()
+        keys[d] = mean[d] * len(grams[d]) - np.log(-np.log(((h >> 12) + 0.5) / 2**52))
+    sampled = by_id(resample.resample(documents, labels))
+    for d, k in keys.items():
+        assert sampled[d]["log_weight"] == pytest.approx(mean[d] * len(grams[d]), rel=1e-3, abs=0.05) and sampled[d]["key"] == pytest.approx(k, rel=1e-3, abs=0.05)
+    cut = sorted(keys.values(), reverse=True)[round(resample.SAMPLE_SHARE * len(keys)) - 1]
+    assert all(sampled[d]["kept"] == (k >= cut) for d, k in keys.items() if abs(k - cut) > 0.1)
+
+
 def test_log_ratio_against_a_loop(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "c d"), (3, None)], "doc_id long, text string")
     ratio = ngrams.log_ratio(docs, spark.createDataFrame([(1,)], "doc_id long"), 1 << 10)

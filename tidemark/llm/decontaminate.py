@@ -12,7 +12,9 @@ The benchmark's shingles are broadcast while they are at most BROADCAST_ROWS, wh
 shuffles. Words are compared as strings, not by hash alone.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no window; items with equal
-windows are all found; repeated rows get equal results; rows that share a doc_id but not a text are told apart.
+windows are all found; items that share an item_id are told apart by their rows and count as one id; the windows of an
+item without an item_id are hit, and it counts among no items; repeated rows get equal results; rows that share a doc_id
+but not a text are told apart.
 Columns besides ``doc_id``, ``text``, ``item_id`` are neither read nor changed.
 """
 
@@ -46,13 +48,14 @@ def _shingles(rows: DataFrame, size: int, keep: list[str]) -> DataFrame:
 
 
 def _windows(items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Stored shingles (sid, size, h, shingle); places of them in windows (item_id, start, len, o, last, sid); sizes."""
-    items = stored(items.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0).withColumn("n", F.size("words")), "items")
+    """Stored shingles (sid, size, h, shingle); places of them in windows (item, item_id, start, len, o, last, sid); sizes."""
+    items = items.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0).withColumn("n", F.size("words"))
+    items = stored(items.withColumn("item", F.monotonically_increasing_id()), "items")  # a number for each row, as items can share an id
     size = F.least(F.col("n"), F.lit(shingle))
     sizes = sorted(r[0] for r in items.select(size.alias("k")).distinct().collect())  # at most ``shingle`` numbers
     found = None
     for k in sizes:
-        part = _shingles(items.filter(size == k), k, ["item_id", "n"]).withColumn("size", F.lit(k))
+        part = _shingles(items.filter(size == k), k, ["item", "item_id", "n"]).withColumn("size", F.lit(k))
         found = part if found is None else found.union(part)
     if found is None:
         return items, items, []
@@ -61,7 +64,7 @@ def _windows(items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, Da
     length = F.least(F.col("n"), F.lit(window))
     inside = places.join(ids, ["size", "h", "shingle"]).withColumn("len", length)
     starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - (F.col("len") - F.col("size"))), F.least("pos", F.col("n") - F.col("len")))
-    inside = inside.withColumn("start", F.explode(starts)).select("item_id", "start", "len", (F.col("pos") - F.col("start")).alias("o"), (F.col("len") - F.col("size")).alias("last"), "sid")
+    inside = inside.withColumn("start", F.explode(starts)).select("item", "item_id", "start", "len", (F.col("pos") - F.col("start")).alias("o"), (F.col("len") - F.col("size")).alias("last"), "sid")
     return ids, inside, sizes
 
 
@@ -82,7 +85,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     rarity = postings.groupBy("sid").count()
     order = F.struct(F.coalesce("count", F.lit(0)), "o")
     middle = {f"middle_{o}": F.max(F.when((F.col("o") == o) & (F.col("last") > o), F.col("sid"))) for o in range(shingle, window - shingle, shingle)}
-    ranked = inside.join(rarity, "sid", "left").groupBy("item_id", "start").agg(
+    ranked = inside.join(rarity, "sid", "left").groupBy("item", "item_id", "start").agg(
         F.min_by(F.struct("sid", "o"), order).alias("prefix"), F.min_by("sid", "o").alias("first"), F.max_by("sid", "o").alias("end"), F.first("len").alias("len"), F.first("last").alias("last"),
         *(c.alias(name) for name, c in middle.items()),
     )

@@ -1,22 +1,22 @@
 """Hashed word n-gram models: bucket counts of a target and of the raw corpus, and their log ratio per bucket.
 
-Words and word pairs are hashed into buckets, whose number follows the square root of the number of documents, as that of
-distinct n-grams does: BUCKETS at least. The raw counts cover every document, those of the target every trusted document.
-Trusted ids are broadcast up to BROADCAST_ROWS, beyond that the join shuffles. The two models are multinomials over the
-buckets, smoothed by SMOOTHING; their log ratio is an array with an entry per bucket, made by Spark.
+Words and word pairs are hashed into BUCKETS buckets, whatever the corpus, so that a threshold on the ratio means the same
+at every size and what is sent to the tasks (a number a bucket, 0.1 MB) doesn't grow. The raw counts cover every document,
+those of the target every trusted document. Trusted ids are broadcast up to BROADCAST_ROWS, beyond that the join shuffles.
+The two models are multinomials over the buckets, smoothed by SMOOTHING; their log ratio is an array with an entry per
+bucket, made by Spark.
 """
 
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import dropped, stored
 
-BUCKETS, BUCKETS_PER_ROOT = 1 << 14, 32
+BUCKETS = 1 << 14
 BROADCAST_ROWS = 200_000
 SMOOTHING = 1.0
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -48,14 +48,8 @@ def trusted_ids(labels: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(good.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "trusted")
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """A power of two."""
-    return max(BUCKETS, 1 << math.ceil(math.log2(BUCKETS_PER_ROOT * math.sqrt(max(docs.count(), 1)))))
-
-
-def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int | None = None) -> list[int]:
+def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """Thousandths of the log ratio of target to raw, by bucket; all zero without trusted documents."""
-    buckets = buckets or buckets_for(docs)
     good = trusted.withColumn("good", F.lit(1))
     if trusted.count() <= BROADCAST_ROWS:
         good = F.broadcast(good)
@@ -69,7 +63,9 @@ def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int | None = None) -
     ratio = F.round(1000 * F.log(share("target", all_target) / share("raw", all_raw))).cast("int")
     rows = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", ratio.alias("ratio"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))), lambda x: x["ratio"])
-    return json.loads(rows.agg(F.to_json(listed)).first()[0])  # a number per bucket
+    out = json.loads(rows.agg(F.to_json(listed)).first()[0])  # a number per bucket
+    dropped(counts)
+    return out
 
 
 def mean_ratio(words: Column, ratio: list[int]) -> Column:
