@@ -14,7 +14,7 @@ from tidemark.standins import STANDINS, TABLES
 SAMPLE = [
     "flagship_strongest_buying", "s4_short_volume_lines", "s8_disclosure_html", "s15_earliest_facts", "u2_terminal_upsert", "u7_mark_amended", "p1_p2_p4_p5_trade_columns", "p11_p12_p15_bands", "j3_fundamentals_asof",
     "j4_last_close_within", "j5_members_as_of", "a1_decayed_flow", "a2_short_pressure", "a3_split_factor", "a5_holding_moves", "e2_fund_events", "e3_w1_w2_insider_events", "w4_w7_x2_price_features", "x16_w10_newey_west",
-    "v2_market_models", "v3_overlap_collapse", "c4_w11_trend", "a6_upper_median_lag", "a14_j2_freshness", "r1_chunks", "r4_best_per_note",
+    "v2_market_models", "v3_overlap_collapse", "c4_w11_trend", "c4_trend_over_all", "s5_insider_archives", "t2_swing_top", "u5_replace_by_key", "a6_upper_median_lag", "a14_j2_freshness", "r1_chunks", "r4_best_per_note",
     "r6_mentions", "d2_t1_live_composite", "g2_step_up", "g1_g3_gate", "w13_wilder_rsi", "v6_daily_path", "v7_price_reaction", "q1_ticker_context", "p12_metric_bands", "p2b_p2c_sign_dialects", "p6_p7_name_forms", "x13_cap_weighted_proxy",
     "a12_null_counts", "a12_ranked_beyond", "s3_sector_file", "s9_filing_index", "s17_missing_sessions", "k1_k2_snapshot_and_replace", "st1_short_volume_stream", "st2_disclosure_stream", "v5_event_study", "j10_nearest_prior", "j8_next_bar",
 ]

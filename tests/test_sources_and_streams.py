@@ -67,7 +67,7 @@ def test_top_k_in_blocks(spark):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vec)], "id long, vec array<double>")
     unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
     got = {}
-    for r in text.top_k(df, df.filter("id < 7"), 5, block=2).collect():
+    for r in text.top_k(df, df.filter("id < 7"), 5, query_block=2, corpus_block=30).collect():
         got.setdefault(r["query_id"], {})[r["place"]] = r["id"]
     for q in range(7):
         want = sorted(range(80), key=lambda i: (-(unit[q] @ unit[i]), i))[:5]
@@ -79,7 +79,7 @@ def test_mentions(spark):
     names = spark.createDataFrame([("Acme Widgets", "ACME"), ("Ford", "F"), ("Cat", "CAT")], "name string, ticker string")
     docs = spark.createDataFrame([(1, "We sued acme widgets today. Later Acme Widgets won."), (2, "The cat sat. Ford is fine here"), (3, None)], "doc_id long, text string")
     got = sorted((r["doc_id"], r["ticker"], r["quote"], r["stance"]) for r in text.mentions(docs, names).collect())
-    assert got == [(1, "ACME", "We sued acme widgets today.", "negative"), (2, "F", "Ford is fine here", "negative")]
+    assert got == [(1, "ACME", "We sued acme widgets today.", "negative"), (2, "F", "Ford is fine here", "positive")]
 
 
 def test_mentions_of_long_names_suffixes_and_common_words(spark):

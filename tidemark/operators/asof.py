@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Entries of the inner list of a fold.
 _FOLD = 256
+#: Dates that are sent to every task, with a row per month that they look back on.
+BROADCAST_DATES = 20_000
 
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], when: str, known: str, take: list[str], strict: bool = False, within_days: int | None = None, ties: list[str] | None = None) -> DataFrame:
@@ -85,9 +87,11 @@ def next_bar(events: DataFrame, calendar: DataFrame, when: str = "when") -> Data
 
 def window_events(dates: DataFrame, events: DataFrame, window_days: int, on: list[str] | None = None) -> DataFrame:
     """Events with ``as_of - window <= when < as_of`` for every as_of date. Dates are dealt to the months that they look
-    back on, so the join has an equality key whatever the number of dates or events."""
+    back on, so the join has an equality key; up to BROADCAST_DATES dates, which are counted, are broadcast, so that no
+    month's events gather in one task."""
+    few = F.broadcast if dates.select("as_of").distinct().count() <= BROADCAST_DATES else (lambda df: df)
     spread = dates.select("as_of").distinct().withColumn("_m", F.explode(F.sequence(month_of(F.date_sub("as_of", window_days)), month_of(F.col("as_of")))))
-    held = events.withColumn("_m", month_of(F.col("when"))).join(spread, "_m")
+    held = events.withColumn("_m", month_of(F.col("when"))).join(few(spread), "_m")
     return held.filter((F.col("when") < F.col("as_of")) & (F.col("when") >= F.date_sub("as_of", window_days))).drop("_m")
 
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import running_sums
+
+#: Reviews of a block of rolling means.
+BLOCK = 100_000
+
 
 def graded(reviews: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Reviews with an outcome of their own, or of forecasts that are closed; unclear ones are out. Adds prob and hit."""
@@ -35,6 +40,22 @@ def trend(rows: DataFrame, by: str = "author", last: int = 10) -> DataFrame:
     return rows.select(by, "thesis_id", "reviewed_on", F.avg("loss").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"), F.when(F.count("loss").over(rolling) == last, F.avg("loss").over(rolling)).alias("rolling"))
 
 
+def trend_over_all(rows: DataFrame, last: int = 10, block: int = BLOCK) -> DataFrame:
+    """Cumulative and rolling Brier score over all reviews, in the order of their day and forecast; those without a day
+    take part in none.
+
+    The order has no groups, so no window may hold it: sums run by ranges, and rolling means in blocks of ``block``
+    reviews that each begin with the last reviews of the block before.
+    """
+    held = rows.filter("reviewed_on IS NOT NULL").select("author", "thesis_id", "reviewed_on", "loss")
+    run = running_sums(held, ["reviewed_on", "thesis_id", "loss"], {"_sum": "loss"})
+    own = F.floor((F.col("place") - 1) / block)
+    spread = run.withColumn("_b", F.explode(F.array_distinct(F.array(own, F.floor((F.col("place") + last - 2) / block))))).withColumn("_own", F.col("_b") == own)
+    back = Window.partitionBy("_b").orderBy("place").rowsBetween(-(last - 1), 0)
+    spread = spread.withColumn("rolling", F.when(F.count("loss").over(back) == last, F.avg("loss").over(back))).filter("_own")
+    return spread.select("author", "thesis_id", "reviewed_on", (F.col("_sum") / F.col("place")).alias("cumulative"), "rolling")
+
+
 def decisions(reviews: DataFrame) -> DataFrame:
     good, flawed = F.count_if(F.col("decision_quality") == "good"), F.count_if(F.col("decision_quality") == "flawed")
     return reviews.agg(good.alias("good"), flawed.alias("flawed"), F.when(good + flawed > 0, good / (good + flawed)).alias("process_score"))

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import amount_midpoint, half_life_decay, known_on, stance_sign, trade_sign
-from tidemark.operators.asof import as_of, window_events
+from tidemark.functions.scalars import amount_midpoint, known_on, stance_sign, trade_sign
+from tidemark.operators.asof import as_of
+from tidemark.operators.ranks import percent_ranks
 
 EVENT = ["source", "ticker", "when", "signed_weight"]
+#: The day from which scaled weights are counted.
+EPOCH = "2000-01-01"
 
 
 def congress_events(trades: DataFrame) -> DataFrame:
@@ -33,11 +36,11 @@ def fund_events(moves: DataFrame, prices: DataFrame, stale_days: int = 10) -> tu
 
 def insider_events(buys: DataFrame) -> DataFrame:
     """Weight: percent rank of the value in its month, floored at 0.01, times ln(1 + distinct buyers of the issuer's month).
-    Spark has no distinct count over a window; the size of the collected set is one."""
+    Buyers are counted by an aggregate and joined back; a month's values are ranked by ranges, as a month may be large."""
     held = buys.filter("value > 0 AND filing_date IS NOT NULL").withColumn("_month", F.trunc("filing_date", "month"))
-    buyers = F.size(F.collect_set("filer").over(Window.partitionBy("ticker", "_month")))
-    rank = F.percent_rank().over(Window.partitionBy("_month").orderBy("value"))
-    return held.select(F.lit("insider").alias("source"), "ticker", F.col("filing_date").alias("when"), (F.greatest(rank, F.lit(0.01)) * F.log1p(buyers.cast("double"))).alias("signed_weight"))
+    buyers = held.groupBy("ticker", "_month").agg(F.count_distinct("filer").alias("_buyers"))
+    ranked = percent_ranks(held.select("ticker", "filing_date", "_month", "value"), "value", ("_month",), "_rank").join(buyers, ["ticker", "_month"])
+    return ranked.select(F.lit("insider").alias("source"), "ticker", F.col("filing_date").alias("when"), (F.greatest("_rank", F.lit(0.01)) * F.log1p(F.col("_buyers").cast("double"))).alias("signed_weight"))
 
 
 def activism_events(stakes: DataFrame) -> DataFrame:
@@ -52,11 +55,36 @@ def short_fraction(rows: DataFrame) -> DataFrame:
     return rows.filter("total_volume > 0").select("ticker", "date", (F.col("short_volume") / F.col("total_volume")).alias("short_fraction"))
 
 
-def decayed_flow(dates: DataFrame, events: DataFrame, half_life: float, window_days: int, by: tuple[str, ...] = ("source",)) -> DataFrame:
-    """Per date, ticker and source: the sum of weights that halve every ``half_life`` days, over the window before it."""
-    held = window_events(dates, events, window_days)
-    weight = F.col("signed_weight") * half_life_decay(F.datediff("as_of", "when"), half_life)
-    return held.groupBy("as_of", "ticker", *by).agg(F.sum(weight).alias("flow"))
+def decayed_flows(dates: DataFrame, events: DataFrame, horizons: dict[str, tuple[float, int]]) -> DataFrame:
+    """(as_of, ticker, source, flow): per date, the sum of a source's weights over the window before it, which halve every
+    half-life. ``horizons``: half-life and window in days by source; other sources are left out.
+
+    A weight that halves factorises: 2^((t - as_of) / h) is 2^((t - epoch) / h) by 2^((as_of - epoch) / h). So a window's
+    sum is the difference of two running sums of scaled daily weights, and all sources take one pass: their days and the
+    two ends of each date's window are sorted together by ticker. A ticker's rows are its days and dates, however many
+    events a day has. Scaled weights stay within doubles for dates up to 250 half-lives of 365 days from the epoch.
+    """
+    pick = lambda i: F.coalesce(*(F.when(F.col("source") == s, F.lit(float(h[i]))) for s, h in horizons.items()))
+    scaled = F.col("signed_weight") * F.pow(F.lit(2.0), F.datediff("when", F.lit(EPOCH).cast("date")) / pick(0))
+    daily = events.filter(F.col("source").isin(*horizons) & F.col("when").isNotNull()).groupBy("source", "ticker", F.col("when").alias("day")).agg(F.sum(scaled).alias("s"), F.count("*").alias("c"))
+    ends = daily.groupBy("source", "ticker").agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    every = dates.select("as_of").distinct().agg(F.array_sort(F.collect_list("as_of")).alias("_dates")).withColumn("_one", F.lit(1))  # a row per date
+    days = pick(1).cast("int")
+    cells = ends.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one").withColumn("_days", days)
+    near = F.filter("_dates", lambda d: (d > F.col("_first")) & (d <= F.date_add(F.col("_last"), F.col("_days"))))
+    cells = cells.select("source", "ticker", "_days", F.explode(near).alias("as_of"))
+    bounds = F.array(F.struct(F.col("as_of").alias("day"), F.lit(1).alias("sign")), F.struct(F.date_sub(F.col("as_of"), F.col("_days")).alias("day"), F.lit(-1).alias("sign")))
+    bounds = cells.select("source", "ticker", "as_of", F.explode(bounds).alias("b")).select("source", "ticker", "b.day", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("c"), "as_of", "b.sign")
+    both = daily.select("source", "ticker", "day", "s", "c", F.lit(None).cast("date").alias("as_of"), F.lit(0).alias("sign")).union(bounds)
+    run = Window.partitionBy("source", "ticker").orderBy("day", F.desc(F.abs("sign")), "as_of", "sign").rowsBetween(Window.unboundedPreceding, 0)  # an end comes before the day's own events
+    sums = both.withColumn("_s", F.sum("s").over(run)).withColumn("_c", F.sum("c").over(run)).filter("sign <> 0")
+    out = sums.groupBy("source", "ticker", "as_of").agg(F.sum(F.col("sign") * F.col("_s")).alias("_s"), F.sum(F.col("sign") * F.col("_c")).alias("_c")).filter("_c > 0")
+    return out.select("as_of", "ticker", "source", (F.col("_s") * F.pow(F.lit(2.0), -F.datediff("as_of", F.lit(EPOCH).cast("date")) / pick(0))).alias("flow"))
+
+
+def decayed_flow(dates: DataFrame, events: DataFrame, source: str, half_life: float, window_days: int) -> DataFrame:
+    """``decayed_flows`` of one source."""
+    return decayed_flows(dates, events, {source: (half_life, window_days)})
 
 
 def short_pressure(dates: DataFrame, shorts: DataFrame, sessions: int = 5) -> DataFrame:
@@ -87,14 +115,18 @@ def split_factor_between(rows: DataFrame, splits: DataFrame, since: str, until:
     return rows.withColumn("split_factor", factor).drop("_from", "_to")
 
 
-def fundamental_factors(rows: DataFrame, facts: DataFrame, splits: DataFrame) -> DataFrame:
-    """``rows`` (ticker, as_of, close) with value (earnings per share, restated for later splits, by the close) and quality
-    (return on positive equity) of the latest facts filed strictly before the day; of one day's the newest period's."""
+def fundamental_factors(rows: DataFrame, facts: DataFrame, splits: DataFrame, adjusted_through: Column | None = None) -> DataFrame:
+    """``rows`` (ticker, as_of, close) with value (earnings per share by the close) and quality (net income by equity, which
+    may be negative but not zero) of the latest facts filed strictly before the day; of one day's the newest period's.
+
+    Earnings are restated for every split after the filing up to ``adjusted_through`` (default: today), not to the day
+    itself, as closes are adjusted back from then."""
     held = as_of(rows, facts.withColumn("filed", F.col("filing_date")), ["ticker"], "as_of", "filing_date", ["filed", "eps", "net_income", "equity"], strict=True, ties=["period_end"])
-    held = split_factor_between(held, splits, "filed", "as_of")
+    held = held.withColumn("_through", F.current_date() if adjusted_through is None else adjusted_through)
+    held = split_factor_between(held, splits, "filed", "_through")
     value = F.when(F.col("close") > 0, F.col("eps") / F.col("split_factor") / F.col("close"))
-    quality = F.when(F.col("equity") > 0, F.col("net_income") / F.col("equity"))
-    return held.withColumn("value", value).withColumn("quality", quality).drop("filed", "eps", "net_income", "equity", "split_factor")
+    quality = F.when(F.col("equity") != 0, F.col("net_income") / F.col("equity"))
+    return held.withColumn("value", value).withColumn("quality", quality).drop("filed", "eps", "net_income", "equity", "split_factor", "_through")
 
 
 def holdings_rollup(lines: DataFrame) -> DataFrame:

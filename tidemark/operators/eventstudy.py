@@ -62,12 +62,17 @@ def window_sums(kept: DataFrame, rets: DataFrame, first: int, last: int, models:
     return out.select("ticker", "event_ix", F.when(F.col("_n") == last - first + 1, F.col("_s")).alias("car"))
 
 
+def purchases(events: DataFrame, from_year: int) -> DataFrame:
+    """Events that a study takes: of positive weight, from the first day of a year on. ``events``: when, signed_weight."""
+    return events.filter((F.col("signed_weight") > 0) & (F.col("when") >= F.make_date(F.lit(from_year), F.lit(1), F.lit(1))))
+
+
 def report(events: DataFrame, rets: DataFrame, windows: tuple[tuple[int, int], ...] = WINDOWS, gap: int = 30, length: int = 252, least: int = 120) -> DataFrame:
-    """Per window: n, mean CAR against the market and the market model, t, hit rate, collapsed, skipped, no_beta.
-    ``events``: ticker, event_ix, when. CARs are ordered by event place and ticker."""
+    """Per window: n, mean CAR against the market and the market model, t, hit rate, collapsed, skipped, no_beta, and the
+    number of all events. ``events``: ticker, event_ix. CARs are ordered by event place and ticker."""
     events, rets = stored(events.select("ticker", "event_ix"), "events"), stored(rets, "returns")  # each window reads them again
     models = stored(market_models(events, rets, gap, length, least), "models")
-    no_beta = models.filter("beta IS NULL").agg(F.count("*").alias("no_beta"))
+    counts = models.filter("beta IS NULL").agg(F.count("*").alias("no_beta"), F.lit(events.count()).cast("long").alias("n_events_total"))
     out = None
     for first, last in windows:
         label = f"{first}..{last}"
@@ -77,7 +82,7 @@ def report(events: DataFrame, rets: DataFrame, windows: tuple[tuple[int, int], .
         t = newey_west(cars, "car", order=("event_ix", "ticker")).select("series", "t")
         collapsed = kept.groupBy("ticker").agg(F.max("n_collapsed").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_collapsed"))
         one = cars.groupBy("series").agg(F.count("car").alias("n"), F.avg("car").alias("mean_car"), F.avg("car_mm").alias("mean_car_mm"), F.avg((F.col("car") > 0).cast("double")).alias("hit_rate"), F.sum(F.col("car").isNull().cast("long")).alias("n_skipped"))
-        one = one.join(t, "series", "left").join(collapsed.withColumn("series", F.lit(label)), "series").join(no_beta.withColumn("series", F.lit(label)), "series")
+        one = one.join(t, "series", "left").join(collapsed.withColumn("series", F.lit(label)), "series").join(counts.withColumn("series", F.lit(label)), "series")
         out = one if out is None else out.union(one)
     return out.withColumnRenamed("series", "window")
 

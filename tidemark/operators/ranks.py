@@ -17,29 +17,27 @@ BROADCAST_ROWS = 200_000
 _ROW_BITS = 33
 
 
-def ranges(rows: DataFrame, order: list[str | Column], by: tuple[str, ...] = (), parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def ranges(rows: DataFrame, order: list[str | Column], by: tuple[str, ...] = (), parts: int | None = None, sums: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(rows with their range _p and their number _at, starts of ranges): stored rows in ranges of ``by`` and ``order``.
 
     ``starts`` has a row per group and range that it reaches into: by, _p, _first (the _at of its first row there), _count,
-    and _before, the group's rows in the ranges before. Rows that are equal in ``by`` and ``order`` share a range.
+    _before, the group's rows in the ranges before, and for each of ``sums`` its sum before, _before_<column>. Rows that are equal in ``by`` and ``order`` share a range.
     """
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*by, *order]
     dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     held = stored(dealt, "ranges").withColumn("_p", F.shiftright("_at", _ROW_BITS))
-    starts = held.groupBy(*by, "_p").agg(F.min("_at").alias("_first"), F.count("*").alias("_count"))
+    starts = held.groupBy(*by, "_p").agg(F.min("_at").alias("_first"), F.count("*").alias("_count"), *(F.sum(c).alias(f"_sum_{c}") for c in sums))
     before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    return held, stored(starts.withColumn("_before", F.coalesce(F.sum("_count").over(before), F.lit(0))), "range-starts")
+    earlier = {"_before": F.sum("_count")} | {f"_before_{c}": F.sum(f"_sum_{c}") for c in sums}
+    return held, stored(starts.withColumns({k: F.coalesce(v.over(before), F.lit(0)) for k, v in earlier.items()}), "range-starts")
 
 
 def placed(held: DataFrame, starts: DataFrame, by: tuple[str, ...] = (), name: str = "place", take: tuple[str, ...] = ()) -> DataFrame:
     """``held`` with its place (1 is first) and the columns ``take`` of ``starts``. The join's key holds the range, so a
     large group is spread; null groups are groups."""
     s = starts.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(by)), F.col("_p").alias("_sp"), "_first", "_before", *take)
-    on = F.col("_p") == F.col("_sp")
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_s{i}"))
-    both = held.join(F.broadcast(s) if s.count() <= BROADCAST_ROWS else s, on)
+    both = held.join(F.broadcast(s) if s.count() <= BROADCAST_ROWS else s, (F.col("_p") == F.col("_sp")) & _same(by, "_s"))
     place = F.col("_before") + F.col("_at") - F.col("_first") + 1
     return both.withColumn(name, place).drop("_p", "_at", "_first", "_before", "_sp", *(f"_s{i}" for i in range(len(by))))
 
@@ -52,3 +50,33 @@ def numbered(rows: DataFrame, order: list[str | Column], by: tuple[str, ...] = (
     """
     held, starts = ranges(rows, order, by, parts)
     return placed(held, starts, by, name)
+
+
+def running_sums(rows: DataFrame, order: list[str | Column], sums: dict[str, str], by: tuple[str, ...] = (), name: str = "place", parts: int | None = None) -> DataFrame:
+    """``rows`` with their place and, for each ``{new: column}`` of ``sums``, the sum of the column up to and with the row:
+    sums within a range, and what the ranges before it hold."""
+    held, starts = ranges(rows, order, by, parts, tuple(sums.values()))
+    inside = Window.partitionBy(*by, "_p").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.withColumns({f"_own_{new}": F.sum(c).over(inside) for new, c in sums.items()})
+    out = placed(held, starts, by, name, tuple(f"_before_{c}" for c in sums.values()))
+    return out.withColumns({new: F.col(f"_before_{c}") + F.coalesce(F.col(f"_own_{new}"), F.lit(0)) for new, c in sums.items()}).drop(*(f"_own_{new}" for new in sums), *(f"_before_{c}" for c in sums.values()))
+
+
+def percent_ranks(rows: DataFrame, value: str, by: tuple[str, ...], name: str = "percent") -> DataFrame:
+    """``rows`` with the share of the group's other rows that have a smaller value (ties share it), as ``percent_rank``.
+
+    Distinct values are counted before anything is ordered, so ties are one row of the running sums. Nulls come first."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    totals = counts.groupBy(*(F.col(c).alias(f"_t{i}") for i, c in enumerate(by))).agg(F.sum("_c").alias("_all"))
+    before = running_sums(counts, [value], {"_to": "_c"}, by).join(totals, _same(by, "_t"))
+    share = F.when(F.col("_all") > 1, (F.col("_to") - F.col("_c")) / (F.col("_all") - 1)).otherwise(0.0)
+    before = before.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate((*by, value))), share.alias(name))
+    return rows.join(before, _same((*by, value), "_k")).drop(*(f"_k{i}" for i in range(len(by) + 1)))
+
+
+def _same(columns: tuple[str, ...], prefix: str) -> Column:
+    """The columns equal those named by the prefix and their number; nulls equal nulls."""
+    on = F.lit(True)
+    for i, c in enumerate(columns):
+        on = on & F.col(c).eqNullSafe(F.col(f"{prefix}{i}"))
+    return on

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import case_side, conviction
 from tidemark.operators import xsection
+from tidemark.operators.ranks import numbered
 
 
 def ranked_with_forced(rows: DataFrame, score: str, top: int, forced: DataFrame | None = None, key: str = "ticker") -> DataFrame:
-    """True ranks; the first ``top`` rows, and forced ones whatever their rank. Ranks come from a sort of few columns."""
-    order = Window.orderBy(F.desc_nulls_last(score), key)  # a row per name of the universe
-    out = rows.withColumn("rank", F.row_number().over(order))
+    """True ranks; the first ``top`` rows, and forced ones whatever their rank. The universe is ranked by ranges."""
+    out = numbered(rows, [F.desc_nulls_last(score), F.col(key)], name="rank")
     if forced is None:
         return out.filter(F.col("rank") <= top).withColumn("forced", F.lit(False))
     out = out.join(forced.select(key).distinct().withColumn("_f", F.lit(True)), key, "left")

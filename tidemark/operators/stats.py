@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import normal
+from tidemark.operators.ranks import numbered
 from tidemark.storage import stored
 
 #: Values of a series that one task takes, and so many more as there are lags.
@@ -67,10 +69,6 @@ def series_correlation(series: DataFrame, value: str = "value", name: str = "ser
     return out.select("a", "b", "n", F.when((F.col("n") >= least) & (F.col("_sx") > 0) & (F.col("_sy") > 0), F.col("_c")).alias("corr"))
 
 
-def two_sided_p(t: float) -> float:
-    return 2 * (1 - NormalDist().cdf(abs(t)))
-
-
 def bonferroni_t(n: int, alpha: float = 0.05) -> float:
     return NormalDist().inv_cdf(1 - alpha / (2 * n))
 
@@ -84,18 +82,20 @@ def step_up_t(n: int, k: int, alpha: float = 0.05) -> float:
     return NormalDist().inv_cdf(1 - k * alpha / (2 * n * harmonic(n)))
 
 
-def step_up(spark: SparkSession, tests: DataFrame, alpha: float = 0.05, family: str = "family", name: str = "name") -> DataFrame:
-    """Per test: rank by |t|, critical |t|, and whether it passes: all ranks up to the largest that reaches its own bar.
+def step_up(tests: DataFrame, alpha: float = 0.05, family: str = "family", name: str = "name") -> DataFrame:
+    """Per test: p, rank by |t|, critical |t|, and whether it passes: all ranks up to the largest that reaches its own bar.
 
-    Spark has no normal quantile, so the bars of the family sizes at hand are computed here and joined.
+    Bars and p-values are column expressions and ranks are numbered by ranges, so a family may be of any size. Tests
+    without a t have no rank and take no part.
     """
-    w = Window.partitionBy(family)
-    ranked = tests.withColumn("n", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc(F.abs("t")), name)))
-    sizes = [r[0] for r in ranked.select("n").distinct().collect()]  # one number per family size
-    bars = spark.createDataFrame([(int(n), k, step_up_t(n, k, alpha)) for n in sizes for k in range(1, n + 1)] or [(0, 0, 0.0)], "n long, rank int, critical_t double")
-    out = ranked.join(bars, ["n", "rank"])
-    last = F.max(F.when(F.abs("t") >= F.col("critical_t"), F.col("rank"))).over(w)
-    return out.withColumn("passes", F.coalesce(F.col("rank") <= last, F.lit(False)))
+    held = tests.filter(F.col("t").isNotNull()).withColumn("_a", -F.abs("t"))
+    ranked = numbered(held, ["_a", name], (family,), "rank").drop("_a")
+    sizes = ranked.groupBy(family).agg(F.count("*").alias("n"))
+    out = ranked.join(sizes, family).withColumn("p", normal.two_sided_p(F.col("t")))
+    bar = normal.upper_quantile(F.col("rank") * F.lit(alpha) / (2 * F.col("n") * normal.harmonic(F.col("n"))))
+    out = stored(out.withColumn("critical_t", bar), "step-up")
+    last = out.filter(F.abs("t") >= F.col("critical_t")).groupBy(family).agg(F.max("rank").alias("_last"))
+    return out.join(last, family, "left").withColumn("passes", F.coalesce(F.col("rank") <= F.col("_last"), F.lit(False))).drop("_last")
 
 
 def gate(series_t: DataFrame, own_tests: int, published_tests: int = 316, alpha: float = 0.05) -> DataFrame:

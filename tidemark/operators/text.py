@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from tidemark.functions.scalars import company_key, content_id
 from tidemark.storage import stored
 
 CHUNK, OVERLAP, DIMENSION = 400, 50, 384
-#: Query vectors that are sent to the tasks at a time.
-QUERY_BLOCK = 1_000
+#: Queries and corpus rows of a cell of the similarity matrix, about, and queries that are multiplied at a time.
+QUERY_BLOCK, CORPUS_BLOCK, STRIP = 4_096, 16_384, 256
 #: Keys of a dictionary that are sent to every task; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 # Single words that are no company alone, and tickers whose names are everyday phrases.
@@ -31,8 +32,8 @@ COMMON_WORDS = (
 SKIP_TICKERS = ("WM", "EXE")
 # Texts of a site's menus.
 MENU_TEXTS = ("Select Category", "Skip to")
-# Cues of a negative stance.
-NEGATIVE_CUES = r"(?i)\b(fine|fined|sue|sued|lawsuit|tariff|ban|banned|penalty|investigat\w*|violation)\b"
+# Beginnings of words that tell a negative stance.
+NEGATIVE_CUES = r"(?i)\b(slam|slamm|attack|criticis|blast|threaten|tariff on|probe|sue|sued|ban)\w*"
 
 
 def chunks(notes: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, path: str = "path", text: str = "text", title: str | None = None) -> DataFrame:
@@ -78,38 +79,55 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """Exact cosine top-k of every query: (query_id, id, similarity, place). ``corpus`` and ``queries`` have id and vec.
 
-    Queries go out in blocks of bounded size; each task multiplies its rows with a block and keeps k rows a query, so what
-    is shuffled is k rows per query and task.
+    Both sides are dealt to blocks by a hash, and a task multiplies a cell: one block of queries with one of the corpus,
+    strip by strip, keeping k rows a query. So memory is bounded by the blocks, each side is copied once per block of the
+    other, the plan has one size however many queries there are, and what is merged is k rows per query and corpus block.
+
+    Defined results: rows without a vector take no part; a vector of zeros is similar to nothing (0); vectors of another
+    length fail; ties go to the smaller id; repeated queries get their rows once each.
     """
-    held = queries.filter("vec IS NOT NULL").withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // block)))))
-    found = None
-    for b in range(max(1, -(-queries.count() // block))):
-        rows = held.filter(F.col("_b") == b).select("id", "vec").collect()
-        if not rows:
-            continue
-        ids, mat = np.asarray([r["id"] for r in rows], np.int64), np.asarray([r["vec"] for r in rows], np.float64)
-        mat /= np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-30)
-        part = corpus.select("id", "vec").filter("vec IS NOT NULL").mapInPandas(_nearest(ids, mat, k), "query_id long, id long, similarity double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return corpus.sparkSession.createDataFrame([], "query_id long, id long, similarity double, place int")
+    held, asked = corpus.select("id", "vec").filter("vec IS NOT NULL"), queries.select("id", "vec").filter("vec IS NOT NULL")
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    q, c = blocks(asked, query_block), blocks(held, corpus_block)
+    deal = lambda df, n, m, own, other: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left, right = deal(asked, q, c, "qb", "cb").groupBy("qb", "cb"), deal(held, c, q, "cb", "qb").groupBy("qb", "cb")
+    kinds = dict(asked.dtypes)["id"], dict(held.dtypes)["id"]
+    found = left.cogroup(right).applyInArrow(_cell(k), f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
     return found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).filter(F.col("place") <= k)
 
 
-def _nearest(ids: np.ndarray, mat: np.ndarray, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            vec = np.stack(batch["vec"].to_numpy()).astype(np.float64)
-            vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-30)
-            sims, own = np.round(mat @ vec.T, 12), batch["id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            yield pd.DataFrame({"query_id": ids[q], "id": own[order.ravel()], "similarity": sims[q, order.ravel()]})
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column as rows of length one, or zero."""
+    vec = column.combine_chunks()
+    flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(flat) % len(vec) or len(set(np.diff(vec.offsets.to_numpy()))) > 1:
+        raise ValueError("vectors of several lengths")
+    mat = flat.reshape(len(vec), -1)
+    return mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-30)
+
+
+def _cell(k: int):
+    """The k nearest corpus rows of each query of a cell."""
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids, own = asked["id"].to_numpy(), held["id"].to_numpy()
+        out = []
+        if len(ids) and len(own):
+            mat, vec = _unit(asked["vec"]), _unit(held["vec"])
+            if mat.shape[1] != vec.shape[1]:
+                raise ValueError(f"queries of {mat.shape[1]} numbers and rows of {vec.shape[1]}")
+            by_id = np.argsort(own, kind="stable")
+            own, vec = own[by_id], vec[by_id]
+            for at in range(0, len(ids), STRIP):
+                sims = np.round(mat[at : at + STRIP] @ vec.T, 12)
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # stable: equal ones by id
+                rows = np.repeat(np.arange(len(sims)), best.shape[1])
+                out.append((ids[at : at + STRIP][rows], own[best.ravel()], sims[rows, best.ravel()]))
+        columns = [np.concatenate(x) for x in zip(*out)] if out else [ids[:0], own[:0], np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "id", "similarity"), columns)))
 
     return run
 
@@ -159,24 +177,24 @@ def _sentences(docs: DataFrame) -> DataFrame:
 def mentions(docs: DataFrame, names: DataFrame, most_tickers: int = 8, quote: int = 280, skip_tickers: tuple[str, ...] = SKIP_TICKERS, common_words: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
     """(doc_id, ticker, sentence_ix, quote, stance): the first mention of each ticker in a document.
 
-    Names of any number of words are met as word n-grams by an equality join, not by scanning every document for every
-    name; what is joined is a place and a hash. Only sentences with such a place are read again and searched for the
-    name as it is written. Documents that mention more than ``most_tickers`` tickers are dropped, then mentions in a
-    site's menus. The quote is the sentence, cut at ``quote`` characters.
+    Names are met through an index of anchors. The distinct words of each document that any name holds are its postings;
+    a name's anchor is the one of its words that the fewest documents hold, and only documents with the anchor are read
+    again, by sentence, for the name as it is written. So texts are split into words once, whatever the number of names
+    and their lengths. Documents that mention more than ``most_tickers`` tickers are dropped, then mentions in a site's
+    menus. The quote is the sentence, cut at ``quote`` characters.
     """
-    keys = stored(mention_keys(names, skip_tickers, common_words).withColumn("gram", F.xxhash64(F.array_join("words", " "))).withColumn("size", F.size("words")), "mention-keys")
-    n = keys.count()
-    sizes = sorted(r[0] for r in keys.select("size").distinct().collect())  # at most the words of the longest name
-    sentences = _sentences(docs)
-    if not sizes:
-        return sentences.filter("false").select("doc_id", F.lit("").alias("ticker"), "sentence_ix", F.col("sentence").alias("quote"), F.lit("").alias("stance"))
-    few = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)
-    words = sentences.select("doc_id", "sentence_ix", _words(F.col("sentence")).alias("_w"))
-    grams = F.flatten(F.array(*(_grams(k) for k in sizes)))
-    spread = words.select("doc_id", "sentence_ix", F.explode(F.array_distinct(grams)).alias("gram"))
-    found = stored(spread.join(few(keys.select("gram", "ticker", "pattern")), "gram").select("doc_id", "sentence_ix", "ticker", "pattern").distinct(), "mention-places")
-    texts = _sentences(docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi"))
-    said = found.join(texts, ["doc_id", "sentence_ix"]).filter(F.expr("regexp_like(lower(sentence), pattern)"))
+    keys = stored(mention_keys(names, skip_tickers, common_words).withColumn("key", F.monotonically_increasing_id()), "mention-keys")
+    few = F.broadcast if keys.count() <= BROADCAST_ROWS else (lambda df: df)
+    each = keys.select("key", F.explode(F.array_distinct("words")).alias("word"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("word"))
+    postings = stored(words.join(few(each.select("word").distinct()), "word"), "name-words")
+    rarity = postings.groupBy("word").agg(F.count("*").alias("_df"))
+    # A word that no document holds is the rarest: a name with one is met nowhere, as no posting has it.
+    anchors = each.join(rarity, "word", "left").groupBy("key").agg(F.min_by("word", F.struct(F.coalesce("_df", F.lit(0)), "word")).alias("word"))
+    wanted = keys.join(anchors, "key").select("word", "ticker", "pattern")
+    near = stored(postings.join(few(wanted), "word").select("doc_id", "ticker", "pattern", "word"), "mention-places")
+    texts = _sentences(docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi")).withColumn("_low", F.lower("sentence"))
+    said = near.join(texts, "doc_id").filter(F.contains("_low", F.col("word"))).filter(F.expr("regexp_like(_low, pattern)"))
     first = said.groupBy("doc_id", "ticker").agg(F.min(F.struct("sentence_ix", "sentence")).alias("m"))
     first = first.withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).filter(F.col("_n") <= most_tickers)
     cut = F.substring("m.sentence", 1, quote)
@@ -184,12 +202,6 @@ def mentions(docs: DataFrame, names: DataFrame, most_tickers: int = 8, quote: in
     return first.withColumn("stance", F.when(F.col("quote").rlike(NEGATIVE_CUES), "negative").otherwise("positive"))
 
 
-def _grams(size: int) -> Column:
-    """Hashes of the word n-grams of column _w."""
-    n = F.size("_w") - (size - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, size), " ")))).otherwise(F.array().cast("array<bigint>"))
-
-
 def first_per_day(rows: DataFrame) -> DataFrame:
     """One mention per ticker and day: that of the smallest document."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("ticker", "day").orderBy("doc_id"))).filter("_n = 1").drop("_n")

@@ -52,11 +52,13 @@ def keep_verdict_upsert(stored: DataFrame, incoming: DataFrame, keys: list[str],
     return _full(stored, incoming, keys).select(*(pick.get(c, F.coalesce(f"old.{c}", f"new.{c}")).alias(c) for c in stored.columns))
 
 
-def replace_by_key(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows take the place of stored ones with their key; one row per key stays."""
+def replace_by_key(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Incoming rows take the place of stored ones with their key; one row per key stays. Of several incoming rows of a key
+    the one with the largest ``order`` columns wins, and of equal ones, or without ``order``, the largest whole row, so that
+    results don't vary by run."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     rest = [c for c in both.columns if c not in (*keys, "_new")]
-    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_new").alias("_r"))
+    best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_new", *(order or []), *rest)).alias("_r"))
     return best.select(*(F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in stored.columns))
 
 

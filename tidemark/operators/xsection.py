@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import null_mean
+from tidemark.operators.ranks import numbered
 
 
 def eligible(rows: DataFrame, needed: list[str], least: int, month: str = "month_ix") -> DataFrame:
@@ -39,9 +40,13 @@ def sector_demean(rows: DataFrame, value: str = "fwd", out: str = "fwd_dm", leas
     return rows.withColumn(out, F.col(value) - F.when(use, F.avg(value).over(sector)).otherwise(F.avg(value).over(whole)))
 
 
-def rank_ic(rows: DataFrame, x: str, y: str, by: tuple[str, ...] = ("month_ix",), least: int = 10, tie: str = "ticker") -> DataFrame:
-    """Spearman correlation by ordinal ranks, ties broken by ``tie``: null for fewer than ``least`` pairs."""
+def rank_ic(rows: DataFrame, x: str, y: str, by: tuple[str, ...] = ("month_ix",), least: int = 10, tie: str = "ticker", spread: bool = False) -> DataFrame:
+    """Spearman correlation by ordinal ranks, ties broken by ``tie``: null for fewer than ``least`` pairs. A month's names
+    are ranked in one task each; with ``spread`` they are numbered by ranges, for cross-sections of any size."""
     held = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if spread:
+        ranked = numbered(numbered(held.select(*dict.fromkeys((*by, x, y, tie))), [x, tie], by, "_x"), [y, tie], by, "_y")
+        return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("_ic")).select(*by, "n", F.when(F.col("n") >= least, F.col("_ic")).alias("ic"))
     rank = lambda c: F.row_number().over(Window.partitionBy(*by).orderBy(c, tie)).cast("double")
     ranked = held.withColumn("_x", rank(x)).withColumn("_y", rank(y))
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("_ic")).select(*by, "n", F.when(F.col("n") >= least, F.col("_ic")).alias("ic"))

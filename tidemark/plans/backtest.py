@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import verdict
@@ -25,9 +25,9 @@ class Settings:
     least_tail: int = 20
     least_decile: int = 100
     top: float = 0.10
-    blocks: dict = field(default_factory=lambda: {"price": ["z_mom", "z_trend"], "fund": ["z_value", "z_quality"], "flow": ["z_congress", "z_fund", "z_insider", "z_activism"]})
+    blocks: dict = field(default_factory=lambda: {"price": ["z_mom", "z_trend"], "fund": ["z_value", "z_quality"], "flow": ["z_congress", "z_fund"]})
     variants: dict = field(default_factory=lambda: {"full": ["price", "fund", "flow"], "price": ["price"], "price_fund": ["price", "fund"]})
-    #: Half-life and window in days per flow source.
+    #: Half-life and window in days per flow source. Insider and activism flows are scored, but in no block.
     flows: dict = field(default_factory=lambda: {"congress": (180, 365), "fund": (270, 540), "insider": (90, 180), "activism": (365, 730)})
 
 
@@ -44,6 +44,8 @@ class Inputs:
     shorts: DataFrame | None = None
     fundamentals: DataFrame | None = None
     splits: DataFrame | None = None
+    #: The day to which closes are adjusted; today if None.
+    adjusted_through: Column | None = None
 
 
 def factor_table(inputs: Inputs, s: Settings) -> DataFrame:
@@ -56,10 +58,9 @@ def factor_table(inputs: Inputs, s: Settings) -> DataFrame:
     members = members_as_of(months.select(F.col("as_of").alias("day")), inputs.membership).withColumnRenamed("day", "as_of")
     at = at.join(members, ["as_of", "ticker"]).join(inputs.sectors.select("ticker", "sector"), "ticker", "left")
     if inputs.fundamentals is not None:
-        at = ev.fundamental_factors(at, inputs.fundamentals, inputs.splits)
-    for source, (half_life, window) in s.flows.items():
-        flow = ev.decayed_flow(months, inputs.events.filter(F.col("source") == source), half_life, window).select("as_of", "ticker", F.col("flow").alias(source))
-        at = at.join(flow, ["as_of", "ticker"], "left")
+        at = ev.fundamental_factors(at, inputs.fundamentals, inputs.splits, inputs.adjusted_through)
+    flows = ev.decayed_flows(months, inputs.events, s.flows)
+    at = at.join(flows.groupBy("as_of", "ticker").agg(*(F.max(F.when(F.col("source") == source, F.col("flow"))).alias(source) for source in s.flows)), ["as_of", "ticker"], "left")
     if inputs.shorts is not None:
         at = at.join(ev.short_pressure(months, inputs.shorts).withColumn("short", -F.col("short_fraction")).drop("short_fraction"), ["as_of", "ticker"], "left")
     return at
@@ -92,8 +93,12 @@ def ic_series(rows: DataFrame, factors: list[str], s: Settings) -> DataFrame:
 
 
 def report(inputs: Inputs, factors: list[str], s: Settings) -> dict[str, DataFrame]:
-    """The tables of a run: scored rows, ic, ic_stats, ic_corr, variants, long_short, benchmark, gate."""
+    """The tables of a run: scored rows, ic, ic_stats, ic_corr, variants, long_short, benchmark, universe, gate."""
     rows = stored(scored(factor_table(inputs, s), factors, s).filter("fwd IS NOT NULL"), "scored")
+    months = panel.rebalance_bars(panel.calendar(inputs.prices), s.look)
+    members = members_as_of(months.select(F.col("as_of").alias("day")), inputs.membership)
+    priced = inputs.prices.filter("close IS NOT NULL").select(F.col("date").alias("day"), "ticker").distinct().withColumn("_p", F.lit(1))
+    universe = members.join(priced, ["day", "ticker"], "left").groupBy(F.col("day").alias("as_of")).agg((F.count("_p") / F.count("*")).alias("coverage"))
     ic = stored(ic_series(rows, factors, s), "ic")
     held = None
     for v in made_of(factors, s)[1]:
@@ -105,12 +110,28 @@ def report(inputs: Inputs, factors: list[str], s: Settings) -> dict[str, DataFra
     ic_stats = stats.newey_west(ic)
     return {
         "rows": rows, "ic": ic, "ic_stats": ic_stats, "ic_corr": stats.series_correlation(ic), "variants": held, "summary": portfolio.annualise(held),
-        "hits": portfolio.hit_rate(held, bench), "long_short": portfolio.long_short(top, low), "benchmark": bench, "gate": stats.gate(ic_stats, own_tests=len(factors) + len(made_of(factors, s)[1])),
+        "hits": portfolio.hit_rate(held, bench), "long_short": portfolio.long_short(top, low), "benchmark": bench, "universe": universe, "gate": stats.gate(ic_stats, own_tests=len(factors) + len(made_of(factors, s)[1])),
     }
 
 
-def split_sample(rows: DataFrame, factor: str, split_after: str, s: Settings) -> DataFrame:
-    """Pre-registered test of one factor: rank IC with raw forward returns in and out of sample, with both t values."""
+def snapshot(run: dict[str, DataFrame], snapshot_date: Column, factors: list[str]) -> DataFrame:
+    """A run's row per factor for the history: snapshot_date, factor, ic_mean, ic_tstat, ic_tstat_nw, coverage (mean share of
+    eligible names that have the factor), n_months (scored months), universe_coverage (mean share of members with a price)."""
+    rows = run["rows"]
+    held = rows.select("month_ix", F.explode(F.array(*(F.struct(F.lit(c).alias("factor"), F.col(f"z_{c}").alias("z")) for c in factors))).alias("x")).select("month_ix", "x.factor", "x.z")
+    share = xsection.coverage(held).groupBy("factor").agg(F.avg("coverage").alias("coverage"))
+    one = rows.agg(F.count_distinct("month_ix").alias("n_months")).withColumn("_k", F.lit(0)).join(run["universe"].agg(F.avg("coverage").alias("universe_coverage")).withColumn("_k", F.lit(0)), "_k")  # one-row tables
+    named = F.regexp_replace("series", "^z_", "").alias("factor")
+    nw, naive = run["ic_stats"].select(named, F.col("mean").alias("ic_mean"), F.col("t").alias("ic_tstat_nw")), stats.naive_t(run["ic"]).select(named, F.col("t").alias("ic_tstat"))
+    out = nw.join(naive, "factor").join(share, "factor").withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k")
+    return out.select(snapshot_date.alias("snapshot_date"), "factor", "ic_mean", "ic_tstat", "ic_tstat_nw", "coverage", "n_months", "universe_coverage")
+
+
+def split_sample(rows: DataFrame, factor: str, split_after: str, s: Settings, start_year: int | None = None) -> DataFrame:
+    """Pre-registered test of one factor: rank IC with raw forward returns in and out of sample, with both t values. Months
+    before ``start_year`` take no part."""
+    if start_year is not None:
+        rows = rows.filter(F.year("as_of") >= start_year)
     z = xsection.winsor_z(rows, factor, "z", by=("month_ix",))
     z = z.withColumn("series", F.when(F.col("as_of") <= F.lit(split_after).cast("date"), "in").otherwise("out"))
     ic = xsection.rank_ic(z, "z", "fwd", ("series", "month_ix"), least=s.least_names).withColumnRenamed("ic", "value")

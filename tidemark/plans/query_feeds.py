@@ -9,8 +9,9 @@ from tidemark.functions import scalars as sc
 from tidemark.operators import audit, panel, upsert
 from tidemark.operators.events import holding_moves, holdings_rollup
 from tidemark.plans.registry import day, query, rounded
-from tidemark.sources import documents, files
+from tidemark.sources import bundles, documents, files
 from tidemark.standins import Feeds
+from tidemark.storage import fresh_path
 
 TRADE_KEY = ["member", "ticker", "transaction_type", "amount", "transaction_date", "chamber"]
 _SIGN = "CASE WHEN transaction_type = 'P' THEN 1 WHEN transaction_type = 'Sale (Full)' THEN -1 ELSE 0 END"
@@ -55,6 +56,30 @@ def s5_insider_bundle(f: Feeds) -> DataFrame:
     return files.insider_buys(subs, owners, trades, universe)
 
 
+#: Filings of an archive, about.
+_ARCHIVE = 2_000
+
+
+@query("""SELECT ticker, filer, CASE buy_id % 4 WHEN 0 THEN 'director' WHEN 1 THEN 'officer' WHEN 2 THEN 'owner' ELSE 'other' END AS role, filing_date, filing_date AS date, CAST(buy_id % 100 + 1 AS DOUBLE) AS shares, 2.5 AS price, (buy_id % 100 + 1) * 2.5 AS value
+FROM {insiders} WHERE buy_id % 3 <> 0 AND buy_id % 7 <> 0""")
+def s5_insider_archives(f: Feeds) -> DataFrame:
+    """The bundle written as archives and read back by the data source. A filing's first owner has the larger CIK, so only
+    the order of the file tells which one counts; some trades are disposals."""
+    n = -(-f.insiders.count() // _ARCHIVE)
+    rows = f.insiders.withColumn("acc", F.col("buy_id").cast("string")).withColumn("part", F.pmod(F.xxhash64("buy_id"), F.lit(max(1, n)))).withColumn("line", F.col("buy_id") * 2)
+    stamp = F.upper(F.date_format("filing_date", "dd-MMM-yyyy"))
+    key = F.col("acc").alias("ACCESSION_NUMBER")
+    kind = F.element_at(F.array(*map(F.lit, ("Director", "Officer", "TenPercentOwner", ""))), (F.col("buy_id") % 4 + 1).cast("int"))
+    subs = rows.select("part", "line", key, stamp.alias("FILING_DATE"), F.when(F.col("buy_id") % 3 == 0, "3").otherwise("4").alias("DOCUMENT_TYPE"), F.col("ticker").alias("ISSUERTRADINGSYMBOL"))
+    one = lambda step, cik, name, kind: rows.select("part", (F.col("line") + step).alias("line"), key, F.lit(cik).alias("RPTOWNERCIK"), name.alias("RPTOWNERNAME"), kind.alias("RPTOWNER_RELATIONSHIP"))
+    owners = one(0, "9", F.col("filer"), kind).union(one(1, "1", F.lit("other"), F.lit("Officer")))
+    side = F.when(F.col("buy_id") % 7 == 0, "D").when(F.col("buy_id") % 2 == 0, "A").otherwise("")
+    trades = rows.select("part", "line", key, stamp.alias("TRANS_DATE"), F.lit("P").alias("TRANS_CODE"), (F.col("buy_id") % 100 + 1).cast("string").alias("TRANS_SHARES"), F.lit("2.5").alias("TRANS_PRICEPERSHARE"), side.alias("TRANS_ACQUIRED_DISP_CD"))
+    folder = f"{fresh_path(f.spark, 'query')}/bundles"
+    bundles.write_bundles(dict(zip(bundles.INSIDER_TABLES, (subs, owners, trades))), "part", folder)
+    return files.insider_buys(*bundles.insider_tables(f.spark, folder), f.nation.select(F.upper("n_name").alias("ticker")))
+
+
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM {orders}")
 def s6_month_name_dates(f: Feeds) -> DataFrame:
     text = F.upper(F.date_format("o_orderdate", "dd-MMM-yyyy"))

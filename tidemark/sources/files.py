@@ -46,15 +46,18 @@ def parse_short_volume(rows: DataFrame, universe: DataFrame | None = None) -> Da
 
 
 def insider_buys(submissions: DataFrame, owners: DataFrame, trades: DataFrame, universe: DataFrame) -> DataFrame:
-    """The quarter's three tables to purchases: form 4 of the universe, the first owner of each filing (smallest CIK, as
-    files have no order here), code P, acquired or blank, positive shares and price; value = shares x price."""
+    """The quarter's three tables to purchases: form 4 of the universe, the first owner of each filing, code P, acquired or
+    blank, positive shares and price, dates that can be read; value = shares x price. Owners with columns archive and line
+    are taken in that order, as files have them, others by CIK. A filing without owners has an empty filer and role other."""
     filed = submissions.filter("DOCUMENT_TYPE = '4'").select("ACCESSION_NUMBER", F.upper(F.trim("ISSUERTRADINGSYMBOL")).alias("ticker"), month_name_day(F.col("FILING_DATE")).alias("filing_date"))
-    filed = filed.join(universe.select("ticker").distinct(), "ticker", "left_semi")
-    first = owners.groupBy("ACCESSION_NUMBER").agg(F.min_by(F.struct("RPTOWNERNAME", "RPTOWNER_RELATIONSHIP"), "RPTOWNERCIK").alias("o"))
+    filed = filed.filter("filing_date IS NOT NULL").join(universe.select("ticker").distinct(), "ticker", "left_semi")
+    order = F.struct("archive", "line") if "line" in owners.columns else F.col("RPTOWNERCIK")
+    first = owners.groupBy("ACCESSION_NUMBER").agg(F.min_by(F.struct("RPTOWNERNAME", "RPTOWNER_RELATIONSHIP"), order).alias("o"))
     number = lambda c: F.col(c).try_cast("double")
-    buys = trades.filter((F.col("TRANS_CODE") == "P") & F.coalesce(F.trim("TRANS_ACQUIRED_DISP_CD"), F.lit("")).isin("A", "")).select("ACCESSION_NUMBER", month_name_day(F.col("TRANS_DATE")).alias("date"), number("TRANS_SHARES").alias("shares"), number("TRANS_PRICEPERSHARE").alias("price"))
-    out = buys.filter("shares > 0 AND price > 0").join(filed, "ACCESSION_NUMBER").join(first, "ACCESSION_NUMBER", "left")
-    return out.select("ticker", F.col("o.RPTOWNERNAME").alias("filer"), owner_role(F.col("o.RPTOWNER_RELATIONSHIP")).alias("role"), "filing_date", "date", "shares", "price", (F.col("shares") * F.col("price")).alias("value"))
+    buys = trades.filter((F.col("TRANS_CODE") == "P") & F.upper(F.coalesce(F.trim("TRANS_ACQUIRED_DISP_CD"), F.lit(""))).isin("A", "")).select("ACCESSION_NUMBER", month_name_day(F.col("TRANS_DATE")).alias("date"), number("TRANS_SHARES").alias("shares"), number("TRANS_PRICEPERSHARE").alias("price"))
+    out = buys.filter("shares > 0 AND price > 0 AND date IS NOT NULL").join(filed, "ACCESSION_NUMBER").join(first, "ACCESSION_NUMBER", "left")
+    role = F.coalesce(owner_role(F.col("o.RPTOWNER_RELATIONSHIP")), F.lit("other"))
+    return out.select("ticker", F.coalesce("o.RPTOWNERNAME", F.lit("")).alias("filer"), role.alias("role"), "filing_date", "date", "shares", "price", (F.col("shares") * F.col("price")).alias("value"))
 
 
 def earliest_facts(facts: DataFrame, concepts: dict[str, list[str]]) -> DataFrame:
