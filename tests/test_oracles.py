@@ -49,9 +49,9 @@ def test_same_rows(spark, data, duck, name):
 
 
 def test_every_query_has_an_oracle_or_a_test_beside_it():
-    """Those without SQL: boosted plans, folds, embeddings and matching, which other tests cover."""
+    """Those without SQL: cases with their notes, embeddings and front matter, which other tests cover."""
     bare = sorted(set(registry.QUERIES) - set(registry.ORACLES))
-    assert bare == ["d4_p11_cases", "r3_embeddings", "s13_note_front_matter", "x20_backtest_ic", "x20_backtest_long_short", "x20_backtest_summary", "x21_split_sample", "x22_factor_snapshot"]
+    assert bare == ["d4_p11_cases", "r3_embeddings", "s13_note_front_matter"]
 
 
 def test_stand_ins_read_the_given_tables(duck):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import asof, calibration, eventstudy, panel, portfolio, screens, stats, xsection
 from tidemark.operators import events as ev
 from tidemark.operators.upsert import replace_by_key
-from tidemark.plans import backtest
+from tidemark.plans import backtest, backtest_sql
 from tidemark.plans.registry import day, query, rounded
 from tidemark.standins import Feeds
 
@@ -325,29 +325,34 @@ def _report(f: Feeds) -> dict[str, DataFrame]:
     return backtest.report(_inputs(f), FACTORS, backtest.SMALL)
 
 
-@query()
+_BASE = "WITH " + backtest_sql.factor_rows(_GRID, _CONGRESS, _FUND.strip().removeprefix("WITH "))
+_SCORED = f"{_BASE}, {backtest_sql.scored_rows()}"
+_VERDICT = "CASE WHEN abs(t) >= 3 THEN 'strong' WHEN abs(t) >= 2 THEN 'suggestive' ELSE 'none' END"
+
+
+@query(_SCORED + backtest_sql.gate(stats.step_up_t(13, 1), stats.step_up_t(316, 1)))
 def x20_backtest_ic(f: Feeds) -> DataFrame:
     return rounded(_report(f)["gate"])
 
 
-@query()
+@query(_SCORED + backtest_sql.summary())
 def x20_backtest_summary(f: Feeds) -> DataFrame:
     r = _report(f)
     return rounded(r["summary"].join(r["hits"].drop("n"), "series"))
 
 
-@query()
+@query(_SCORED + backtest_sql.long_short())
 def x20_backtest_long_short(f: Feeds) -> DataFrame:
     return rounded(_report(f)["long_short"])
 
 
-@query()
+@query(_BASE + backtest_sql.split_sample("congress", "1998-12-31", 1995).replace("{verdict}", _VERDICT))
 def x21_split_sample(f: Feeds) -> DataFrame:
     rows = backtest.factor_table(_inputs(f), backtest.SMALL).filter("fwd IS NOT NULL")
     return rounded(backtest.split_sample(rows, "congress", "1998-12-31", backtest.SMALL, 1995))
 
 
-@query()
+@query(_SCORED + backtest_sql.snapshot("2002-01-01", "2001-12-01"))
 def x22_factor_snapshot(f: Feeds) -> DataFrame:
     """A run's factors put into the history of an earlier day and an earlier run of the same day."""
     now = backtest.snapshot(_report(f), day("2002-01-01"), FACTORS)
