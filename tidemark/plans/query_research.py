@@ -566,6 +566,13 @@ def t2_swing_top(f: Feeds) -> DataFrame:
     return out.select("ticker", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"WITH {_SWING} SELECT ticker, round(oscillation, 6) AS oscillation, round(m * 100 / (1 + sd / m), 4) AS score FROM s WHERE contains(lower(ticker), '00') AND oscillation >= 0.7 AND drift >= -0.5")
+def p14_swingers(f: Feeds) -> DataFrame:
+    """The swing screen's filters: part of a symbol, a floor, swingers only, the best score first."""
+    out = screens.contains_filter(panel.swing_metrics(f.prices, 20), "00", "ticker", {"drift": -0.5}, swingers=True, sort="score")
+    return out.select("ticker", F.round("oscillation", 6).alias("oscillation"), F.round("score", 4).alias("score"))
+
+
 @query("""WITH b AS (SELECT ticker, date, close, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY date)) AS r, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n, count(*) OVER (PARTITION BY ticker) AS c FROM {prices})
 SELECT ticker, max(c) AS n, round(max(CASE WHEN n = least(1, c) THEN close END) / max(CASE WHEN n = least(12, c) THEN close END) - 1, 6) AS momentum, round(stddev_samp(CASE WHEN n <= 12 THEN r END) * sqrt(12.0), 6) AS vol,
 CASE WHEN max(c) >= 10 THEN max(CASE WHEN n = 1 THEN close END) > avg(CASE WHEN n <= 10 THEN close END) END AS above_trend FROM b GROUP BY 1 HAVING max(c) >= 12""")
