@@ -56,6 +56,16 @@ def test_rank_correlation_by_ranges(skewed):
     assert [r["ic"] for r in a] == pytest.approx([r["ic"] for r in b])
 
 
+def test_case_points_are_ordered_by_strength_and_hold_the_note_of_their_factor(spark):
+    rows = spark.createDataFrame([("A", 0.5, 2.0, -0.5, None), ("B", 0.49, -1.0, -3.0, -1.0)], "ticker string, z_a double, z_b double, z_c double, z_d double")
+    notes = spark.createDataFrame([("z_b", "n2", 0.9), ("z_c", "n3", 0.8), ("other", "n4", 0.7)], "factor string, note string, similarity double")
+    got = sorted(tuple(r) for r in screens.case_points(rows, ["z_a", "z_b", "z_c", "z_d"], notes).select("ticker", "side", "place", "factor", "note").collect())
+    assert got == [("A", "bull", 1, "z_b", "n2"), ("A", "bull", 2, "z_a", None), ("A", "risk", 1, "z_c", "n3"), ("B", "risk", 1, "z_c", "n3"), ("B", "risk", 2, "z_b", "n2"), ("B", "risk", 3, "z_d", None)]
+    assert screens.case_points(rows, ["z_a"]).columns == ["ticker", "side", "place", "factor", "z"]
+    text_ = spark.createDataFrame([("---\ntags: a\n---\nbody  of\nthe note" + "x" * 300,)], "t string").select(screens.preview(F.col("t"))).first()[0]
+    assert text_.startswith("body of the notexx") and len(text_) == 240
+
+
 def test_forced_names_keep_their_true_rank(spark):
     rows = spark.createDataFrame([("A", 1.0), ("B", 3.0), ("C", None), ("D", 3.0)], "ticker string, score double")
     got = screens.ranked_with_forced(rows, "score", 2, spark.createDataFrame([("C",)], "ticker string")).select("ticker", "rank", "forced")

@@ -1,10 +1,13 @@
 import datetime as dt
+import html
+from html.entities import html5
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import text
+from tidemark.operators.upsert import replace_by_key
 from tidemark.sources import documents, files
 from tidemark.streaming import feeds
 
@@ -32,7 +35,23 @@ def test_html(spark):
     page = "<html><script>var a='<p>';</script><style>x</style><p>A &amp; B&nbsp;&lt;ok&gt;</p>\n<b>c</b></html>"
     df = spark.createDataFrame([(page,), (None,)], "h string")
     assert [r[0] for r in df.select(documents.html_text(F.col("h"))).collect()] == ["A & B <ok> c", ""]
-    assert df.select(documents.html_text(F.col("h"), True)).first()[0] == "A & B\xa0<ok> c"
+
+
+def test_references_are_read_as_html_5_reads_them(spark):
+    names = [f"a&{n}{end}" for n in html5 for end in ("", "x", "; b")]
+    numbers = [f"&#{n};" for n in (*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xFDCF, 0xFDD0, 0xFDEF, 0xFEFF, 0xFFFD, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 10**9, 10**30)]
+    numbers += ["&#x41;", "&#X1F600", "&#x0000000041z", "&#xFFFFFFFFFF;", "&#x;", "&#;", "&#", "&#x80", "&#13;"]
+    odd = ["", "&", "&&", "no reference", "&amp;lt;", "&notit;", "&notin;", "&unknown;", "a & b &", "&ampamp;", "& lt;", "&\nlt;", "&<b", "&" + "q" * 40 + ";", "\u00e4&auml;\U0001f600&lt;"]
+    texts = names + numbers + odd
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = dict(df.select("i", documents.unescaped(F.col("t"))).collect())
+    assert [(t, got[i]) for i, t in enumerate(texts) if got[i] != html.unescape(t)] == []
+    assert spark.createDataFrame([(None,)], "t string").select(documents.unescaped(F.col("t"))).first()[0] is None
+
+
+def test_wide_spaces_are_squeezed(spark):
+    df = spark.createDataFrame([("\u00a0a&nbsp;&ensp;\u2003b\u3000",)], "h string")
+    assert df.select(documents.html_text(F.col("h"))).first()[0] == "a b"
 
 
 def test_disclosure_table(spark):
@@ -49,10 +68,40 @@ def test_asset_cells(spark):
 
 
 def test_notes(spark):
-    notes = [("a/core/x.md", "---\ntitle: T\ntags: [One, two]\ndomains: two, three\nfactors:\n  - mom\n  - '*'\nbad line\n---\nbody"), ("y.md", "no front matter"), ("z.md", None)]
+    notes = [
+        ("a/tier_3/x.md", "---\ntitle: T\ntags: [One, two]\ndomains: two, three\naliases: [t2, 'the T']\nsummary: \"S: s\"\nfactors:\n  - mom\n  - '*'\n---\n\nbody"),
+        ("a/Tier-2/p.md", "---\r\nretrieval_priority: Archive\r\ntags: A\r\n---\r\nb"),
+        ("y.md", "no front matter"), ("z.md", None), ("tier1.md", "---\nnot closed"),
+    ]
     got = {r["path"]: r for r in documents.parse_notes(spark.createDataFrame(notes, "path string, text string")).collect()}
-    assert got["a/core/x.md"]["tags"] == ["one", "three", "two"] and got["a/core/x.md"]["factors"] == ["mom", "*"] and got["a/core/x.md"]["tier"] == "1" and got["a/core/x.md"]["body"] == "T\nbody"
-    assert got["y.md"]["tags"] == [] and got["z.md"]["body"] == ""
+    x = got["a/tier_3/x.md"]
+    assert (x["tags"], x["factors"], x["tier"], x["title"], x["summary"], x["body"]) == (["one", "three", "two"], ["mom", "*"], 3, "T", "S: s", "T\n\nt2, the T\n\nS: s\n\nbody")
+    assert (got["a/Tier-2/p.md"]["tier"], got["a/Tier-2/p.md"]["tags"], got["a/Tier-2/p.md"]["body"]) == (5, ["a"], "b")
+    assert got["y.md"]["tags"] == [] and got["y.md"]["tier"] is None and got["z.md"]["body"] == "" and (got["tier1.md"]["tier"], got["tier1.md"]["body"]) == (1, "---\nnot closed")
+
+
+@pytest.mark.parametrize("line", ["no colon", "title: a: b", "title: 'open", "title: [open", "title: @x", "\ttitle: x"])
+def test_front_matter_that_is_not_well_formed_gives_no_tags(spark, line):
+    note = f"---\ntags: [a]\n{line}\n---\nbody"
+    got = documents.parse_notes(spark.createDataFrame([("p", note)], "path string, text string")).first()
+    assert (got["tags"], got["title"], got["body"]) == ([], None, "body")
+
+
+def test_embeddings_by_a_model_of_ones_own(spark):
+    def model():
+        loaded = object()  # what a worker loads once
+
+        def predict(texts):
+            assert loaded is not None and len(texts) <= 4
+            return np.array([[len(t), t.count("a")] for t in texts], np.float32)
+
+        return predict
+
+    rows = [("a" * i,) for i in range(11)] + [(None,)]
+    got = text.embed(spark.createDataFrame(rows, "chunk string").coalesce(1), model=model, batch=4).collect()
+    assert [r["embedding"] for r in got] == [[len(c or ""), len(c or "")] for (c,) in rows]
+    unit = text.hashing_model()(np.array(["one two two", "", None], object))
+    assert np.linalg.norm(unit, axis=1).tolist() == pytest.approx([1, 0, 0]) and unit.shape == (3, text.DIMENSION)
 
 
 def test_chunks(spark):
@@ -114,6 +163,25 @@ def test_streams_are_idempotent(spark, tmp_path):
     assert table.read().count() == 3
 
 
+@pytest.mark.parametrize("listed", [2_000, 1])
+def test_an_upsert_reads_the_touched_partitions_alone(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(feeds, "LISTED_PARTS", listed)
+    table = feeds.PartTable(spark, f"file://{tmp_path}/t", "k long, v long", "k % 4")
+    merge = lambda old, new: replace_by_key(old, new, ["k"])
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v long")
+    table.upsert(rows(*((i, 0) for i in range(8)), (None, 0)), merge)
+    files_of = lambda: {p.name: sorted(x.name for x in p.iterdir()) for p in (tmp_path / "t").glob("part=*")}
+    before = files_of()
+    seen = []
+    table.upsert(rows((1, 1), (6, 1), (None, 1)), lambda old, new: seen.append(old) or merge(old, new))
+    assert sorted(map(tuple, table.read().collect()), key=repr) == sorted([(0, 0), (1, 1), (2, 0), (3, 0), (4, 0), (5, 0), (6, 1), (7, 0), (None, 1)], key=repr)
+    same = {n for n, f in files_of().items() if before[n] == f}
+    assert same == {"part=0", "part=3"}
+    if listed > 1:
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [(part#" in plan and "Join" not in plan
+
+
 def test_empty_result_leaves_the_table(spark, tmp_path):
     path = f"file://{tmp_path}/r"
     assert files.replace_table(spark.range(3).toDF("x"), path)

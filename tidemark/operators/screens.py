@@ -59,6 +59,26 @@ def cases(candidates: DataFrame, z_columns: list[str], notes: DataFrame | None =
     return out.join(first, "_top", "left").drop("_top")
 
 
+def case_points(candidates: DataFrame, z_columns: list[str], notes: DataFrame | None = None) -> DataFrame:
+    """The arguments of every candidate's case, a row each: side, place (bull ones by falling z, risks by rising z, ties by
+    factor), factor and z. ``notes`` (factor and other columns) holds what was retrieved for a factor, as by ``text.top_k``
+    with k = 1; its columns are null where nothing was found. There is one row per factor, so it is broadcast."""
+    long = candidates.unpivot("ticker", z_columns, "factor", "z").withColumn("side", case_side(F.col("z"))).filter("side IS NOT NULL")
+    strongest = Window.partitionBy("ticker", "side").orderBy(F.desc(F.abs("z")), "factor")
+    out = long.select("ticker", "side", F.row_number().over(strongest).alias("place"), "factor", "z")
+    if notes is None:
+        return out
+    found = [c for c in notes.columns if c != "factor"]
+    one = notes.filter(F.col("factor").isin(*z_columns)).groupBy("factor").agg(F.min(F.struct(*found)).alias("_n"))
+    return out.join(F.broadcast(one), "factor", "left").select(*out.columns, *(F.col(f"_n.{c}").alias(c) for c in found))
+
+
+def preview(text: Column, most: int = 240) -> Column:
+    """The start of a note's text in one line, without front matter."""
+    bare = F.when(text.startswith("---"), F.element_at(F.split(text, "---", 3), -1)).otherwise(text)
+    return F.substring(F.trim(F.regexp_replace(bare, r"\s+", " ")), 1, most)
+
+
 #: Oscillation from which a name counts as a swinger.
 SWINGER = 0.7
 

@@ -8,8 +8,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tidemark.functions.scalars import company_key, content_id
 from tidemark.storage import stored
@@ -51,26 +53,29 @@ def tagged(notes: DataFrame, wanted: list[str], tags: str = "tags") -> DataFrame
     return notes.filter(F.arrays_overlap(tags, F.array(*map(F.lit, wanted))))
 
 
-def hashing_embedder(texts: pd.Series, dimension: int = DIMENSION) -> list[np.ndarray]:
-    """A deterministic bag-of-words embedding, for tests and as the stand-in of a model: unit length, or zero."""
-    out = []
-    for t in texts:
-        v = np.zeros(dimension, np.float32)
-        for w in (t or "").lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            v[h % dimension] += 1 if h >> 63 else -1
-        n = np.linalg.norm(v)
-        out.append(v / n if n else v)
-    return out
+def hashing_model(dimension: int = DIMENSION) -> Callable[[np.ndarray], np.ndarray]:
+    """A deterministic bag-of-words embedding, for tests and as the stand-in of a model: unit length, or zero. The first
+    eight hex digits of a word's MD5 give its place, the ninth its sign."""
 
+    def predict(texts: np.ndarray) -> np.ndarray:
+        out, known = np.zeros((len(texts), dimension), np.float32), {}
+        for row, t in zip(out, texts, strict=True):
+            for w in (t or "").lower().split():
+                if w not in known:
+                    h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+                    known[w] = int(h[:8], 16) % dimension, 1 if h[8] < "8" else -1
+                row[known[w][0]] += known[w][1]
+        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norms, out=out, where=norms > 0)
 
-def embed(rows: DataFrame, text: str = "chunk", embedder: Callable[[pd.Series], list[np.ndarray]] = hashing_embedder) -> DataFrame:
-    @F.pandas_udf("array<float>")
-    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series(embedder(batch))
+    return predict
 
-    return rows.withColumn("embedding", each(F.col(text)))
+
+def embed(rows: DataFrame, text: str = "chunk", model: Callable[[], Callable[[np.ndarray], np.ndarray]] = hashing_model, batch: int = 512) -> DataFrame:
+    """``rows`` with an embedding of each text (null: empty). ``model()`` loads the model, once per Python worker, and gives
+    a function from an array of at most ``batch`` texts to one row of numbers each."""
+    each = predict_batch_udf(model, return_type=ArrayType(FloatType()), batch_size=batch)
+    return rows.withColumn("embedding", each(F.coalesce(text, F.lit(""))))
 
 
 def cosine(a: Column, b: Column) -> Column:

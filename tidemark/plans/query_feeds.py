@@ -115,16 +115,42 @@ def s11_rss_items(f: Feeds) -> DataFrame:
     return documents.feed_items(f.benchmark.select(F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("xml")))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
- '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM {pages}""")
+_ENTITIES = sorted(documents.ENTITIES | documents.BARE_ENTITIES)
+_CHARACTERS = ", ".join("('{}', '{}', {})".format(n, (documents.ENTITIES | documents.BARE_ENTITIES)[n].replace("'", "''"), k) for k, n in enumerate(_ENTITIES))
+
+_WHITE = "[\\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
+@query(r"""WITH v(name, c, k) AS (VALUES %s), bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs') AS t FROM {pages}),
+p AS (SELECT page_id, unnest(string_split(t, '&')) AS piece, generate_subscripts(string_split(t, '&'), 1) AS place FROM bare),
+r AS (SELECT *, regexp_extract(piece, '^(#[0-9]+;|[A-Za-z0-9]+;|%s)', 1) AS name FROM p),
+j AS (SELECT page_id, place, CASE WHEN place = 1 THEN piece WHEN name LIKE '#%%' THEN concat(chr(CAST(regexp_extract(name, '[0-9]+') AS INT)), substr(piece, length(name) + 1)) WHEN c IS NOT NULL THEN concat(c, substr(piece, length(name) + 1)) ELSE concat('&', piece) END AS s FROM r LEFT JOIN v USING (name))
+SELECT page_id, trim(regexp_replace(string_agg(s, '' ORDER BY place), '%s', ' ', 'g')) AS body FROM j GROUP BY 1""" % (_CHARACTERS, "|".join(documents.BARE_ENTITIES), _WHITE))
 def s12_html_text(f: Feeds) -> DataFrame:
     return f.pages.select("page_id", documents.html_text(F.col("html")).alias("body"))
 
 
-@query()
+@query(f"SELECT o_orderkey, trim(regexp_replace(concat('A ', c, 'x & B', chr(CAST(160 + o_orderkey % 40000 AS INT)), '.'), '{_WHITE}', ' ', 'g')) AS body FROM {{orders}} JOIN (VALUES {_CHARACTERS}) v(name, c, k) ON k = o_orderkey % {len(_ENTITIES)}")
+def s12_entities(f: Feeds) -> DataFrame:
+    """Every named reference in turn, an ampersand that is none, and a numbered reference."""
+    names = F.split(F.lit(" ".join(_ENTITIES)), " ")
+    page = F.concat(F.lit("<p>A &"), F.element_at(names, (F.col("o_orderkey") % len(_ENTITIES) + 1).cast("int")), F.lit("x & B&#"), (F.col("o_orderkey") % 40000 + 160).cast("string"), F.lit(";.</p>"))
+    return f.orders.select("o_orderkey", documents.html_text(page).alias("body"))
+
+
+@query(r"""WITH n AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, doc_id % 7 = 3 AS bad, concat('notes/', CASE WHEN doc_id % 3 = 0 THEN 'Tier-2/' ELSE '' END, CAST(doc_id AS VARCHAR)) AS path FROM {documents})
+SELECT path, CASE WHEN NOT bad THEN concat('note ', doc_id) END AS title, CASE WHEN NOT bad AND doc_id % 4 = 0 THEN 1 WHEN NOT bad AND doc_id % 4 = 1 THEN 4 WHEN doc_id % 3 = 0 THEN 2 END AS tier,
+CASE WHEN bad THEN '' ELSE array_to_string(list_sort(list_distinct([x for x in [lower(trim(lang)), lower(trim(source)), 'shared'] if x <> ''])), ',') END AS tags, CASE WHEN bad THEN 0 ELSE 2 END AS n_factors,
+CAST(CASE WHEN bad THEN length(t) ELSE length(concat('note ', doc_id)) + 2 + 8 + 2 + length(regexp_replace(t, '^\s+', '')) END AS INT) AS body_chars FROM n""")
 def s13_note_front_matter(f: Feeds) -> DataFrame:
-    head = F.concat(F.lit("---\ntitle: note "), F.col("doc_id").cast("string"), F.lit("\ntags: ["), "lang", F.lit(", "), "source", F.lit("]\nretrieval_priority: "), F.when(F.col("doc_id") % 2 == 0, "primary").otherwise("low"), F.lit("\nfactors:\n  - mom\n  - value\ntype: research-finding\n---\n"))
-    notes = f.documents.select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string")).alias("path"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+    """A note per document; of one in seven the front matter isn't well formed."""
+    key = F.col("doc_id")
+    first = F.when(key % 7 == 3, F.concat(F.lit("title: note: "), key.cast("string"))).otherwise(F.concat(F.lit("title: note "), key.cast("string")))
+    priority = F.when(key % 4 == 0, "Critical").when(key % 4 == 1, "low").otherwise("none")
+    of = lambda c: F.coalesce(c, F.lit(""))
+    head = F.concat(F.lit("---\n"), first, F.lit("\naliases: [one, \"two\"]\ntags: ["), of("lang"), F.lit(", "), of("source"), F.lit("]\ndomains: Shared\nretrieval_priority: "), priority, F.lit("\nfactors:\n  - mom\n  - value\ntype: research-finding\n---\n"))
+    path = F.concat(F.lit("notes/"), F.when(key % 3 == 0, "Tier-2/").otherwise(""), key.cast("string"))
+    notes = f.documents.select(path.alias("path"), F.concat(head, of("text")).alias("text"))
     return documents.parse_notes(notes).select("path", "title", "tier", F.array_join("tags", ",").alias("tags"), F.size("factors").alias("n_factors"), F.length("body").alias("body_chars"))
 
 

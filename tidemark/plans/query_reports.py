@@ -165,10 +165,18 @@ def r2_tagged(f: Feeds) -> DataFrame:
     return text.tagged(f.documents.withColumn("tags", F.array("lang", "source")), ["en", "de", "src3"]).select("doc_id")
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, h AS (SELECT doc_id, idx, md5(lower(unnest(l))) AS h FROM (SELECT doc_id, CAST(s / 350 AS INT) AS idx, w[s + 1 : s + 400] AS l FROM c) x),
+v AS (SELECT doc_id, idx, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) % 384 AS place, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS x FROM h GROUP BY 1, 2, 3)
+SELECT doc_id AS path, idx, 384 AS dimension, CAST(max(abs(x)) > 0 AS INT)::DOUBLE AS norm, CAST(count(*) FILTER (WHERE x > 0) AS INT) AS positive, CAST(count(*) FILTER (WHERE x < 0) AS INT) AS negative,
+CAST(CASE WHEN max(abs(x)) > 0 THEN arg_max(place, 1000 * abs(x) - place) ELSE 0 END AS INT) AS strongest FROM v GROUP BY 1, 2""")
 def r3_embeddings(f: Feeds) -> DataFrame:
     out = text.embed(text.chunks(f.documents.select(F.col("doc_id").alias("path"), "text")))
-    return out.select("path", "idx", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"))
+    size = F.transform("embedding", F.abs)
+    some = lambda keep: F.size(F.filter("embedding", keep))
+    return out.select(
+        "path", "idx", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("norm"),
+        some(lambda x: x > 0).alias("positive"), some(lambda x: x < 0).alias("negative"), (F.array_position(size, F.array_max(size)) - 1).cast("int").alias("strongest"),
+    )
 
 
 _TOPK = "s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS sim FROM {embeddings} q, {embeddings} e WHERE q.vec_id % 50 = 0)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, calibration, eventstudy, panel, portfolio, screens, stats, xsection
+from tidemark.operators import asof, calibration, eventstudy, panel, portfolio, screens, stats, text, xsection
 from tidemark.operators import events as ev
 from tidemark.operators.upsert import replace_by_key
 from tidemark.plans import backtest, backtest_sql
@@ -618,10 +618,30 @@ def d2_t1_live_composite(f: Feeds) -> DataFrame:
     return rounded(screens.ranked_with_forced(_live(f), "composite", 30, forced).select("ticker", "composite", F.col("rank").cast("long").alias("rank"), "forced"), 4)
 
 
-@query()
+LIVE_FACTORS = [f"z_{c}" for cols in LIVE.values() for c in cols]
+_LIVE_POINTS = f"l AS (SELECT ticker, composite, unnest([{', '.join(map(repr, LIVE_FACTORS))}]) AS factor, unnest([{', '.join(LIVE_FACTORS)}]) AS z FROM live)"
+_LIVE_TITLES = f"t AS (SELECT ([{', '.join(map(repr, LIVE_FACTORS))}])[p_partkey % 5 + 1] AS top, min(p_name) AS note FROM {{part}} GROUP BY 1)"
+
+
+@query(f"""WITH {_LIVE}, {_LIVE_POINTS}, {_LIVE_TITLES},
+g AS (SELECT ticker, composite, coalesce(string_agg(factor, ',' ORDER BY z DESC, factor) FILTER (WHERE z >= 0.5), '') AS bull, coalesce(string_agg(factor, ',' ORDER BY z, factor) FILTER (WHERE z <= -0.5), '') AS risk, first(factor ORDER BY abs(z) DESC NULLS LAST, factor DESC) AS top FROM l GROUP BY 1, 2)
+SELECT ticker, round(composite, 6) AS composite, bull, risk, CASE WHEN composite >= 1.0 THEN 5 WHEN composite >= 0.6 THEN 4 WHEN composite >= 0.2 THEN 3 WHEN composite >= -0.2 THEN 2 ELSE 1 END AS conviction, note FROM g LEFT JOIN t USING (top)""")
 def d4_p11_cases(f: Feeds) -> DataFrame:
-    notes = f.part.select(F.concat(F.lit("z_"), F.element_at(F.array(*(F.lit(c) for cols in LIVE.values() for c in cols)), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("factor"), F.col("p_name").alias("title"))
-    return rounded(screens.cases(_live(f), [f"z_{c}" for cols in LIVE.values() for c in cols], notes))
+    factor = F.element_at(F.array(*map(F.lit, LIVE_FACTORS)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return rounded(screens.cases(_live(f), LIVE_FACTORS, f.part.select(factor.alias("factor"), F.col("p_name").alias("title"))))
+
+
+@query(f"""WITH {_LIVE}, {_LIVE_POINTS},
+s AS (SELECT q.vec_id AS q, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) AS sim FROM {{embeddings}} q, {{embeddings}} e WHERE q.vec_id < {len(LIVE_FACTORS)} AND e.vec_id >= {len(LIVE_FACTORS)}),
+n AS (SELECT ([{', '.join(map(repr, LIVE_FACTORS))}])[q + 1] AS factor, id AS note, round(sim, 5) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) = 1)
+SELECT ticker, side, CAST(row_number() OVER (PARTITION BY ticker, side ORDER BY abs(z) DESC, factor) AS INT) AS place, factor, round(z, 5) AS z, note, similarity FROM (SELECT *, CASE WHEN z >= 0.5 THEN 'bull' WHEN z <= -0.5 THEN 'risk' END AS side FROM l) p LEFT JOIN n USING (factor) WHERE side IS NOT NULL""")
+def d4_case_points(f: Feeds) -> DataFrame:
+    """Each argument with the note that is nearest to its factor's question; the first vectors stand for the questions."""
+    vectors = f.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = F.col("id") < len(LIVE_FACTORS)
+    hits = text.top_k(vectors.filter(~asked), vectors.filter(asked), 1)
+    factor = F.element_at(F.array(*map(F.lit, LIVE_FACTORS)), (F.col("query_id") + 1).cast("int"))
+    return rounded(screens.case_points(_live(f), LIVE_FACTORS, hits.select(factor.alias("factor"), F.col("id").alias("note"), "similarity")), 5)
 
 
 @query("SELECT ticker, CAST(min(priority) AS INT) AS priority FROM (SELECT ticker, 0 AS priority FROM {stakes} UNION ALL SELECT n_name, 1 FROM {nation} UNION ALL SELECT ticker, 2 FROM {sectors}) u GROUP BY 1")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import html
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,22 +16,81 @@ from tidemark.functions.scalars import content_id, day_of
 NO_SYMBOL = ("", "--", "N/A", "TICKER")
 
 
-def html_text(source: Column, full_entities: bool = False) -> Column:
-    """Text of an HTML page: scripts and styles out, tags to spaces, entities resolved, white space squeezed."""
-    bare = F.regexp_replace(F.coalesce(source, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    if full_entities:
+#: The public table of named references: those that end in a semicolon, common ones first, and the old ones that need
+#: none, longest first.
+COMMON = ("amp;", "nbsp;", "lt;", "gt;", "quot;")
+ENTITIES = {n: html5[n] for n in (*COMMON, *sorted(html5)) if n.endswith(";")}
+BARE_ENTITIES = {n: html5[n] for n in sorted(html5, key=lambda n: (-len(n), n)) if not n.endswith(";")}
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Characters beyond ASCII's that count as white space.
+_WIDE_SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_NO_CHARACTER = "\ufffd"
+
+
+def _map_literal(table: dict[str, str]) -> Column:
+    """A map that the optimizer folds into one literal."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def _of_old_code_page(code: int) -> str:
+    try:
+        return bytes([code]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(code)
+
+
+def _numbered(reference: Column) -> Column:
+    """The character of ``#123`` or ``#x1F``: codes 128 to 159 are read in the old Western code page, codes that are no
+    characters give the replacement character, control codes nothing."""
+    hexadecimal = F.regexp_extract(reference, r"^#[xX]0*([0-9a-fA-F]*)", 1)
+    decimal = F.regexp_extract(reference, r"^#0*([0-9]*)", 1)
+    beyond = F.lit(0x110000)
+    code = F.when(reference.rlike("^#[xX]"), F.when(F.length(hexadecimal) > 6, beyond).otherwise(F.conv(F.concat(F.lit("0"), hexadecimal), 16, 10).cast("int")))
+    code = code.otherwise(F.when(F.length(decimal) > 7, beyond).otherwise(F.concat(F.lit("0"), decimal).cast("int")))
+    western = F.create_map(*(F.lit(x) for c in range(0x80, 0xA0) for x in (c, _of_old_code_page(c))))
+
+    def character(c: Column) -> Column:
+        out = F.when((c == 0) | c.between(0xD800, 0xDFFF) | (c > 0x10FFFF), _NO_CHARACTER).when(c == 0x0D, "\r").when(c.between(0x80, 0x9F), F.try_element_at(western, c))
+        out = out.when(c.between(1, 8) | (c == 0x0B) | c.between(0x0E, 0x1F) | (c == 0x7F) | c.between(0xFDD0, 0xFDEF) | (c.bitwiseAND(0xFFFE) == 0xFFFE), "")
+        out = out.when(c == 0xFEFF, "\ufeff")  # alone, a decoder takes it for a byte-order mark
+        return out.otherwise(F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32"))
+
+    return F.transform(F.array(code), character)[0]
 
-        @F.pandas_udf("string")
-        def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield batch.map(html.unescape, na_action="ignore")
 
-        bare = unescape(bare)
-    else:
-        for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-            bare = F.regexp_replace(bare, entity, char)
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+def unescaped(source: Column) -> Column:
+    """Character references resolved in one pass, as HTML 5 reads them: the longest known name counts, with or without its
+    semicolon, and what is no reference stays."""
+    named, bare = _map_literal(ENTITIES), _map_literal(BARE_ENTITIES)
+    any_bare = f"^({'|'.join(BARE_ENTITIES)})"
+
+    def split(piece: Column, place: Column) -> Column:
+        reference = F.when(place > 0, F.regexp_extract(piece, _REFERENCE, 1)).otherwise("")
+        return F.struct(piece.alias("piece"), reference.alias("reference"), (place == 0).alias("first"))
+
+    def named_or_bare(x: Column) -> Column:
+        """The characters that a reference by name stands for, and how much of the piece they replace; null where it's none."""
+        reference = x["reference"]
+        long = F.when(reference.endswith(";") & ~reference.startswith("#"), F.try_element_at(named, reference))
+        short = F.when((reference != "") & ~reference.startswith("#"), F.regexp_extract(reference, any_bare, 1)).otherwise("")
+        return x.withField("long", long).withField("short", short)
+
+    def resolved(x: Column) -> Column:
+        piece, reference, short = x["piece"], x["reference"], x["short"]
+        after = lambda part: F.substring(piece, F.length(part) + 1, F.length(piece))
+        out = F.when(x["first"], piece).when(reference == "", F.concat(F.lit("&"), piece)).when(reference.startswith("#"), F.concat(_numbered(reference), after(reference)))
+        out = out.when(x["long"].isNotNull(), F.concat(x["long"], after(reference))).when(short != "", F.concat(F.try_element_at(bare, short), after(short)))
+        return out.otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.transform(F.transform(F.transform(F.split(source, "&"), split), named_or_bare), resolved)
+    return F.array_join(pieces, "")
+
+
+def html_text(source: Column) -> Column:
+    """Text of an HTML page: scripts and styles out, tags to spaces, references resolved, white space squeezed."""
+    bare = F.regexp_replace(F.coalesce(source, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    bare = unescaped(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))
+    return F.trim(F.regexp_replace(F.translate(bare, _WIDE_SPACES, " " * len(_WIDE_SPACES)), r"\s+", " "))
 
 
 def table_cells(source: Column) -> Column:
@@ -80,9 +140,11 @@ def links_of(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(anchors).alias("place", "href"))
 
 
-NOTE = "struct<tags:array<string>,title:string,tier:string,summary:string,factors:array<string>,type:string,confidence:string,verdict:string,body:string>"
-# Retrieval tiers.
-TIERS = {"primary": "1", "high": "1", "secondary": "2", "medium": "2", "low": "3"}
+NOTE = "struct<tags:array<string>,title:string,tier:int,summary:string,factors:array<string>,type:string,confidence:string,verdict:string,body:string>"
+# Retrieval tiers, the marks of front matter, and of a tier in a path.
+TIERS = {"critical": 1, "high": 2, "medium": 3, "normal": 3, "low": 4, "archive": 5}
+FRONT_MATTER = re.compile(r"\A---\r?\n(.*?)\r?\n---\r?\n?", re.DOTALL)
+PATH_TIER = re.compile(r"tier[_-]?(\d)", re.IGNORECASE)
 
 
 def _list(value) -> list[str]:
@@ -90,38 +152,64 @@ def _list(value) -> list[str]:
     return [str(p).strip().lower() for p in parts if str(p).strip()]
 
 
+def _scalar(text: str) -> str | list[str]:
+    """A flow list, a quoted or a plain scalar; ValueError where it isn't well formed."""
+    if text.startswith("["):
+        if not text.endswith("]"):
+            raise ValueError(text)
+        return [x for v in text[1:-1].split(",") if v.strip() and isinstance(x := _scalar(v.strip()), str)]
+    if text[:1] in ("'", '"'):
+        if len(text) < 2 or text[-1] != text[0]:
+            raise ValueError(text)
+        return text[1:-1]
+    if ": " in text or text.endswith(":") or text[:1] in tuple("@`%&"):
+        raise ValueError(text)
+    return text.split(" #", 1)[0].rstrip()
+
+
 def read_front_matter(block: str) -> dict:
-    """The subset of YAML that front matter uses: ``key: value``, ``[a, b]`` and dashed lists. Bad lines are skipped."""
+    """The subset of YAML that front matter uses: ``key: value``, ``[a, b]`` and dashed lists. A block that isn't well
+    formed counts as empty, so that a filter by tags leaves its note out."""
     out, key = {}, None
-    for line in block.splitlines():
-        bare = line.strip()
-        if bare.startswith("- ") and isinstance(out.get(key), list):
-            out[key].append(bare[2:].strip().strip("'\""))
-        elif ":" in line and not line.startswith((" ", "\t", "#")):
-            key, value = (x.strip() for x in line.split(":", 1))
-            out[key] = [v.strip().strip("'\"") for v in value[1:-1].split(",") if v.strip()] if value.startswith("[") and value.endswith("]") else (value.strip("'\"") if value else [])
+    try:
+        for line in block.splitlines():
+            bare = line.strip()
+            if not bare or bare.startswith("#"):
+                continue
+            if bare.startswith("- ") and isinstance(out.get(key), list):
+                out[key].append(_scalar(bare[2:].strip()))
+            elif line[0] not in " \t" and (m := re.match(r"([^:]+):(?:\s+(.*))?$", line)):
+                key, value = m[1].strip(), (m[2] or "").strip()
+                out[key] = _scalar(value) if value else []
+            else:
+                raise ValueError(line)
+    except ValueError:
+        return {}
     return out
 
 
 def _note(text: str | None, path: str | None) -> dict:
-    text = text or ""
-    meta, body = {}, text
-    if text.startswith("---\n") and "\n---" in text[4:]:
-        block, _, body = text[4:].partition("\n---")
-        meta, body = read_front_matter(block), body.lstrip("-").lstrip("\n")
-    get = lambda k: (v := meta.get(k)) and str(v) if not isinstance(meta.get(k), list) else None
-    tier = TIERS.get(str(meta.get("retrieval_priority", "")).lower()) or ("1" if "/core/" in (path or "") else "3")
+    meta, body = {}, text or ""
+    if held := FRONT_MATTER.match(body):
+        meta, body = read_front_matter(held[1]), body[held.end() :]
+    get = lambda k: meta[k].strip() if isinstance(meta.get(k), str) else None
+    in_path = PATH_TIER.search(path or "")
+    tier = TIERS.get((get("retrieval_priority") or "").lower()) or (int(in_path[1]) if in_path else None)
+    aliases = ", ".join(meta["aliases"]) if isinstance(meta.get("aliases"), list) else ""
+    lifted = "\n\n".join(filter(None, (get("title"), aliases, get("summary"))))
     tags = sorted({*_list(meta.get("tags")), *_list(meta.get("domains"))})
-    return {"tags": tags, "title": get("title"), "tier": tier, "summary": get("summary"), "factors": _list(meta.get("factors")), "type": get("type"), "confidence": get("confidence"), "verdict": get("current_verdict"), "body": "\n".join(filter(None, (get("title"), get("summary"), body)))}
+    return {"tags": tags, "title": get("title"), "tier": tier, "summary": get("summary"), "factors": _list(meta.get("factors")), "type": get("type"), "confidence": get("confidence"), "verdict": get("current_verdict"), "body": f"{lifted}\n\n{body.lstrip()}" if lifted else body}
 
 
 def parse_notes(notes: DataFrame) -> DataFrame:
-    """``notes`` (path, text) and the fields of their front matter; a note without one has empty tags."""
+    """``notes`` (path, text) and the fields of their front matter; a note without one, or with a bad one, has empty tags.
+    Title, aliases and summary go before the body; the tier is that of the priority, else the one that the path names."""
 
     @F.pandas_udf(NOTE)
     def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for text, path in batches:
-            yield pd.DataFrame([_note(t, p) for t, p in zip(text, path, strict=True)], columns=["tags", "title", "tier", "summary", "factors", "type", "confidence", "verdict", "body"])
+            rows = pd.DataFrame([_note(t, p) for t, p in zip(text, path, strict=True)], columns=["tags", "title", "tier", "summary", "factors", "type", "confidence", "verdict", "body"])
+            yield rows.astype({"tier": "Int32"})
 
     return notes.withColumn("n", parse("text", "path")).select("path", "n.*")
 

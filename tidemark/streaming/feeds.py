@@ -14,6 +14,10 @@ from tidemark.sources.files import parse_short_volume
 from tidemark.storage import dropped, exists, stored
 
 
+#: Partitions of a batch that are named in the filter of the table's scan.
+LISTED_PARTS = 2_000
+
+
 class PartTable:
     """A Parquet table in partitions by the SQL expression ``part``. An upsert reads and rewrites the partitions that new
     rows fall into, and no other; it is written beside them first, so a failed batch is simply run again."""
@@ -28,10 +32,21 @@ class PartTable:
     def read(self) -> DataFrame:
         return self._parts().drop("part")
 
+    def _touched(self, parts: DataFrame) -> DataFrame:
+        """The rows of ``parts`` (part; null is the partition of rows without one). Up to ``LISTED_PARTS`` of them are named
+        in the filter, so that no other partition is listed or read; more are joined."""
+        named = [r["part"] for r in parts.limit(LISTED_PARTS + 1).collect()]
+        if len(named) > LISTED_PARTS:
+            wanted = parts.withColumnRenamed("part", "_part")
+            return self._parts().join(wanted, F.col("part").eqNullSafe(F.col("_part")), "left_semi")
+        known = [p for p in named if p is not None]
+        of_named = F.col("part").isin(*known) if known else F.lit(False)
+        return self._parts().filter(of_named | F.col("part").isNull() if None in named else of_named)
+
     def upsert(self, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """``merge`` gets the rows of the touched partitions and the new ones, and returns what the partitions hold now."""
         touched = new.select(F.expr(self.part).cast("string").alias("part")).distinct()
-        old = self._parts().join(touched, "part", "left_semi").drop("part")
+        old = self._touched(touched).drop("part")
         columns = self.read().columns
         now = stored(merge(old, new).select(*columns).withColumn("part", F.expr(self.part).cast("string")), "upsert")
         now.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
