@@ -17,7 +17,7 @@ SAMPLE = [
     "v2_market_models", "v3_overlap_collapse", "c4_w11_trend", "c4_trend_over_all", "s5_insider_archives", "t2_swing_top", "u5_replace_by_key", "a6_upper_median_lag", "a14_j2_freshness", "r1_chunks", "r4_best_per_note",
     "r6_mentions", "d2_t1_live_composite", "g2_step_up", "g1_g3_gate", "w13_wilder_rsi", "v6_daily_path", "v7_price_reaction", "q1_ticker_context", "p12_metric_bands", "p2b_p2c_sign_dialects", "p6_p7_name_forms", "x13_cap_weighted_proxy",
     "a12_null_counts", "a12_ranked_beyond", "s3_sector_file", "s9_filing_index", "s17_missing_sessions", "k1_k2_snapshot_and_replace", "st1_short_volume_stream", "st2_disclosure_stream", "v5_event_study", "j10_nearest_prior", "j8_next_bar",
-    "s12_entities", "s12_html_text", "s13_note_front_matter", "r3_embeddings", "d4_case_points",
+    "s12_entities", "s12_html_text", "s13_note_front_matter", "r3_embeddings", "d4_case_points", "d4_p11_cases",
 ]
 
 

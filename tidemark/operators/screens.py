@@ -46,12 +46,16 @@ def first_of_lists(*lists: DataFrame, key: str = "ticker") -> DataFrame:
     return both.groupBy(key).agg(F.min("priority").alias("priority"))
 
 
+#: Digits to which two scores are compared: beyond them, the order of an engine's additions shows.
+TIE = 9
+
+
 def cases(candidates: DataFrame, z_columns: list[str], notes: DataFrame | None = None) -> DataFrame:
     """Per candidate: bull factors by falling z, risk factors by rising z, and conviction from the composite. With
     ``notes`` (factor, title) also the first note, by title, of the factor that stands out most."""
     long = candidates.unpivot(["ticker", "composite"], z_columns, "factor", "z").withColumn("side", case_side(F.col("z")))
-    pick = lambda side, sign: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct((sign * F.col("z")).alias("k"), "factor")))), lambda x: x["factor"]), ",")
-    out = long.groupBy("ticker", "composite").agg(pick("bull", -1).alias("bull"), pick("risk", 1).alias("risk"), F.max_by("factor", F.struct(F.abs("z"), "factor")).alias("_top"))
+    pick = lambda side, sign: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct(F.round(sign * F.col("z"), TIE).alias("k"), "factor")))), lambda x: x["factor"]), ",")
+    out = long.groupBy("ticker", "composite").agg(pick("bull", -1).alias("bull"), pick("risk", 1).alias("risk"), F.max_by("factor", F.struct(F.round(F.abs("z"), TIE), "factor")).alias("_top"))
     out = out.withColumn("conviction", conviction(F.col("composite")))
     if notes is None:
         return out.drop("_top")
@@ -60,11 +64,11 @@ def cases(candidates: DataFrame, z_columns: list[str], notes: DataFrame | None =
 
 
 def case_points(candidates: DataFrame, z_columns: list[str], notes: DataFrame | None = None) -> DataFrame:
-    """The arguments of every candidate's case, a row each: side, place (bull ones by falling z, risks by rising z, ties by
-    factor), factor and z. ``notes`` (factor and other columns) holds what was retrieved for a factor, as by ``text.top_k``
+    """The arguments of every candidate's case, a row each: side, place (bull ones by falling z, risks by rising z, ties to
+    ``TIE`` digits by factor), factor and z. ``notes`` (factor and other columns) holds what was retrieved for a factor, as by ``text.top_k``
     with k = 1; its columns are null where nothing was found. There is one row per factor, so it is broadcast."""
     long = candidates.unpivot("ticker", z_columns, "factor", "z").withColumn("side", case_side(F.col("z"))).filter("side IS NOT NULL")
-    strongest = Window.partitionBy("ticker", "side").orderBy(F.desc(F.abs("z")), "factor")
+    strongest = Window.partitionBy("ticker", "side").orderBy(F.desc(F.round(F.abs("z"), TIE)), "factor")
     out = long.select("ticker", "side", F.row_number().over(strongest).alias("place"), "factor", "z")
     if notes is None:
         return out

@@ -624,7 +624,7 @@ _LIVE_TITLES = f"t AS (SELECT ([{', '.join(map(repr, LIVE_FACTORS))}])[p_partkey
 
 
 @query(f"""WITH {_LIVE}, {_LIVE_POINTS}, {_LIVE_TITLES},
-g AS (SELECT ticker, composite, coalesce(string_agg(factor, ',' ORDER BY z DESC, factor) FILTER (WHERE z >= 0.5), '') AS bull, coalesce(string_agg(factor, ',' ORDER BY z, factor) FILTER (WHERE z <= -0.5), '') AS risk, first(factor ORDER BY abs(z) DESC NULLS LAST, factor DESC) AS top FROM l GROUP BY 1, 2)
+g AS (SELECT ticker, composite, coalesce(string_agg(factor, ',' ORDER BY round(z, 9) DESC, factor) FILTER (WHERE z >= 0.5), '') AS bull, coalesce(string_agg(factor, ',' ORDER BY round(z, 9), factor) FILTER (WHERE z <= -0.5), '') AS risk, first(factor ORDER BY round(abs(z), 9) DESC NULLS LAST, factor DESC) AS top FROM l GROUP BY 1, 2)
 SELECT ticker, round(composite, 6) AS composite, bull, risk, CASE WHEN composite >= 1.0 THEN 5 WHEN composite >= 0.6 THEN 4 WHEN composite >= 0.2 THEN 3 WHEN composite >= -0.2 THEN 2 ELSE 1 END AS conviction, note FROM g LEFT JOIN t USING (top)""")
 def d4_p11_cases(f: Feeds) -> DataFrame:
     factor = F.element_at(F.array(*map(F.lit, LIVE_FACTORS)), (F.col("p_partkey") % 5 + 1).cast("int"))
@@ -634,7 +634,7 @@ def d4_p11_cases(f: Feeds) -> DataFrame:
 @query(f"""WITH {_LIVE}, {_LIVE_POINTS},
 s AS (SELECT q.vec_id AS q, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) AS sim FROM {{embeddings}} q, {{embeddings}} e WHERE q.vec_id < {len(LIVE_FACTORS)} AND e.vec_id >= {len(LIVE_FACTORS)}),
 n AS (SELECT ([{', '.join(map(repr, LIVE_FACTORS))}])[q + 1] AS factor, id AS note, round(sim, 5) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) = 1)
-SELECT ticker, side, CAST(row_number() OVER (PARTITION BY ticker, side ORDER BY abs(z) DESC, factor) AS INT) AS place, factor, round(z, 5) AS z, note, similarity FROM (SELECT *, CASE WHEN z >= 0.5 THEN 'bull' WHEN z <= -0.5 THEN 'risk' END AS side FROM l) p LEFT JOIN n USING (factor) WHERE side IS NOT NULL""")
+SELECT ticker, side, CAST(row_number() OVER (PARTITION BY ticker, side ORDER BY round(abs(z), 9) DESC, factor) AS INT) AS place, factor, round(z, 5) AS z, note, similarity FROM (SELECT *, CASE WHEN z >= 0.5 THEN 'bull' WHEN z <= -0.5 THEN 'risk' END AS side FROM l) p LEFT JOIN n USING (factor) WHERE side IS NOT NULL""")
 def d4_case_points(f: Feeds) -> DataFrame:
     """Each argument with the note that is nearest to its factor's question; the first vectors stand for the questions."""
     vectors = f.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
