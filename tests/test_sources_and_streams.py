@@ -1,5 +1,6 @@
 import datetime as dt
 import html
+import json
 from html.entities import html5
 
 import numpy as np
@@ -163,6 +164,50 @@ def test_streams_are_idempotent(spark, tmp_path):
     assert table.read().count() == 3
 
 
+SCHEMA = "id long, member string, kind string, disclosure_date date, report_url string"
+
+
+def _amended(rows):
+    """By brute force: id to amended, over rows of one id each."""
+    age = lambda r: (r["disclosure_date"] or "1900-01-01", r["report_url"] is not None, r["report_url"] or "", r["id"])
+    return {r["id"]: True if any(age(o) > age(r) for o in rows if (o["member"], o["kind"]) == (r["member"], r["kind"])) else None for r in rows}
+
+
+def test_disclosures_by_state(spark, tmp_path):
+    """Late rows, known ids, null keys, dates and addresses, ties, and restarts from the checkpoint."""
+    rng = np.random.default_rng(5)
+    pick = lambda *values: values[rng.integers(len(values))]
+    rows = [{"id": i, "member": pick("a", "b", None), "kind": pick("x", None, "y"), "disclosure_date": pick(None, "1899-01-01", "2024-01-01", "2024-02-01"), "report_url": pick("u", "v", "ü", None)} for i in range(60)]
+    (tmp_path / "in").mkdir()
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    changes, known, before = f"file://{tmp_path}/changes", [], set()
+    for n, batch in enumerate((rows[20:40], rows[:45], rows[:45], [], rows[10:] * 2)):
+        (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps(r) + "\n" for r in batch))
+        q = feeds.stream_disclosures(spark, f"file://{tmp_path}/in", SCHEMA, changes, ["member", "kind"], f"file://{tmp_path}/cp")
+        q.awaitTermination()
+        known = list({r["id"]: r for r in known + batch}.values())
+        got = feeds.disclosures(spark, SCHEMA, changes).collect()
+        assert {r["id"]: r["amended"] for r in got} == _amended(known) and len(got) == len(known)
+        assert {r["id"]: (r["member"], r["report_url"]) for r in got} == {r["id"]: (r["member"], r["report_url"]) for r in known}
+        # A batch reads its new file alone, and writes changes beside the earlier ones.
+        assert q.lastProgress is None or all(str(tmp_path / "in") in s["description"] for s in q.lastProgress["sources"])
+        plan = q._jsq.explainInternal(False)
+        assert "TransformWithState" in plan and "/changes" not in plan
+        now = {p.name for p in (tmp_path / "changes").glob("part-*")}
+        assert before <= now
+        before = now
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+    ids = [r["id"] for r in spark.read.parquet(changes).collect()]
+    assert max(ids.count(i) for i in ids) == 2  # at first, and when a newer one came
+
+
+def test_disclosures_of_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("")
+    feeds.stream_disclosures(spark, f"file://{tmp_path}/in", SCHEMA, f"file://{tmp_path}/changes", ["member"], f"file://{tmp_path}/cp").awaitTermination()
+    assert feeds.disclosures(spark, SCHEMA, f"file://{tmp_path}/changes").count() == 0
+
+
 @pytest.mark.parametrize("listed", [2_000, 1])
 def test_an_upsert_reads_the_touched_partitions_alone(spark, tmp_path, monkeypatch, listed):
     monkeypatch.setattr(feeds, "LISTED_PARTS", listed)

@@ -278,16 +278,15 @@ def st1_short_volume_stream(f: Feeds) -> DataFrame:
     return table.read()
 
 
-_DISCLOSURE = "id long, member string, ticker string, transaction_date date, disclosure_date date, report_url string"
+_DISCLOSURE = "id long, member string, year int, disclosure_date date, report_url string"
 
 
-@query("""SELECT id, row_number() OVER (PARTITION BY member, ticker, transaction_date ORDER BY coalesce(disclosure_date, DATE '1900-01-01') DESC, report_url DESC) > 1 AS amended FROM (SELECT trade_id AS id, member, ticker, transaction_date, disclosure_date, concat(report_url, CAST(trade_id AS STRING)) AS report_url FROM {trades}) t""")
+@query("""SELECT id, row_number() OVER (PARTITION BY member, year(transaction_date) ORDER BY coalesce(disclosure_date, DATE '1900-01-01') DESC, report_url DESC) > 1 AS amended FROM (SELECT trade_id AS id, member, transaction_date, disclosure_date, concat(report_url, CAST(trade_id AS STRING)) AS report_url FROM {trades}) t""")
 def st2_disclosure_stream(f: Feeds) -> DataFrame:
+    """A report on a year replaces a member's earlier ones. Later disclosures come first; a restart from the checkpoint then meets all rows: late ones, and ids that it knows."""
     folder = _scratch(f)
-    rows = f.trades.select(F.col("trade_id").alias("id"), "member", "ticker", "transaction_date", "disclosure_date", F.concat("report_url", F.col("trade_id").cast("string")).alias("report_url"))
-    rows.write.json(f"{folder}/in")
-    key = ["member", "ticker", "transaction_date"]
-    table = feeds.PartTable(f.spark, f"{folder}/table", f"{_DISCLOSURE}, amended boolean", feeds.disclosure_part(key))
-    for run in range(2):
-        feeds.stream_disclosures(f.spark, f"{folder}/in", _DISCLOSURE, table, key, f"{folder}/cp{run}").awaitTermination()
-    return table.read().select("id", F.coalesce("amended", F.lit(False)).alias("amended"))
+    rows = f.trades.select(F.col("trade_id").alias("id"), "member", F.year("transaction_date").alias("year"), "disclosure_date", F.concat("report_url", F.col("trade_id").cast("string")).alias("report_url"))
+    for drop in (rows.filter("disclosure_date >= DATE '1998-05-01'"), rows):
+        drop.write.mode("append").json(f"{folder}/in")
+        feeds.stream_disclosures(f.spark, f"{folder}/in", _DISCLOSURE, f"{folder}/changes", ["member", "year"], f"{folder}/cp").awaitTermination()
+    return feeds.disclosures(f.spark, _DISCLOSURE, f"{folder}/changes").select("id", F.coalesce("amended", F.lit(False)).alias("amended"))

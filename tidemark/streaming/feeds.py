@@ -1,15 +1,18 @@
-"""Incremental feeds as Structured Streaming jobs. Each batch is an idempotent upsert into a partitioned Parquet table, so
-files that are seen twice, or batches that run again after a failure, leave the table as it was."""
+"""Incremental feeds as Structured Streaming jobs. Files that are seen twice, or batches that run again after a failure,
+leave the result as it was: short volume is upserted into a partitioned Parquet table, disclosures keep state of their own."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from tidemark.operators.upsert import insert_new, mark_amended, replace_by_key
+from tidemark.operators.upsert import replace_by_key
 from tidemark.sources.files import parse_short_volume
 from tidemark.storage import dropped, exists, stored
 
@@ -72,18 +75,68 @@ def stream_short_volume(spark: SparkSession, folder: str, table: PartTable, cove
     return _start(spark.readStream.text(folder).select(F.col("value").alias("line")), batch, checkpoint)
 
 
-def disclosure_part(natural_key: list[str], buckets: int = 64) -> str:
-    """Rows of one natural key fall into one partition, where their amendments are marked."""
-    return f"pmod(xxhash64({', '.join(natural_key)}), {buckets})"
-
-
-def stream_disclosures(spark: SparkSession, folder: str, schema: str, table: PartTable, natural_key: list[str], checkpoint: str) -> StreamingQuery:
-    """Disclosure files (JSON lines with an id): new ids are added for all time, then the amendments of their partitions
-    are marked anew. ``table`` is in partitions by ``disclosure_part``."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        fresh = stored(rows.join(table.read().select("id"), "id", "left_anti"), "fresh")
-        table.upsert(fresh, lambda old, new: mark_amended(insert_new(old, new)[0], natural_key))
-        dropped(fresh)
-
-    return _start(spark.readStream.schema(schema).json(folder), batch, checkpoint)
+class _Newest(StatefulProcessor):
+    """State of a natural key is its newest row. A row that isn't the newest goes out as amended, at once or when a newer
+    one comes; the newer of two has the later date, then the
+    larger address, then the larger id."""
+
+    def __init__(self, schema: StructType, disclosed: str, url: str):
+        self._schema = schema
+        self._at = [schema.names.index(c) for c in (disclosed, url, "id")]
+
+    def _age(self, row: tuple) -> tuple:
+        disclosed, url, id_ = (row[i] for i in self._at)
+        return disclosed or date(1900, 1, 1), url is not None, url or "", id_ is not None, id_ if id_ is not None else 0
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._newest = handle.getValueState("newest", self._schema)
+        self._change = Row(*self._schema.names, "amended")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:  # noqa: N802
+        held = best = self._newest.get()
+        for row in rows:
+            older = row
+            if best is None or self._age(row) > self._age(best):
+                older, best = best, row
+            if older is not None:
+                yield self._change(*older, True)
+        if best is not held:
+            self._newest.update(tuple(best))
+            yield self._change(*best, None)
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state on disk; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def stream_disclosures(spark: SparkSession, folder: str, schema: str, changes: str, natural_key: list[str], checkpoint: str, disclosed: str = "disclosure_date", url: str = "report_url") -> StreamingQuery:
+    """Disclosure files (JSON lines) as a log of changes in the Parquet folder ``changes``: a row when its id is new for all
+    time, with amended = true if a newer one of its natural key is known (nulls are equal), and again with amended = true
+    when a newer one comes. Newest is as in ``mark_amended``.
+
+    Ids seen and the newest row of each key are state in the checkpoint, so a batch reads its files and the state of their
+    keys, nothing of what was written; the log is written exactly once. An id is the hash of a row's content: all rows of
+    an id are equal, and a null id is an id, too. A new checkpoint knows nothing: it needs a new folder of changes and
+    reads all files again."""
+    rows = spark.readStream.schema(schema).json(folder).dropDuplicates(["id"])
+    out = StructType([*rows.schema.fields, StructField("amended", BooleanType())])
+    marked = rows.groupBy(*natural_key).transformWithState(_Newest(rows.schema, disclosed, url), out, "Append", "None")
+    with _rocksdb(spark):
+        return marked.writeStream.format("parquet").outputMode("append").option("path", changes).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def disclosures(spark: SparkSession, schema: str, changes: str) -> DataFrame:
+    """What the log says now: a row per id; what is amended once stays so."""
+    log = spark.read.schema(f"{schema}, amended boolean").parquet(changes)
+    return log.groupBy(*(c for c in log.columns if c != "amended")).agg(F.max("amended").alias("amended"))
