@@ -211,6 +211,24 @@ def test_top_k_of_many_queries_in_one_plan(spark):
         text.top_k(df, spark.createDataFrame([(1, [1.0, 2.0])], "id long, vec array<float>"), 2).count()
 
 
+def test_top_k_meets_every_cell_whatever_the_partitions(spark):
+    """Cells of both sides gather in the same task also where the engine doesn't put small partitions together."""
+    vec = np.random.default_rng(2).normal(size=(300, 5))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vec)], "id long, vec array<float>")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        rows = text.top_k(df, df.filter("id < 20"), 3, query_block=8, corpus_block=60).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    vec = vec.astype(np.float32).astype(np.float64)
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    assert sorted((r["query_id"], r["place"], r["id"]) for r in rows) == [(q, p + 1, int(i)) for q in range(20) for p, i in enumerate(np.argsort(-sims[q])[:3])]
+
+
 def test_window_events_beyond_the_broadcast(spark, monkeypatch):
     dates = spark.createDataFrame([(D(2024, m, 1),) for m in range(1, 13)], "as_of date")
     events = spark.createDataFrame([("x", "A", D(2023, 12, 1) + dt.timedelta(d), 1.0) for d in range(300)], "source string, ticker string, when date, signed_weight double")

@@ -97,7 +97,8 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, query_block: int = QUER
     held, asked = corpus.select("id", "vec").filter("vec IS NOT NULL"), queries.select("id", "vec").filter("vec IS NOT NULL")
     blocks = lambda df, size: max(1, -(-df.count() // size))
     q, c = blocks(asked, query_block), blocks(held, corpus_block)
-    deal = lambda df, n, m, own, other: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    # Both sides' numbers of blocks have one type: a cogroup hashes keys as they are, and an int is dealt otherwise than a long.
+    deal = lambda df, n, m, own, other: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     left, right = deal(asked, q, c, "qb", "cb").groupBy("qb", "cb"), deal(held, c, q, "cb", "qb").groupBy("qb", "cb")
     kinds = dict(asked.dtypes)["id"], dict(held.dtypes)["id"]
     found = left.cogroup(right).applyInArrow(_cell(k), f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
