@@ -5,6 +5,7 @@ import io
 import math
 import random
 import zipfile
+from decimal import ROUND_HALF_UP, Decimal
 from statistics import NormalDist
 
 import numpy as np
@@ -149,6 +150,22 @@ def test_trend_over_all_reviews(spark):
     assert {r["thesis_id"]: (pytest.approx(r["cumulative"]), r["rolling"] and pytest.approx(r["rolling"])) for r in got.collect()} == want
 
 
+def test_trend_over_all_is_exact_however_rows_are_dealt(spark):
+    """A mean of losses in steps of 0.04 may lie halfway between two rounded values; it goes up, as in exact arithmetic."""
+    rng = random.Random(5)
+    losses = [(rng.randint(1, 5) / 5 - rng.randint(0, 1)) ** 2 for _ in range(6000)]
+    rows = [("a", i, D(2010, 1, 1) + dt.timedelta(i), x) for i, x in enumerate(losses)]
+    df = spark.createDataFrame(rows, "author string, thesis_id int, reviewed_on date, loss double").repartition(8)
+    got = {r[0]: r[1] for r in calibration.trend_over_all(df).select("thesis_id", F.round("cumulative", 6)).collect()}
+    total, ties = 0, 0
+    for i, x in enumerate(losses):
+        total += round(25 * x)
+        exact = Decimal(total) / 25 / (i + 1)
+        ties += exact * 10**7 % 10 == 5
+        assert got[i] == float(exact.quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    assert ties > 2
+
+
 def test_replacing_by_key_is_the_same_in_any_order(spark):
     old = spark.createDataFrame([("A", 1, 1.0), ("B", 1, 2.0)], "k string, at int, v double")
     new = spark.createDataFrame([("A", 5, 3.0), ("A", 7, 1.0), ("A", 7, 0.5), ("C", 1, None)], "k string, at int, v double")

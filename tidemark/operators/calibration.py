@@ -9,6 +9,9 @@ from tidemark.operators.ranks import running_sums
 
 #: Reviews of a block of rolling means.
 BLOCK = 100_000
+#: What losses are added as: the digits that a double has, so a mean is the same however rows are dealt, and one that lies
+#: halfway between two rounded values goes up.
+_LOSS = "CAST(loss AS DECIMAL(20,15))"
 
 
 def graded(reviews: DataFrame, forecasts: DataFrame) -> DataFrame:
@@ -20,7 +23,7 @@ def graded(reviews: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 def brier(rows: DataFrame) -> DataFrame:
     """Per author, and over all (author null)."""
-    return rows.rollup("author").agg(F.count("*").alias("n"), F.avg("loss").alias("brier"))
+    return rows.rollup("author").agg(F.count("*").alias("n"), (F.sum(F.expr(_LOSS)) / F.count("loss")).cast("double").alias("brier"))
 
 
 def buckets(rows: DataFrame, least: int = 5, margin: float = 0.10) -> DataFrame:
@@ -36,8 +39,9 @@ def is_overconfident(bucket_rows: DataFrame) -> DataFrame:
 def trend(rows: DataFrame, by: str = "author", last: int = 10) -> DataFrame:
     """Cumulative and rolling Brier score of each author at each review."""
     w = Window.partitionBy(by).orderBy("reviewed_on", "thesis_id")
-    rolling = w.rowsBetween(-(last - 1), 0)
-    return rows.select(by, "thesis_id", "reviewed_on", F.avg("loss").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cumulative"), F.when(F.count("loss").over(rolling) == last, F.avg("loss").over(rolling)).alias("rolling"))
+    rolling, so_far = w.rowsBetween(-(last - 1), 0), w.rowsBetween(Window.unboundedPreceding, 0)
+    cumulative = (F.sum(F.expr(_LOSS)).over(so_far) / F.count("loss").over(so_far)).cast("double")
+    return rows.select(by, "thesis_id", "reviewed_on", cumulative.alias("cumulative"), F.when(F.count("loss").over(rolling) == last, F.avg("loss").over(rolling)).alias("rolling"))
 
 
 def trend_over_all(rows: DataFrame, last: int = 10, block: int = BLOCK) -> DataFrame:
@@ -48,12 +52,12 @@ def trend_over_all(rows: DataFrame, last: int = 10, block: int = BLOCK) -> DataF
     reviews that each begin with the last reviews of the block before.
     """
     held = rows.filter("reviewed_on IS NOT NULL").select("author", "thesis_id", "reviewed_on", "loss")
-    run = running_sums(held, ["reviewed_on", "thesis_id", "loss"], {"_sum": "loss"})
+    run = running_sums(held.withColumn("_exact", F.expr(_LOSS)), ["reviewed_on", "thesis_id", "loss"], {"_sum": "_exact"})
     own = F.floor((F.col("place") - 1) / block)
     spread = run.withColumn("_b", F.explode(F.array_distinct(F.array(own, F.floor((F.col("place") + last - 2) / block))))).withColumn("_own", F.col("_b") == own)
     back = Window.partitionBy("_b").orderBy("place").rowsBetween(-(last - 1), 0)
     spread = spread.withColumn("rolling", F.when(F.count("loss").over(back) == last, F.avg("loss").over(back))).filter("_own")
-    return spread.select("author", "thesis_id", "reviewed_on", (F.col("_sum") / F.col("place")).alias("cumulative"), "rolling")
+    return spread.select("author", "thesis_id", "reviewed_on", (F.col("_sum") / F.col("place")).cast("double").alias("cumulative"), "rolling")
 
 
 def decisions(reviews: DataFrame) -> DataFrame:
