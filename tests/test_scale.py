@@ -252,3 +252,27 @@ def test_window_events_beyond_the_broadcast(spark, monkeypatch):
     few = sorted(map(tuple, asof.window_events(dates, events, 40).collect()))
     monkeypatch.setattr(asof, "BROADCAST_DATES", 0)
     assert sorted(map(tuple, asof.window_events(dates, events, 40).collect())) == few and len(few) > 300
+
+
+def test_feeds_of_a_run_are_made_once(spark, data):
+    """What a run reads of its feeds is stored, so that no step goes back to the tables that they are made from."""
+    from tidemark.plans.query_research import _inputs
+    from tidemark.standins import Feeds
+
+    held = _inputs(Feeds(spark, data))
+    for name in ("prices", "membership", "events", "shorts", "fundamentals"):
+        plan = getattr(held, name)._jdf.queryExecution().executedPlan().toString()
+        assert "l_suppkey" not in plan and "o_orderkey" not in plan, name
+
+
+def test_the_grid_is_dealt_by_ticker(spark):
+    """One shuffle, by ticker, before the grid's cells are made; gaps, equal rows and a single bar."""
+    from tidemark.operators import panel
+
+    rows = [("a", 1, 1.0), ("a", 4, 4.0), ("a", 4, 5.0), ("b", 2, 2.0), ("c", 3, None), ("c", 5, 6.0)]
+    prices = spark.createDataFrame([(t, D(2024, 1, d), c) for t, d, c in rows], "ticker string, date date, close double")
+    grid = panel.dense_grid(prices, panel.calendar(prices))
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("hashpartitioning(ticker") == 1
+    got = sorted(((r["ticker"], r["date"].day, r["bar_ix"], r["close"]) for r in grid.collect()), key=repr)
+    assert got == sorted([("a", 1, 0, 1.0), ("a", 2, 1, None), ("a", 4, 2, 4.0), ("a", 4, 2, 5.0), ("b", 2, 1, 2.0), ("c", 5, 3, 6.0)], key=repr)

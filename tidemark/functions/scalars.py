@@ -14,8 +14,9 @@ def content_id(*parts: Column) -> Column:
 def amount_midpoint(text: Column) -> Column:
     """Midpoint of an amount range: 0 without a number, the number itself if alone, else the mean of the first two."""
     found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\$?\s*([\d,]+)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "")), lambda x: x != "")
-    number = lambda i: F.element_at(found, i).cast("double")
-    return F.when(text.isNull() | (F.size(found) == 0), F.lit(0.0)).when(F.size(found) == 1, number(1)).otherwise((number(1) + number(2)) / 2)
+    number = lambda x, i: F.try_element_at(x, F.lit(i)).cast("double")
+    middle = lambda x: F.when(F.size(x) == 0, F.lit(0.0)).when(F.size(x) == 1, number(x, 1)).otherwise((number(x, 1) + number(x, 2)) / 2)
+    return F.when(text.isNull(), F.lit(0.0)).otherwise(F.transform(F.array(found), middle)[0])  # finds the numbers once
 
 
 def trade_sign(kind: Column, dialect: str = "full") -> Column:
@@ -28,7 +29,7 @@ def trade_sign(kind: Column, dialect: str = "full") -> Column:
     if dialect == "profile":
         return F.when(low.contains("purchase") | (low == "p") | low.startswith("p "), 1).when(low.contains("sale") | low.contains("sell") | (low == "s") | low.startswith("s ("), -1).otherwise(0)
     lead = F.regexp_replace(F.element_at(F.split(low, r"\s+"), 1), r"\.+$", "")
-    return F.when(lead == "p", 1).when(lead == "s", -1).when(lead == "e", 0).otherwise(words.otherwise(0))
+    return F.coalesce(F.try_element_at(F.create_map(*map(F.lit, ("p", 1, "s", -1, "e", 0))), lead), words.otherwise(0))  # reads the code once
 
 
 def day_of(text: Column, *patterns: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import amount_midpoint, known_on, stance_sign, trade_sign
 from tidemark.operators.asof import as_of
 from tidemark.operators.ranks import percent_ranks
+from tidemark.storage import stored
 
 EVENT = ["source", "ticker", "when", "signed_weight"]
 #: The day from which scaled weights are counted.
@@ -67,6 +68,7 @@ def decayed_flows(dates: DataFrame, events: DataFrame, horizons: dict[str, tuple
     pick = lambda i: F.coalesce(*(F.when(F.col("source") == s, F.lit(float(h[i]))) for s, h in horizons.items()))
     scaled = F.col("signed_weight") * F.pow(F.lit(2.0), F.datediff("when", F.lit(EPOCH).cast("date")) / pick(0))
     daily = events.filter(F.col("source").isin(*horizons) & F.col("when").isNotNull()).groupBy("source", "ticker", F.col("when").alias("day")).agg(F.sum(scaled).alias("s"), F.count("*").alias("c"))
+    daily = stored(daily, "daily-flows")  # read twice, and events are many joins away from their feeds
     ends = daily.groupBy("source", "ticker").agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
     every = dates.select("as_of").distinct().agg(F.array_sort(F.collect_list("as_of")).alias("_dates")).withColumn("_one", F.lit(1))  # a row per date
     days = pick(1).cast("int")

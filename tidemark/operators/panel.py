@@ -49,11 +49,18 @@ def calendar(prices: DataFrame) -> DataFrame:
 
 
 def dense_grid(prices: DataFrame, cal: DataFrame) -> DataFrame:
-    """Every bar of the calendar from a ticker's first to its last bar; gaps have null values."""
-    rows = prices.join(cal, "date")
-    ends = rows.groupBy("ticker").agg(F.min("bar_ix").alias("a"), F.max("bar_ix").alias("b"))
-    cells = ends.select("ticker", F.explode(F.sequence("a", "b")).alias("bar_ix"))
-    return cells.join(rows.drop("date"), ["ticker", "bar_ix"], "left").join(cal, "bar_ix")
+    """Every bar of the calendar from a ticker's first to its last bar; gaps have null values.
+
+    A row is repeated up to the ticker's next one, so the grid is dealt by ticker like the windows that follow, and no
+    task's share is settled by the few rows that a ticker's ends are."""
+    rows = prices.join(F.broadcast(cal), "date").drop("date")  # a row per day
+    rest = [c for c in rows.columns if c not in ("ticker", "bar_ix")]
+    after = F.lead("bar_ix").over(Window.partitionBy("ticker").orderBy("bar_ix"))
+    until = F.greatest(F.col("bar_ix"), F.coalesce(after - 1, F.col("bar_ix")))
+    cells = rows.withColumn("_until", until).withColumn("_cell", F.explode(F.sequence("bar_ix", "_until")))
+    own = F.col("_cell") == F.col("bar_ix")
+    cells = cells.select("ticker", F.col("_cell").alias("bar_ix"), *(F.when(own, F.col(c)).alias(c) for c in rest))
+    return cells.join(F.broadcast(cal), "bar_ix").select("bar_ix", "ticker", *rest, "date")
 
 
 def features(grid: DataFrame, look: Lookbacks = Lookbacks()) -> DataFrame:

@@ -312,7 +312,12 @@ def x19_hit_rate(f: Feeds) -> DataFrame:
     return rounded(portfolio.hit_rate(held, rows.groupBy("month_ix").agg(F.avg("fwd").alias("ret")), "gross"))
 
 
+#: What flows, buys and blocks read of the trades.
+_TRADED = ["trade_id", "member", "ticker", "transaction_type", "amount", "transaction_date", "disclosure_date", "amended", "ticker_ok"]
+
+
 def _inputs(f: Feeds) -> backtest.Inputs:
+    f.hold("prices", "membership", "shorts", "facts", "holdings", trades=_TRADED)
     moves, _ = ev.fund_events(ev.holding_moves(f.holdings), f.prices)
     events = ev.congress_events(f.trades).union(moves).union(ev.insider_events(f.buys)).union(ev.activism_events(f.blocks))
     return backtest.Inputs(f.prices, f.membership, f.sectors, events, ev.short_fraction(f.shorts), f.facts, f.fact_splits)

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.storage import stored
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _TICKER = "concat('T', lpad(CAST({} AS STRING), 5, '0'))"
 _BAR = """CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS close,
@@ -66,6 +68,12 @@ class Feeds:
                 self._made[name] = self.spark.sql(STANDINS[name], **{n: getattr(self, n) for n in _names(STANDINS[name])})
         return self._made[name]
 
+    def hold(self, *names: str, **columns: list[str]) -> None:
+        """Stores stand-ins that a query reads more than once, whole or (by keyword) the columns that it reads; each is then
+        made from its tables once. Stand-ins over them read what is stored, so they are asked for later."""
+        for name in (*names, *columns):
+            self._made[name] = stored(getattr(self, name).select(columns.get(name, "*")), name)
+
 
 def _names(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
