@@ -134,6 +134,6 @@ def split_sample(rows: DataFrame, factor: str, split_after: str, s: Settings, st
         rows = rows.filter(F.year("as_of") >= start_year)
     z = xsection.winsor_z(rows, factor, "z", by=("month_ix",))
     z = z.withColumn("series", F.when(F.col("as_of") <= F.lit(split_after).cast("date"), "in").otherwise("out"))
-    ic = xsection.rank_ic(z, "z", "fwd", ("series", "month_ix"), least=s.least_names).withColumnRenamed("ic", "value")
+    ic = stored(xsection.rank_ic(z, "z", "fwd", ("series", "month_ix"), least=s.least_names).withColumnRenamed("ic", "value"), "ic")
     nw, naive = stats.newey_west(ic), stats.naive_t(ic).select("series", F.col("t").alias("naive_t"))
     return nw.join(naive, "series").withColumn("verdict", verdict(F.col("t")))
