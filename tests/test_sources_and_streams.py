@@ -232,3 +232,33 @@ def test_empty_result_leaves_the_table(spark, tmp_path):
     assert files.replace_table(spark.range(3).toDF("x"), path)
     assert not files.replace_table(spark.range(0).toDF("x"), path)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_a_bucket_of_keys_takes_one_read_and_one_write_of_state(spark):
+    from pyspark.sql.types import _parse_datatype_string
+
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], []
+
+        def get(self):
+            self.calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.calls.append("put")
+            self.rows = rows
+
+        def getListState(self, *_):  # noqa: N802
+            return self
+
+    state = State()
+    newest = feeds._Newest(_parse_datatype_string(SCHEMA), ["member", "kind"], "disclosure_date", "report_url")
+    newest.init(state)
+    run = lambda rows: list(newest.handleInputRows((0,), iter([(*r, 0) for r in rows]), None))
+    first = run([(i, f"m{i % 50}", None, D(2024, 1, 1 + i // 50), "u") for i in range(100)])
+    assert state.calls == ["get", "put"] and len(state.rows) == 50 and len(first) == 100
+    late = run([(200, "m0", None, None, "u"), (201, "m1", None, D(2024, 3, 1), "u")])
+    assert sorted((r[0], r[-1]) for r in late) == [(51, True), (200, True), (201, None)]
+    assert state.calls == ["get", "put"] * 2 and len(state.rows) == 50
+    assert run([(202, "m0", None, None, "u")])[0][-1] is True and state.calls[-1] == "get"

@@ -21,6 +21,10 @@ from tidemark.storage import dropped, exists, stored
 LISTED_PARTS = 2_000
 
 
+#: Buckets of natural keys whose newest rows a disclosure stream keeps together; a task holds one bucket's.
+STATE_BUCKETS = 1 << 12
+
+
 class PartTable:
     """A Parquet table in partitions by the SQL expression ``part``. An upsert reads and rewrites the partitions that new
     rows fall into, and no other; it is written beside them first, so a failed batch is simply run again."""
@@ -76,12 +80,13 @@ def stream_short_volume(spark: SparkSession, folder: str, table: PartTable, cove
 
 
 class _Newest(StatefulProcessor):
-    """State of a natural key is its newest row. A row that isn't the newest goes out as amended, at once or when a newer
-    one comes; the newer of two has the later date, then the
-    larger address, then the larger id."""
+    """State of a bucket of natural keys is the newest row of each, read and written as one list: a call to the state costs
+    far more than a row. A row that isn't its key's newest goes out as amended, at once or when a newer one comes; the newer
+    of two has the later date, then the larger address, then the larger id."""
 
-    def __init__(self, schema: StructType, disclosed: str, url: str):
+    def __init__(self, schema: StructType, natural_key: list[str], disclosed: str, url: str):
         self._schema = schema
+        self._key = [schema.names.index(c) for c in natural_key]
         self._at = [schema.names.index(c) for c in (disclosed, url, "id")]
 
     def _age(self, row: tuple) -> tuple:
@@ -89,20 +94,27 @@ class _Newest(StatefulProcessor):
         return disclosed or date(1900, 1, 1), url is not None, url or "", id_ is not None, id_ if id_ is not None else 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._newest = handle.getValueState("newest", self._schema)
+        self._newest = handle.getListState("newest", self._schema)
         self._change = Row(*self._schema.names, "amended")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:  # noqa: N802
-        held = best = self._newest.get()
+        newest = {tuple(row[i] for i in self._key): tuple(row) for row in self._newest.get()}
+        changed = set()
         for row in rows:
+            row = tuple(row)[: len(self._schema)]  # without its bucket
+            natural = tuple(row[i] for i in self._key)
+            best = newest.get(natural)
             older = row
             if best is None or self._age(row) > self._age(best):
-                older, best = best, row
+                # What was newest before this batch is in the log; it goes out again, as what came in the batch does once.
+                older, newest[natural] = best, row
+                changed.add(natural)
             if older is not None:
                 yield self._change(*older, True)
-        if best is not held:
-            self._newest.update(tuple(best))
-            yield self._change(*best, None)
+        if changed:
+            self._newest.put(list(newest.values()))
+            for natural in changed:
+                yield self._change(*newest[natural], None)
 
     def close(self) -> None:
         pass
@@ -125,13 +137,14 @@ def stream_disclosures(spark: SparkSession, folder: str, schema: str, changes: s
     time, with amended = true if a newer one of its natural key is known (nulls are equal), and again with amended = true
     when a newer one comes. Newest is as in ``mark_amended``.
 
-    Ids seen and the newest row of each key are state in the checkpoint, so a batch reads its files and the state of their
-    keys, nothing of what was written; the log is written exactly once. An id is the hash of a row's content: all rows of
+    Ids seen and the newest row of each key are state in the checkpoint, in STATE_BUCKETS buckets of keys (nor may that number
+    change under a checkpoint), so a batch reads its files and the buckets of their keys, nothing of what was written; the log is written exactly once. An id is the hash of a row's content: all rows of
     an id are equal, and a null id is an id, too. A new checkpoint knows nothing: it needs a new folder of changes and
     reads all files again."""
     rows = spark.readStream.schema(schema).json(folder).dropDuplicates(["id"])
     out = StructType([*rows.schema.fields, StructField("amended", BooleanType())])
-    marked = rows.groupBy(*natural_key).transformWithState(_Newest(rows.schema, disclosed, url), out, "Append", "None")
+    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*natural_key), F.lit(STATE_BUCKETS)))
+    marked = bucketed.groupBy("_bucket").transformWithState(_Newest(rows.schema, natural_key, disclosed, url), out, "Append", "None")
     with _rocksdb(spark):
         return marked.writeStream.format("parquet").outputMode("append").option("path", changes).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
