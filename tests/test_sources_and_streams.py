@@ -262,3 +262,10 @@ def test_a_bucket_of_keys_takes_one_read_and_one_write_of_state(spark):
     assert sorted((r[0], r[-1]) for r in late) == [(51, True), (200, True), (201, None)]
     assert state.calls == ["get", "put"] * 2 and len(state.rows) == 50
     assert run([(202, "m0", None, None, "u")])[0][-1] is True and state.calls[-1] == "get"
+
+
+def test_cells_are_not_cleaned_where_rows_are_exploded(spark):
+    pages = spark.createDataFrame([("u", "", "Doe", D(2024, 2, 5))], "url string, html string, senator string, disclosure_date date")
+    plan = documents.disclosure_trades(pages).select("ticker", "amount")._jdf.queryExecution().optimizedPlan().toString()
+    generate = plan[plan.index("Generate explode"):]
+    assert "script|style" not in generate

@@ -93,16 +93,25 @@ def html_text(source: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(bare, _WIDE_SPACES, " " * len(_WIDE_SPACES)), r"\s+", " "))
 
 
+def _rows(source: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
+
+
+def _cells(row: Column) -> Column:
+    return F.regexp_extract_all(row, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1))
+
+
 def table_cells(source: Column) -> Column:
     """Array of rows, each an array of cleaned cells."""
-    rows = F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), lambda c: html_text(c)))
+    return F.transform(_rows(source), lambda r: F.transform(_cells(r), lambda c: html_text(c)))
 
 
 def disclosure_trades(pages: DataFrame) -> DataFrame:
-    """Trades of disclosure pages (url, html, senator, disclosure_date): rows of eight cells and more with a symbol."""
-    cells = pages.select("url", "senator", "disclosure_date", F.explode(table_cells(F.col("html"))).alias("c")).filter(F.size("c") >= 8)
-    at = lambda i: F.col("c")[i]
+    """Trades of disclosure pages (url, html, senator, disclosure_date): rows of eight cells and more with a symbol. Cells are
+    cleaned where they are used: Spark repeats what is exploded in a filter of its own."""
+    rows = pages.select("url", "senator", "disclosure_date", F.explode(_rows(F.col("html"))).alias("r"))
+    cells = rows.withColumn("c", _cells(F.col("r"))).filter(F.size("c") >= 8)
+    at = lambda i: html_text(F.col("c")[i])
     out = cells.select(
         F.trim(F.regexp_replace("senator", r"\s*\([^)]*\)\s*$", "")).alias("senator"), F.upper(at(3)).alias("ticker"), at(4).alias("asset_description"), at(6).alias("transaction_type"), at(7).alias("amount"),
         day_of(at(1), "MM/dd/yyyy", "yyyy-MM-dd").alias("transaction_date"), "disclosure_date", F.col("url").alias("report_url"),
