@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import brute
 from tidemark.llm import decontaminate, ngrams, packing, passages, quality_rules, resample, secret_scan, simhash, token_counts, tokens, toxicity, url_filter
+from tidemark.llm import queries as llm_queries
 from tidemark.llm.components import components
 
 
@@ -594,6 +595,42 @@ def test_near_copies_of_passages_in_groups_of_two_to_fifty(spark, monkeypatch):
     assert {(r["doc_id"], r["start_word"], r["match_doc_id"], r["match_start_word"]) for r in again} == want
 
 
+def test_documents_with_passages_are_one_row_each_and_their_classes_are_whole(spark, tmp_path):
+    """All pairs that share 50 words are in one class, by brute force; copies are in their text's; spans are what is shared."""
+    rng = random.Random(57)
+    own = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passages_, rows = [own(rng.randint(50, 90)) for _ in range(12)], []
+    for d in range(120):
+        text = own(20)
+        for p in rng.sample(passages_[:6] if d % 2 else passages_[6:], rng.randint(0, 2)):
+            text += p + own(60)
+        rows.append((d, " ".join(text)))
+    rows += [(200 + i, rows[i % 3][1]) for i in range(30)] + [(300, None), (301, ""), (302, "a b"), (303, "a b")]
+    words = {d: (t or "").split() for d, t in rows}
+    runs = {}
+    for d, w in words.items():
+        for i in range(len(w) - passages.PASSAGE + 1):
+            runs.setdefault(tuple(w[i : i + passages.PASSAGE]), set()).add((d, i))
+    shared = [g for g in runs.values() if len({d for d, _ in g}) > 1]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = llm_queries.op6_substring_dedup(spark, str(tmp_path)).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert len(found) == len(got) and set(got) == {d for g in shared for d, _ in g}
+    for g in shared:
+        assert len({got[d]["class_id"] for d, _ in g}) == 1
+        for d, i in g:
+            assert any(p["start_word"] <= i and i + passages.PASSAGE <= p["end_word"] for p in got[d]["passages"]), (d, i)
+    root = {d: d for d in got}
+    for _ in got:
+        for g in shared:
+            low = min(root[d] for d, _ in g)
+            root |= {d: low for d, _ in g}
+    assert {d: r["class_id"] for d, r in got.items()} == root
+    for r in found:
+        spans = [tuple(p) for p in r["passages"]]
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and r["n_words_shared"] == sum(e - s for s, e in spans)
+
+
 def test_texts_that_share_an_id_are_told_apart(spark):
     rng = random.Random(43)
     own = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
