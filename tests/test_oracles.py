@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from tidemark.plans import query_feeds, query_reports, query_research, registry  # noqa: F401
-from tidemark.standins import STANDINS, TABLES
+from tidemark.standins import STANDINS, TABLES, Feeds
 
 SAMPLE = [
     "flagship_strongest_buying", "s4_short_volume_lines", "s8_disclosure_html", "s15_earliest_facts", "u2_terminal_upsert", "u7_mark_amended", "p1_p2_p4_p5_trade_columns", "p11_p12_p15_bands", "j3_fundamentals_asof",
@@ -66,6 +66,12 @@ def test_trend_over_all_whatever_the_number_of_ranges(spark, partitions):
     assert len(want) == 333 and sorted(map(tuple, got)) == sorted(want)
 
 
+def test_live_composite_makes_prices_and_holdings_once(spark, data):
+    """Prices and holdings are read from what was stored: of the feeds over lineitem only the facts, which have two uses, are in the plan."""
+    live = query_research._live(Feeds(spark, data))
+    assert live._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 2
+
+
 def test_every_query_has_an_oracle():
     assert sorted(set(registry.QUERIES) - set(registry.ORACLES)) == []
 

@@ -592,10 +592,12 @@ LIVE = {"price": ["momentum", "trend_distance"], "fund": ["value", "quality"], "
 
 def _live(f: Feeds) -> DataFrame:
     """The live composite of the gated universe: prices, facts known before the day, and flows to the day."""
+    f.hold("holdings", prices=["ticker", "date", "close"])
     live = panel.live_factors(f.prices, panel.MONTHLY, least=12).withColumn("as_of", day(_LIVE_DAY))
     live = ev.fundamental_factors(live, f.facts, f.fact_splits)
-    moves, _ = ev.fund_events(ev.holding_moves(f.holdings), f.prices)
-    flows = ev.decayed_flows(live.select("as_of").distinct(), ev.congress_events(f.trades).union(moves), {s: backtest.Settings().flows[s] for s in ("congress", "fund")})
+    traded = f.prices.join(f.holdings.select("ticker").distinct(), "ticker", "left_semi")  # no fund moves in the others
+    moves, _ = ev.fund_events(ev.holding_moves(f.holdings), traded)
+    flows = ev.decayed_flows(f.spark.range(1).select(day(_LIVE_DAY).alias("as_of")), ev.congress_events(f.trades).union(moves), {s: backtest.Settings().flows[s] for s in ("congress", "fund")})
     for source, name in (("congress", "congress"), ("fund", "fund_flow")):
         live = live.join(flows.filter(F.col("source") == source).select("ticker", F.col("flow").alias(name)), "ticker", "left")
     return screens.live_composite(live, LIVE)
