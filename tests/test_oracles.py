@@ -7,7 +7,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.operators import events as ev
 from tidemark.plans import query_feeds, query_reports, query_research, registry  # noqa: F401
 from tidemark.standins import STANDINS, TABLES, Feeds
 
@@ -72,6 +74,25 @@ def test_live_composite_makes_prices_and_holdings_once(spark, data):
     assert live._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 2
 
 
+def test_live_flows_store_no_day_out_of_reach(spark, data, monkeypatch):
+    """Of the events only those that the windows to the live day hold are summed by day and stored."""
+    kept = {}
+    monkeypatch.setattr(ev, "stored", lambda df, label: kept.setdefault(label, df))
+    query_research._live(Feeds(spark, data))
+    ends = kept["daily-flows"].groupBy("source").agg(F.min("day").alias("first"), F.max("day").alias("last")).collect()
+    live, reach = dt.date.fromisoformat(query_research._LIVE_DAY), {"congress": 365, "fund": 540}
+    assert {r["source"] for r in ends} == set(reach)
+    assert all(live - dt.timedelta(reach[r["source"]]) <= r["first"] and r["last"] < live for r in ends)
+
+
+def test_in_reach_holds_the_windows_first_day_and_not_its_last(spark):
+    days = ["2001-01-09", "2001-01-10", "2001-01-19", "2001-01-20", None]
+    rows = spark.createDataFrame([(s, dt.date.fromisoformat(d) if d else None) for s in ("a", "b", "c") for d in days], "source string, when date")
+    day = F.lit("2001-01-20").cast("date")
+    got = ev.in_reach(rows, day, day, {"a": (5.0, 10), "b": (5.0, 11)}).collect()
+    assert sorted((r["source"], str(r["when"])) for r in got) == [("a", days[1]), ("a", days[2]), ("b", days[0]), ("b", days[1]), ("b", days[2])]
+
+
 def test_every_query_has_an_oracle():
     assert sorted(set(registry.QUERIES) - set(registry.ORACLES)) == []
 

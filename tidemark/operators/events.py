@@ -84,6 +84,13 @@ def decayed_flows(dates: DataFrame, events: DataFrame, horizons: dict[str, tuple
     return out.select("as_of", "ticker", "source", (F.col("_s") * F.pow(F.lit(2.0), -F.datediff("as_of", F.lit(EPOCH).cast("date")) / pick(0))).alias("flow"))
 
 
+def in_reach(events: DataFrame, first: Column, last: Column, horizons: dict[str, tuple[float, int]]) -> DataFrame:
+    """Events that count at a date from ``first`` to ``last``: from the first one's window to the day before the last. Where
+    dates are known beforehand, the others are left out at their feeds, not summed, stored and cancelled."""
+    window = F.coalesce(*(F.when(F.col("source") == s, F.lit(int(h[1]))) for s, h in horizons.items()))
+    return events.filter((F.col("when") >= F.date_sub(first, window)) & (F.col("when") < last))
+
+
 def decayed_flow(dates: DataFrame, events: DataFrame, source: str, half_life: float, window_days: int) -> DataFrame:
     """``decayed_flows`` of one source."""
     return decayed_flows(dates, events, {source: (half_life, window_days)})

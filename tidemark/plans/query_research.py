@@ -597,7 +597,9 @@ def _live(f: Feeds) -> DataFrame:
     live = ev.fundamental_factors(live, f.facts, f.fact_splits)
     traded = f.prices.join(f.holdings.select("ticker").distinct(), "ticker", "left_semi")  # no fund moves in the others
     moves, _ = ev.fund_events(ev.holding_moves(f.holdings), traded)
-    flows = ev.decayed_flows(f.spark.range(1).select(day(_LIVE_DAY).alias("as_of")), ev.congress_events(f.trades).union(moves), {s: backtest.Settings().flows[s] for s in ("congress", "fund")})
+    horizons = {s: backtest.Settings().flows[s] for s in ("congress", "fund")}
+    events = ev.in_reach(ev.congress_events(f.trades).union(moves), day(_LIVE_DAY), day(_LIVE_DAY), horizons)
+    flows = ev.decayed_flows(f.spark.range(1).select(day(_LIVE_DAY).alias("as_of")), events, horizons)
     for source, name in (("congress", "congress"), ("fund", "fund_flow")):
         live = live.join(flows.filter(F.col("source") == source).select("ticker", F.col("flow").alias(name)), "ticker", "left")
     return screens.live_composite(live, LIVE)
